@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sentencepiece_codec, token_counts, token_shards
+from . import exact_dedup, lsh_forest, sentencepiece_codec, token_counts, token_shards
 from .store import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+@_query
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_dedup(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-shards")
