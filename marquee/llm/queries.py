@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, lsh_forest, sentencepiece_codec, suffix_dedup, token_counts, token_shards
+from . import decontamination, exact_dedup, line_dedup, lsh_forest, sentencepiece_codec, suffix_dedup, token_counts, token_shards
 from .store import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,34 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 """
 
 
+@_query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("text_sha256"))
+
+
+_LINES_SQL = r"""
+lines AS (SELECT doc_id, i, line, trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))) AS t
+          FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM {docs}))),
+num AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS s, i FROM lines WHERE t <> ''),
+pair AS (SELECT doc_id, s, t, lead(t) OVER (PARTITION BY doc_id ORDER BY s) AS u FROM num),
+gone AS (
+    SELECT doc_id, s FROM (SELECT doc_id, s, t, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS r FROM num) WHERE r > 1 AND len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) >= 50
+    UNION SELECT doc_id, unnest([s, s + 1]) FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY t, u ORDER BY doc_id, s) AS r FROM pair WHERE u IS NOT NULL) WHERE r > 1),
+kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text
+         FROM lines l LEFT JOIN num n ON l.doc_id = n.doc_id AND l.i = n.i LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.s = g.s
+         WHERE g.s IS NULL GROUP BY l.doc_id)
+"""
+SQL["op8_line_dedup"] = f"""
+WITH {_LINES_SQL.format(docs="documents")},
+n AS (SELECT doc_id, count(*) AS n_lines FROM num GROUP BY doc_id),
+r AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE p IS NULL OR p <> s - 1) AS n_runs
+      FROM (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM gone) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n_lines, 0) AS n_lines, coalesce(r.n_removed, 0) AS n_removed, coalesce(r.n_runs, 0) AS n_runs, sha256(coalesce(k.text, '')) AS text_sha256
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
 @_query
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
