@@ -25,6 +25,8 @@ TREES, DEPTH, DEEPER = 32, 3, 8
 #: A pair outside the neighbours counts if it meets in this many trees. At a similarity of 0.75
 #: a pair meets in 13.5 of 32 trees on average and in fewer than 3 with a chance of 8e-6.
 LEAST_TREES = 3
+#: Regions up to this size give all their pairs to be counted.
+SMALL_REGION = 16
 WORDS, PERCENT = 5, 75
 _ROWS = TREES * DEPTH
 _A = mix(np.arange(1, _ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
@@ -139,6 +141,63 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _nearest(members: DataFrame) -> DataFrame:
+    """Each text with its deepest neighbour in the sorted orders, as pairs (a, b)."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["region", "deeper", "id"]
+    near = members.select(order).repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, "id long, partner long, depth long")
+    scored = near.groupBy("id", "partner").agg(F.sum("depth").alias("depth"))
+    best = scored.groupBy("id").agg(F.max(F.struct("depth", (-F.col("partner")).alias("partner"))).alias("best"))
+    return best.select("id", (-F.col("best.partner")).alias("partner")).select(_ordered("id", "partner"))
+
+
+def _hubs(members: DataFrame) -> DataFrame:
+    """Each text with the most central text of its regions: the likely original of edited copies."""
+    rank = F.struct("central", (-F.col("id")).alias("id"))
+    hubs = members.groupBy("region").agg(F.max(rank).alias("hub"))
+    best = members.select("region", "id").join(hubs, "region").where(F.col("hub.id") != -F.col("id")).groupBy("id").agg(F.max("hub").alias("hub"))
+    return best.select("id", (-F.col("hub.id")).alias("partner")).select(_ordered("id", "partner"))
+
+
+def _across(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share regions, lie in different components and may be linked.
+
+    In small regions a pair counts that meets in LEAST_TREES of them. A large region has a
+    pivot, the most central text of its main component, and each text is known by its
+    difference from the pivot: shingles that it lacks, that it adds, and that no other text of
+    the pivot's regions adds. The size of the difference between two texts is at least what
+    these counts leave, and pairs whose bound excludes a link aren't formed.
+    """
+    known = members.select("region", "size", "id", "n_shingles", "central").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    by_region = known.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = by_region.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1").select("region", "main")
+    rows = written(known.join(mixed, "region"), "mixed")
+
+    def pairs(table: DataFrame, extra: list[str], condition) -> DataFrame:
+        x = table.where("component != main").select("region", *[F.col(c).alias(f"x_{c}") for c in ("id", "n_shingles", "component", *extra)])
+        y = table.select("region", *[F.col(c).alias(f"y_{c}") for c in ("id", "n_shingles", "component", *extra)], (F.col("component") == F.col("main")).alias("in_main"))
+        low, high = F.least("x_n_shingles", "y_n_shingles"), F.greatest("x_n_shingles", "y_n_shingles")
+        apart = (100 * low >= PERCENT * high) & (F.col("x_component") != F.col("y_component")) & (F.col("in_main") | (F.col("x_id") < F.col("y_id")))
+        return x.join(y, (x["region"] == y["region"]) & apart & condition).select(_ordered("x_id", "y_id"))
+
+    few = pairs(rows.where(F.col("size") <= SMALL_REGION), [], F.lit(True)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TREES).select("a", "b")
+
+    large = rows.where(F.col("size") > SMALL_REGION)
+    pivots = large.where("component = main").groupBy("main").agg(F.max(F.struct("central", (-F.col("id")).alias("id"))).alias("p")).select("main", (-F.col("p.id")).alias("pivot"))
+    relation = large.select("id", "main").distinct().join(pivots, "main")
+    own = sets.groupBy("id").agg(F.first("shingles").alias("shingles"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")  # a repeated id has no one set, and no bound
+    relation = relation.join(own.withColumnRenamed("shingles", "x"), "id").join(own.select(F.col("id").alias("pivot"), F.col("shingles").alias("p")), "pivot")
+    relation = written(relation.select("id", "main", F.size(F.array_except("p", "x")).alias("lacks"), F.array_except("x", "p").alias("added")), "differences")
+    alone = relation.select("id", "main", F.explode("added").alias("shingle")).groupBy("main", "shingle").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id")).where("n = 1").groupBy("main", "id").agg(F.count(F.lit(1)).alias("alone"))
+    counts = relation.select("id", "main", "lacks", F.size("added").alias("adds")).join(alone, ["main", "id"], "left").withColumn("shared", F.col("adds") - F.coalesce("alone", F.lit(0)))
+    described = written(large.join(counts.select("id", "main", "lacks", "adds", "shared"), ["id", "main"], "left"), "described")
+    both = F.least("x_lacks", "y_lacks") + F.least("x_shared", "y_shared")
+    apart = F.col("x_lacks") + F.col("x_adds") + F.col("y_lacks") + F.col("y_adds") - 2 * both
+    may = (100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("x_n_shingles") + F.col("y_n_shingles"))
+    many = pairs(described, ["lacks", "adds", "shared"], F.coalesce(may, F.lit(True)))
+    return few.unionByName(many).distinct()
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of `docs`.
 
@@ -154,29 +213,16 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     classes = written(known.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
 
     trees = classes.mapInArrow(_tree_rows, "region long, deeper long, id long, n_shingles long")
-    shared = trees.groupBy("region").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("region")
+    shared = trees.groupBy("region").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high").select("region", "size")
     members = written(trees.join(shared, "region"), "regions")
     sets = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>").where(F.size("shingles") > 0), "sets")
+    central = members.groupBy("id").agg(F.sum("size").alias("central"))
+    members = written(members.join(central, "id"), "central-regions")
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["region", "deeper", "id"]
-    near = members.select(order).repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, "id long, partner long, depth long")
-    scored = near.groupBy("id", "partner").agg(F.sum("depth").alias("depth"))
-    best = scored.groupBy("id").agg(F.max(F.struct("depth", (-F.col("partner")).alias("partner"))).alias("best"))
-    first = best.select("id", (-F.col("best.partner")).alias("partner")).select(_ordered("id", "partner")).distinct()
+    first = _nearest(members).unionByName(_hubs(members)).distinct()
     links = written(confirmed(first, sets), "links")
     found = written(components(links), "components")
-
-    known_members = members.select("region", "id", "n_shingles").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    by_region = known_members.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = by_region.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1").select("region", "main")
-    left = written(known_members.join(mixed, "region"), "mixed")
-    others = left.where("component != main").select("region", F.col("id").alias("x"), F.col("n_shingles").alias("nx"), F.col("component").alias("cx"))
-    everyone = left.select("region", F.col("id").alias("y"), F.col("n_shingles").alias("ny"), F.col("component").alias("cy"), F.col("component") == F.col("main"))
-    everyone = everyone.toDF("region", "y", "ny", "cy", "in_main")
-    sizes = (100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")) & (F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") < F.col("y")))
-    apart = others.join(everyone, "region").where(sizes).select(_ordered("x", "y")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TREES)
-    more = written(confirmed(apart.select("a", "b"), sets), "more-links")
+    more = written(confirmed(_across(members, found, sets), sets), "more-links")
     if more.head(1):
         found = written(components(links.unionByName(more)), "components")
 

@@ -55,6 +55,12 @@ def made(seed=3):
     template = [rnd.choice(vocabulary) for _ in range(60)]
     for _ in range(40):  # letters of one form: alike, but mostly not linked
         rows.append((len(rows), " ".join(template + [rnd.choice(vocabulary) for _ in range(rnd.randrange(8, 30))])))
+    base = [rnd.choice(vocabulary) for _ in range(150)]  # one original with many edited copies, about the limit
+    for _ in range(120):
+        copy = list(base)
+        for _ in range(rnd.randrange(0, 9)):
+            copy[rnd.randrange(len(copy))] = "new%d" % rnd.randrange(10**6) if rnd.random() < 0.7 else rnd.choice(vocabulary)
+        rows.append((len(rows), " ".join(copy)))
     rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, " \n"), (len(rows) + 3, "one two"), (len(rows) + 4, "ONE  two"), (len(rows) + 5, "one two three"), (None, "one two")]
     rows.append((0, rows[40][1]))  # a repeated id with another text links both
     return rows
@@ -96,6 +102,7 @@ def test_near_dedup_equals_brute_force(spark):
 
 
 def test_a_hot_region_loses_no_link(spark, monkeypatch):
+    monkeypatch.setattr(lsh_forest, "SMALL_REGION", 2)
     monkeypatch.setattr(lsh_forest, "LEAST_TREES", 1)
     rows = [r for r in made(9) if r[0] is not None]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
