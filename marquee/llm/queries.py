@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, line_dedup, lsh_forest, sentencepiece_codec, suffix_dedup, token_counts, token_shards
+from . import decontamination, exact_dedup, language_id, license_scan, line_dedup, lsh_forest, sentencepiece_codec, suffix_dedup, token_counts, token_shards
 from .store import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@_query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(F.transform("matches", lambda m: m["license"]), ",").alias("licenses"), F.array_max(F.transform("matches", lambda m: m["coverage"])).alias("best_coverage"), "matches")
+
+
 @_query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
