@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import settled, written
 from .text import pieces, utf8
 
 #: Slots of two bits a row, and the bound of the filter that is sent to all tasks (in slots).
@@ -119,4 +119,5 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     alone = flagged.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
     again = flagged.where("maybe").select("doc_id", "digest")
     groups = again.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = settled(groups, "groups")
     return alone.unionByName(again.join(groups, "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), sha))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import written
+from .store import settled, written
 from .text import hash_spans, mix, pieces, spans_of, utf8
 
 #: Trees, the depth that makes a region, and the deeper signature bytes that order it.
@@ -214,6 +214,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     trees = classes.mapInArrow(_tree_rows, "region long, deeper long, id long, n_shingles long")
     shared = trees.groupBy("region").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high").select("region", "size")
+    shared = settled(shared, "shared-regions")
     members = written(trees.join(shared, "region"), "regions")
     sets = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>").where(F.size("shingles") > 0), "sets")
     central = members.groupBy("id").agg(F.sum("size").alias("central"))
@@ -227,6 +228,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         found = written(components(links.unionByName(more)), "components")
 
     named = classes.select("set_hash", "id").join(found, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
+    named = settled(named, "classes-named")
     linked = known.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash").select("doc_id", "n_shingles", "component_id")
     alone = rows.where("set_hash IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

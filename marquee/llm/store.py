@@ -26,6 +26,15 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """An aggregate to be joined back to its rows, as a written table.
+
+    Otherwise the aggregate and the join share a stage, which Spark can't split where one key
+    holds many rows.
+    """
+    return written(df, tag)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The same rows, read back from Parquet in the shared folder.
 

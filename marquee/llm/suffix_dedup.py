@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import settled, written
 from .text import mix, pieces, utf8
 
 #: Bytes of a string, of the core at a trigger, and of the rolling hash.
@@ -261,9 +261,11 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     parsed = keyed.select("key", "text").mapInArrow(_parse, "core long, s1 long, s2 long, key long, place long")
     shared = parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    shared = settled(shared, "shared-cores")
     live = written(parsed.join(shared, "core"), "phrases")
 
     dictionary = live.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("first"))
+    dictionary = settled(dictionary, "dictionary")
     known = live.join(dictionary, ["s1", "s2"]).select("core", "key", "place", (F.col("n") == 1).alias("alone"), ((F.col("first.key") == F.col("key")) & (F.col("first.place") == F.col("place"))).alias("stands"))
     known = written(known, "known-phrases")
     lone = known.where("alone").select("core").distinct()

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenizer_files
+from .store import settled
 from .text import pieces, utf8
 
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens long"
@@ -64,7 +65,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
         misses = misses.join(known, "digest", "left_anti")
     counted = misses.dropDuplicates(["digest"]).mapInArrow(_counter(raw, kind, version), "digest string, n_tokens long")
     counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-    counts = stored(spark, cache_path, version)
+    counts = settled(stored(spark, cache_path, version), "counts")
     return keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(counts, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "digest"
     )
