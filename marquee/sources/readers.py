@@ -85,7 +85,7 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
     Files are read whole, as line numbers need; logs rotate at a few MB.
     """
-    text = spark.read.option("wholetext", True).option("pathGlobFilter", "*.log").text(path)
+    text = spark.read.option("pathGlobFilter", "*.log").text(path, wholetext=True)
     text = text.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), "value")
     body = F.regexp_replace("value", r"\r?\n\z", "")
     return text.where("value <> ''").select("file", "modified", F.posexplode(F.split(body, r"\r?\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
