@@ -13,8 +13,8 @@ from marquee.llm import decontamination, language_id, line_dedup, lsh_forest, se
 from marquee.llm.queries import tokenizer_file
 from marquee.llm.store import settled, written
 
-#: Documents with a lower mean marginal of their language are rejected.
-LEAST_SCORE = 0.5
+#: Documents with a lower mean marginal of their language have none that is clear, and are rejected.
+LEAST_SCORE = 0.35
 
 
 def _with(docs: DataFrame, found: DataFrame, decided: str) -> DataFrame:

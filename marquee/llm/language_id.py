@@ -44,11 +44,16 @@ def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS, longest: int = SAMPLE_BYTE
     """A model from a bounded sample of the labelled documents that are not held out.
 
     The sample has at most `texts` whole texts of each language and of at most `longest` bytes
-    each: those least by a hash of the text. Nothing but text and lang is learned from.
+    each: those least by a hash of the row. Rows that hash beyond what a language's count calls
+    for are left out before any text moves, so what moves doesn't grow with the table. Nothing
+    but text and lang is learned from.
     """
-    fit = docs.where(~held_out("doc_id")).where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").where(F.octet_length("text") <= longest)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = fit.withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts).select("lang", "text").orderBy("lang", F.xxhash64("text"), "text").collect()
+    fit = docs.where(~held_out("doc_id")).where("lang IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text") <= longest).select("lang", "text", F.xxhash64("doc_id", "text").alias("draw"))
+    counts = fit.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row a label, as the model has
+    share = F.shiftrightunsigned("draw", 11) / F.lit(float(1 << 53))
+    near = fit.join(F.broadcast(counts), "lang").where(share * F.col("n") <= 2 * texts + 100).drop("n")
+    order = Window.partitionBy("lang").orderBy("draw", "text")
+    sample = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts).orderBy("lang", "draw", "text").select("lang", "text").collect()
 
     def spans(data: np.ndarray):
         return spans_of(_LETTER[data], np.array([0, len(data)]))[:2]
