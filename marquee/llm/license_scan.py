@@ -56,17 +56,18 @@ def grams(words: np.ndarray, gram: int) -> np.ndarray:
 
 
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Places of the last least hash of each window of hashes; all of a shorter list's least one."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    if len(hashes) <= window:
-        return np.array([len(hashes) - 1 - int(hashes[::-1].argmin())])
+    """Places of the last least hash of each window of hashes."""
     view = np.lib.stride_tricks.sliding_window_view(hashes, window)[:, ::-1]
     return np.unique(np.arange(len(view)) + window - 1 - view.argmin(axis=1))
 
 
 class Templates:
-    """The inverted index: sorted fingerprints with their template and place."""
+    """The inverted index: sorted fingerprints with their template and place.
+
+    Templates are winnowed and texts give all their grams, so that any stretch of
+    gram + window - 1 words that a text shares with a template meets the index. Templates of
+    few grams are indexed by all of them.
+    """
 
     def __init__(self, templates: list[tuple[str, str]], gram: int = GRAM, window: int = WINNOW):
         self.gram, self.window = gram, window
@@ -79,15 +80,13 @@ class Templates:
             if not len(words):
                 continue
             own = grams(words, self.smaller[t])
-            # every gram of a template is indexed, and texts are winnowed: a shared stretch of
-            # gram + window - 1 words always meets; templates shorter than that are sought by each gram
-            keys.append(own)
-            which.append(np.full(len(own), t))
-            place.append(np.arange(len(own)))
+            at = winnow(own, window) if len(own) > window else np.arange(len(own))
+            keys.append(own[at])
+            which.append(np.full(len(at), t))
+            place.append(at)
         keys, which, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, which, place))
         order = np.argsort(keys, kind="stable")
         self.keys, self.which, self.place = keys[order].astype(np.uint64), which[order], place[order]
-        self.short = any(len(w) < gram + window - 1 for w in self.words)
         self.sizes = sorted({s for s, w in zip(self.smaller, self.words) if len(w)})
 
     def candidates(self, hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -97,14 +96,7 @@ class Templates:
             own = grams(hashes, size)
             text = np.searchsorted(before, np.arange(len(own)), "right") - 1
             inside = np.arange(len(own)) + size <= before[text + 1]
-            if self.short or size < self.gram:
-                at = np.flatnonzero(inside)
-            else:
-                at = winnow(own, self.window)  # across texts too: a superset of each text's own but at its ends
-                ends = np.concatenate([before[1:] - size - k for k in range(self.window)])
-                at = np.unique(np.concatenate([at, ends[ends >= 0], np.concatenate([before[:-1] + k for k in range(self.window)])]))
-                at = at[at < len(own)]
-                at = at[inside[at]]
+            at = np.flatnonzero(inside)
             low, high = np.searchsorted(self.keys, own[at], "left"), np.searchsorted(self.keys, own[at], "right")
             n = high - low
             hit = np.repeat(at, n)
