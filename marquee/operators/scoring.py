@@ -78,9 +78,10 @@ def score_parts(users: DataFrame, items: DataFrame, item_facets: DataFrame, play
     """
     parts = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cat = catalogue(items, plays, limit)
+    cat = cat.persist()  # small, and read by four branches of the plan
     none = F.lit("-")
     known = item_facets.join(cat.select("item_id"), "item_id").groupBy("item_id", "facet", "value").agg(F.count(F.lit(1)).alias("times"))
-    known = known.unionByName(cat.select("item_id", none.alias("facet"), none.alias("value"), F.lit(1).cast("long").alias("times")))
+    known = known.unionByName(cat.select("item_id", none.alias("facet"), none.alias("value"), F.lit(1).cast("long").alias("times"))).persist()
     every = prefs.select("user_id", "facet", "value", "num").unionByName(users.select("user_id", none.alias("facet"), none.alias("value"), F.lit(0).cast("long").alias("num")))
     total = lambda facet: F.sum(F.when(F.col("facet") == facet, F.col("num") * F.col("times")).otherwise(0)).alias(f"{facet}_num")
     hits = every.repartition(parts, "user_id").join(bounded(known), ["facet", "value"]).groupBy("user_id", "item_id").agg(total("genre"), total("actor"), total("director"))
