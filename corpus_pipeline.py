@@ -1,7 +1,7 @@
 """From raw documents to token ids: five stages, each written and read again.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the
-last return the columns of documents.
+last return the columns of documents. Rows that repeat a doc_id share its decisions.
 """
 
 from __future__ import annotations
