@@ -27,6 +27,8 @@ TREES, DEPTH, DEEPER = 32, 3, 8
 LEAST_TREES = 3
 #: Regions up to this size give all their pairs to be counted.
 SMALL_REGION = 16
+#: Words of 64 bits in a bit map of a difference.
+BIT_WORDS = 8
 WORDS, PERCENT = 5, 75
 _ROWS = TREES * DEPTH
 _A = mix(np.arange(1, _ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
@@ -159,13 +161,27 @@ def _hubs(members: DataFrame) -> DataFrame:
     return best.select("id", (-F.col("hub.id")).alias("partner")).select(_ordered("id", "partner"))
 
 
+def _bits(column: str) -> list[F.Column]:
+    """Bit maps of an array of hashes, in words of 64 bits."""
+    word = lambda s: F.shiftright(s, 6).bitwiseAND(BIT_WORDS - 1)
+    one = lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), s.bitwiseAND(63).cast("int"))
+    put = lambda k: lambda bits, s: F.when(word(s) == k, bits.bitwiseOR(one(s))).otherwise(bits)
+    return [F.aggregate(column, F.lit(0).cast("long"), put(k)).alias(f"{column}_{k}") for k in range(BIT_WORDS)]
+
+
+def _common(column: str, size: str) -> list[F.Column]:
+    """Upper bounds of how many elements x and y share: each bit that the other lacks is an element that it lacks."""
+    own = lambda a, b: sum((F.bit_count(F.col(f"{a}_{column}_{k}").bitwiseAND(F.bitwise_not(f"{b}_{column}_{k}"))) for k in range(BIT_WORDS)), F.lit(0))
+    return [F.col(f"x_{size}") - own("x", "y"), F.col(f"y_{size}") - own("y", "x")]
+
+
 def _across(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) that share regions, lie in different components and may be linked.
 
     In small regions a pair counts that meets in LEAST_TREES of them. A large region has a
     pivot, the most central text of its main component, and each text is known by its
     difference from the pivot: shingles that it lacks, that it adds, and that no other text of
-    the pivot's regions adds. The size of the difference between two texts is at least what
+    the pivot's regions adds, as numbers and as bit maps of their hashes. The size of the difference between two texts is at least what
     these counts leave, and pairs whose bound excludes a link aren't formed.
     """
     known = members.select("region", "size", "id", "n_shingles", "central").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -187,14 +203,16 @@ def _across(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     relation = large.select("id", "main").distinct().join(pivots, "main")
     own = sets.groupBy("id").agg(F.first("shingles").alias("shingles"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")  # a repeated id has no one set, and no bound
     relation = relation.join(own.withColumnRenamed("shingles", "x"), "id").join(own.select(F.col("id").alias("pivot"), F.col("shingles").alias("p")), "pivot")
-    relation = written(relation.select("id", "main", F.size(F.array_except("p", "x")).alias("lacks"), F.array_except("x", "p").alias("added")), "differences")
+    relation = relation.select("id", "main", F.array_except("p", "x").alias("lacked"), F.array_except("x", "p").alias("added"))
+    relation = written(relation.select("id", "main", "added", F.size("lacked").alias("lacks"), *_bits("lacked"), *_bits("added")), "differences")
     alone = relation.select("id", "main", F.explode("added").alias("shingle")).groupBy("main", "shingle").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id")).where("n = 1").groupBy("main", "id").agg(F.count(F.lit(1)).alias("alone"))
-    counts = relation.select("id", "main", "lacks", F.size("added").alias("adds")).join(alone, ["main", "id"], "left").withColumn("shared", F.col("adds") - F.coalesce("alone", F.lit(0)))
-    described = written(large.join(counts.select("id", "main", "lacks", "adds", "shared"), ["id", "main"], "left"), "described")
-    both = F.least("x_lacks", "y_lacks") + F.least("x_shared", "y_shared")
+    bits = [f"{c}_{k}" for c in ("lacked", "added") for k in range(BIT_WORDS)]
+    counts = relation.select("id", "main", "lacks", F.size("added").alias("adds"), *bits).join(alone, ["main", "id"], "left").withColumn("shared", F.col("adds") - F.coalesce("alone", F.lit(0)))
+    described = written(large.join(counts.select("id", "main", "lacks", "adds", "shared", *bits), ["id", "main"], "left"), "described")
+    both = F.least(*_common("lacked", "lacks")) + F.least("x_shared", "y_shared", *_common("added", "adds"))
     apart = F.col("x_lacks") + F.col("x_adds") + F.col("y_lacks") + F.col("y_adds") - 2 * both
     may = (100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("x_n_shingles") + F.col("y_n_shingles"))
-    many = pairs(described, ["lacks", "adds", "shared"], F.coalesce(may, F.lit(True)))
+    many = pairs(described, ["lacks", "adds", "shared", *bits], F.coalesce(may, F.lit(True)))
     return few.unionByName(many).distinct()
 
 
