@@ -16,7 +16,7 @@ from .text import flat_index, hash_spans, mix
 Encode = Callable[[list[str], np.ndarray], list]
 #: Bytes whose characters may be white space beyond ASCII (C2: 85 and A0; E1, E2, E3: others).
 _DOUBT = (0xC2, 0xE1, 0xE2, 0xE3)
-_GROUP_BYTES = 4 << 20
+_GROUP_BYTES = 1 << 20
 
 
 def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +115,7 @@ class ChunkCoder:
         if len(miss):
             fresh, where, back = np.unique(keys[miss], return_index=True, return_inverse=True)
             where = miss[where]
-            raw = data.tobytes() if len(data) < 8 * _GROUP_BYTES else data
+            raw = data.tobytes() if len(data) < 32 * _GROUP_BYTES else data
             texts = [(raw[a:b] if isinstance(raw, bytes) else raw[a:b].tobytes()).decode("utf-8", "replace") for a, b in zip(starts[where].tolist(), ends[where].tolist())]
             found[miss] = self._learn(fresh, texts, first[where])[back]
         return found
