@@ -90,8 +90,11 @@ class ChunkCoder:
     def _learn(self, keys: np.ndarray, texts: list[str], first: np.ndarray) -> np.ndarray:
         got = self.encode(texts, first)
         values, flags = got if isinstance(got, tuple) else (got, None)
-        table = isinstance(values, np.ndarray)  # rows of one length
-        lengths = np.full(len(values), values.shape[1], np.int64) if table else np.fromiter(map(len, values), np.int64, len(values))
+        if isinstance(values, np.ndarray):  # rows of one length
+            lengths, flat = np.full(len(values), values.shape[1], np.int64), values.reshape(-1)
+        else:
+            lengths = np.fromiter(map(len, values), np.int64, len(values))
+            flat = np.fromiter((x for v in values for x in v), self.dtype, int(lengths.sum()))
         entries = np.arange(self.n, self.n + len(values), dtype=np.int32)
         total = int(lengths.sum())
         self.starts, self.lengths = self._grown(self.starts, self.n + len(values)), self._grown(self.lengths, self.n + len(values))
@@ -100,8 +103,7 @@ class ChunkCoder:
         self.lengths[entries] = lengths
         if flags is not None:
             self.flags[entries] = flags
-        if total:
-            self.pool[self.used : self.used + total] = values.reshape(-1) if table else np.concatenate([np.asarray(v, self.dtype) for v in values if len(v)]) if not isinstance(values[0], list) else np.fromiter((x for v in values for x in v), self.dtype, total)
+        self.pool[self.used : self.used + total] = flat
         self.n, self.used = self.n + len(values), self.used + total
         self._insert(keys, entries)
         return entries

@@ -143,3 +143,17 @@ def test_empty_tables(spark):
     token_shards.write_token_shards(none, P.path("byte_bpe_50k.json"), path, 2)
     assert token_shards.read_token_shards(spark, path).count() == 0
     assert sentencepiece_codec.round_trip(none, P.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_written_tables_can_be_cleared(spark):
+    from marquee.llm import store
+
+    kept = store._MADE[:]
+    store._MADE.clear()
+    table = store.written(spark.range(3).toDF("x"), "t")
+    assert table.count() == 3
+    path = store._MADE[0]
+    store.clear(spark)
+    store._MADE.extend(kept)
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
