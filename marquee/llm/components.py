@@ -5,33 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import settled, written
 
 
-def _checksum(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each u has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("root")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("leaf"), F.lit(1).alias("root")))
+    each = ends.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root"))
+    return not each.where("leaf + root > 1").head(1)
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Rows (id, component) for every id in the edges (a, b): the smallest id it can reach.
 
     Minima are partial aggregates and joins, so a hub's links are never gathered in one task.
-    Each round is a written table. It ends when the stars no longer change.
+    Each round is a written table. It ends when all edges form stars about their smallest ids.
     """
     stars = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "stars")
-    seen = _checksum(stars)
     for _ in range(rounds):
-        if not seen[0]:
+        if _are_stars(stars):
             break
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = settled(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         stars = written(small, "stars")
-        now = _checksum(stars)
-        if now == seen:
-            break
-        seen = now
+    else:
+        raise RuntimeError(f"no stars after {rounds} rounds")
     found = stars.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return found.unionByName(stars.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -242,10 +242,12 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     links = written(confirmed(first, sets), "links")
     found = written(components(links), "components")
     more = written(confirmed(_across(members, found, sets), sets), "more-links")
-    if more.head(1):
-        found = written(components(links.unionByName(more)), "components")
-
     named = classes.select("set_hash", "id").join(found, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
+    if more.head(1):  # only components, and no longer their texts, are to be merged
+        for end in ("a", "b"):
+            more = more.join(found.select(F.col("id").alias(end), F.col("component").alias(f"{end}_in")), end, "left").withColumn(end, F.coalesce(f"{end}_in", end)).drop(f"{end}_in")
+        merged = written(components(more), "merged").select(F.col("id").alias("component_id"), F.col("component").alias("merged"))
+        named = named.join(merged, "component_id", "left").select("set_hash", F.coalesce("merged", "component_id").alias("component_id"))
     named = settled(named, "classes-named")
     linked = known.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash").select("doc_id", "n_shingles", "component_id")
     alone = rows.where("set_hash IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
