@@ -39,6 +39,21 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return starts, np.searchsorted(starts, offsets)
 
 
+_HELD: dict[tuple[str, str], object] = {}
+
+
+def worker_cache(version: str, name: str, make: Callable[[], object]) -> object:
+    """This worker's object of a name for one version of a file or model.
+
+    Only objects of the last version are held, as a worker serves one operator after another.
+    """
+    if (version, name) not in _HELD:
+        for key in [k for k in _HELD if k[0] != version]:
+            del _HELD[key]
+        _HELD[version, name] = make()
+    return _HELD[version, name]
+
+
 class ChunkCoder:
     """Maps chunks to values (arrays) by an open hash table in NumPy; bounded by `capacity`."""
 

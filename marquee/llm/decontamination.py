@@ -19,7 +19,7 @@ from .text import flat_index, hash_spans, mix, pieces, spans_of, utf8
 
 WINDOW = 13
 #: Text bytes of a shard, and of the test items that one pass over the texts looks for.
-SHARD_BYTES, BLOCK_BYTES = 4 << 20, 16 << 20
+SHARD_BYTES, BLOCK_BYTES = 1 << 20, 16 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCoder
+from .chunks import ChunkCoder, worker_cache
 from .crf import CRF, train, word_features
 from .text import pieces, spans_of, utf8
 
@@ -26,7 +26,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
-_SCORERS: dict[str, ChunkCoder] = {}
+#: Distinct words whose scores a worker holds; scores are cheap to make again.
+CACHED_WORDS = 200_000
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,27 +64,27 @@ def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS, longest: int = SAMPLE_BYTE
 
 def _scorer(model: CRF, version: str) -> ChunkCoder:
     """A worker's cache of word scores."""
-    if version not in _SCORERS:
 
-        def score(texts: list[str], _) -> np.ndarray:
-            raw = [t.encode() for t in texts]
-            sizes = np.array([len(r) for r in raw], np.int64)
-            data = np.frombuffer(b"".join(raw), np.uint8)
-            ends = np.cumsum(sizes)
-            return model.emissions(*word_features(data, ends - sizes, ends), sizes)
+    def score(texts: list[str], _) -> np.ndarray:
+        raw = [t.encode() for t in texts]
+        sizes = np.array([len(r) for r in raw], np.int64)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum(sizes)
+        return model.emissions(*word_features(data, ends - sizes, ends), sizes)
 
-        _SCORERS.clear()
-        _SCORERS[version] = ChunkCoder(score, np.float32)
-    return _SCORERS[version]
+    return worker_cache(version, "scores", lambda: ChunkCoder(score, np.float32, CACHED_WORDS))
 
 
 def marginals(model: CRF, version: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray) -> np.ndarray:
     labels = len(model.labels)
     own = _scorer(model, version)
-    if own.n + len(starts) > own.capacity:
-        own._reset()
-    entries = own.entries(data, starts, ends, np.zeros(len(starts), bool))
-    scores = own.pool[own.starts[entries][:, None] + np.arange(labels)] if len(entries) else np.zeros((0, labels), np.float32)
+    scores = np.empty((len(starts), labels), np.float32)
+    for a in range(0, len(starts), CACHED_WORDS // 2):
+        part = slice(a, a + CACHED_WORDS // 2)
+        if own.n + len(starts[part]) > own.capacity:
+            own._reset()
+        entries = own.entries(data, starts[part], ends[part], np.zeros(len(starts[part]), bool))
+        scores[part] = own.pool[own.starts[entries][:, None] + np.arange(labels)]
     return model.posteriors(scores, before)
 
 

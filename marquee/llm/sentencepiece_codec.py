@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import tokenizer_files
-from .chunks import ChunkCoder
+from .chunks import ChunkCoder, worker_cache
 from .text import flat_index, pieces, utf8
 
 MARK = "▁"
@@ -181,13 +181,8 @@ class Codec:
         return data, offsets
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(raw: bytes, version: str, threads: int = 1) -> Codec:
-    if version not in _CODECS:
-        _CODECS[version] = Codec(raw, threads)
-    return _CODECS[version]
+    return worker_cache(version, "codec", lambda: Codec(raw, threads))
 
 
 def encode(docs: DataFrame, model_path: str, threads: int = 1) -> DataFrame:

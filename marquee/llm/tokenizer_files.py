@@ -8,9 +8,7 @@ import os
 
 import numpy as np
 
-from .chunks import ChunkCoder
-
-_CODERS: dict[str, object] = {}
+from .chunks import ChunkCoder, worker_cache
 
 
 def load(path: str) -> tuple[bytes, str, str]:
@@ -49,13 +47,15 @@ def coder(raw: bytes, kind: str, version: str, threads: int = 1) -> ChunkCoder |
     """This worker's chunk coder for a file; None where whole texts must be encoded."""
     os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-    if version not in _CODERS:
-        if kind == "json" and chunkable(raw):
-            largest = max([*json.loads(raw)["model"]["vocab"].values(), *(t["id"] for t in json.loads(raw).get("added_tokens", []))])
-            _CODERS[version] = ChunkCoder(whole_text_encoder(raw, kind), np.uint16 if largest < 1 << 16 else np.uint32)
-        else:
-            _CODERS[version] = None
-    return _CODERS[version]
+
+    def make() -> ChunkCoder | None:
+        if kind != "json" or not chunkable(raw):
+            return None
+        spec = json.loads(raw)
+        largest = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))])
+        return ChunkCoder(whole_text_encoder(raw, kind), np.uint16 if largest < 1 << 16 else np.uint32)
+
+    return worker_cache(version, "chunks", make)
 
 
 def ids_of(raw: bytes, kind: str, version: str, texts, data: np.ndarray, offsets: np.ndarray, threads: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +63,6 @@ def ids_of(raw: bytes, kind: str, version: str, texts, data: np.ndarray, offsets
     if (own := coder(raw, kind, version, threads)) is not None:
         ids, at, _ = own.values(data, offsets)
         return ids, at
-    key = version + "/whole"
-    if key not in _CODERS:
-        _CODERS[key] = whole_text_encoder(raw, kind)
-    lists = _CODERS[key](texts())
+    lists = worker_cache(version, "texts", lambda: whole_text_encoder(raw, kind))(texts())
     at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
     return np.fromiter((i for x in lists for i in x), np.uint32, int(at[-1])), at
