@@ -208,7 +208,9 @@ def _across(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     alone = relation.select("id", "main", F.explode("added").alias("shingle")).groupBy("main", "shingle").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id")).where("n = 1").groupBy("main", "id").agg(F.count(F.lit(1)).alias("alone"))
     bits = [f"{c}_{k}" for c in ("lacked", "added") for k in range(BIT_WORDS)]
     counts = relation.select("id", "main", "lacks", F.size("added").alias("adds"), *bits).join(alone, ["main", "id"], "left").withColumn("shared", F.col("adds") - F.coalesce("alone", F.lit(0)))
-    described = written(large.join(counts.select("id", "main", "lacks", "adds", "shared", *bits), ["id", "main"], "left"), "described")
+    # by pivot instead of by region, so that a pair which shares many regions is formed once
+    each = large.select(F.col("main").alias("region"), "main", "id", "n_shingles", "component").distinct()
+    described = written(each.join(counts.select("id", "main", "lacks", "adds", "shared", *bits), ["id", "main"], "left"), "described")
     both = F.least(*_common("lacked", "lacks")) + F.least("x_shared", "y_shared", *_common("added", "adds"))
     apart = F.col("x_lacks") + F.col("x_adds") + F.col("y_lacks") + F.col("y_adds") - 2 * both
     may = (100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("x_n_shingles") + F.col("y_n_shingles"))
