@@ -1,7 +1,8 @@
 """From raw documents to token ids: five stages, each written and read again.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the
-last return the columns of documents. Rows that repeat a doc_id share its decisions.
+last return the columns of documents. Each row has decisions of its own, whether its doc_id is
+unique, repeated or null.
 """
 
 from __future__ import annotations
@@ -17,36 +18,41 @@ from marquee.llm.store import settled, written
 LEAST_SCORE = 0.35
 
 
-def _with(docs: DataFrame, found: DataFrame, decided: str) -> DataFrame:
-    """The rows of docs whose doc_id the stage keeps; a null id has no decision and stays."""
-    gone = settled(found.where(f"NOT ({decided})").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti")
+def _whole(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with each whole row as its doc_id, for operators that carry the id along and only read the text."""
+    return docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, or with no clear language."""
-    found = language_id.predict(docs.select("doc_id", "text"), language_id.learn(docs))
-    return _with(docs, found, f"lang_pred != '{language_id.UNDETERMINED}' AND score >= {LEAST_SCORE}")
+    found = language_id.predict(_whole(docs), language_id.learn(docs))
+    return found.where(f"lang_pred != '{language_id.UNDETERMINED}' AND score >= {LEAST_SCORE}").select("doc_id.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts later copies of repeated line runs; a document goes if nothing but blank lines is left."""
-    cut = line_dedup.line_dedup(docs).where("n_removed > 0").select("doc_id", "kept_text", "n_removed", "n_lines").dropDuplicates(["doc_id"])
-    cut = settled(cut, "cut")
-    joined = docs.join(cut, "doc_id", "left").where("n_removed IS NULL OR n_removed < n_lines")
-    text = F.coalesce("kept_text", "text")
-    return joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.char_length("kept_text").cast("long"))).select(docs.columns)
+    others = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], F.col("text").isNull().alias("no_text"))
+    cut = line_dedup.line_dedup(docs.select("doc_id", "text", others.alias("others")), keep=["others"]).where("n_removed = 0 OR n_removed < n_lines")
+    cut = cut.select("doc_id", "others.*", "n_removed", F.when(~F.col("others.no_text"), F.col("kept_text")).alias("text"))
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group, that with the smallest doc_id."""
-    return _with(docs, lsh_forest.near_dedup(docs), "kept")
+    """Keeps one row of each near-duplicate group, that with the smallest doc_id; a null one comes last.
+
+    Rows are numbered, so that the texts of one id are apart and rows without an id take part.
+    """
+    rows = written(docs.withColumns({"row_no": F.monotonically_increasing_id(), "tie": F.xxhash64("text")}), "numbered")
+    found = lsh_forest.near_dedup(rows.select(F.col("row_no").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_no"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie", "row_no")
+    kept = found.join(rows.select("row_no", "doc_id", "tie"), "row_no").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row_no")
+    return rows.join(settled(kept, "kept"), "row_no", "left_semi").select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark passages, by the share of their words."""
-    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _with(docs, found, "NOT contaminated")
+    found = decontamination.contamination(_whole(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where("NOT contaminated").select("doc_id.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ array with a common prefix of that depth; runs of any depth between are two over
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -98,23 +98,24 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "gone"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], [*(c for c in batch.schema.names if c != "gone"), "kept_text", "n_lines", "n_removed", "n_runs"])
 
 
-def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_LINE_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_LINE_WORDS, keep: Sequence[str] = ()) -> DataFrame:
     """Rows (doc_id, kept_text, n_lines, n_removed, n_runs), one for each row of `docs`.
 
     Lines are compared without white space at their ends; blank ones don't count and stay. A
     run of min_lines lines, or a line of long_words words, goes where the same run starts at an
     earlier place, by doc_id (null first) and line. Overlapping copies join to maximal runs.
     Of rows with one doc_id, the order is that of a hash of the text; equal rows are one and
-    keep the same lines. A null text is empty. Other columns are ignored; an empty table gives
-    no rows. A hot line is pre-aggregated by each task, and joins back where Spark can split.
+    keep the same lines. A null text is empty. Other columns are ignored, but those in `keep`
+    come along with their row; an empty table gives no rows. A hot line is pre-aggregated by each task, and joins back where Spark can split.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    lines = keyed.mapInArrow(_lines, f"doc_id {kind}, key long, at long, n1 long, n2 long, words long")
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep).withColumn("key", F.xxhash64("doc_id", "text"))
+    lines = keyed.select("doc_id", "text", "key").mapInArrow(_lines, f"doc_id {kind}, key long, at long, n1 long, n2 long, words long")
     single, runs = repeated_runs(lines, min_lines)
     later = F.struct(*PLACE) > F.col("name")
     gone = single.where((F.col("words") >= long_words) & later).select("key", "at")
     gone = gone.unionByName(runs.where(later).select("key", F.explode(F.sequence("at", F.col("at") + min_lines - 1)).alias("at")))
     gone = gone.groupBy("key").agg(F.collect_set("at").alias("gone"))
-    cut = keyed.join(gone, "key", "left").select("doc_id", "text", "gone")
-    return cut.mapInArrow(_cut, f"doc_id {kind}, text string, kept_text string, n_lines long, n_removed long, n_runs long").drop("text")
+    cut = keyed.join(gone, "key", "left").select("doc_id", "text", *keep, "gone")
+    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return cut.mapInArrow(_cut, f"doc_id {kind}, text string, {kinds}kept_text string, n_lines long, n_removed long, n_runs long").drop("text")

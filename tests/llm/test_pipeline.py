@@ -48,6 +48,37 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert {r.doc_id for r in P.run(spark, str(tmp_path)).collect()} == set(kept[-1])
 
 
+def test_repeated_and_null_ids_have_decisions_of_their_own(spark, tmp_path):
+    rows, text = made()
+    passage = " ".join("ka%d" % i for i in range(30))
+    long = [text("xx", 60) for _ in range(4)]
+    clear = {x: (i, x) for x, i in zip(long, (700, 700, None, 701))}
+    extra = [
+        *clear.values(),
+        (700, "123 !!!"), (None, "456 ???"),  # no language
+        (702, "tomi kato\nmika toka\n" + text("xx", 30)), (703, "tomi kato\nmika toka"), (703, text("xx", 50)), (None, "tomi kato\nmika toka\n" + text("xx", 40)),  # repeated lines; null ids come first
+        (701, long[0] + " ka"), (None, long[3] + " ka"), (None, long[2]),  # near copies
+        (701, text("xx", 9) + " " + passage), (None, text("xx", 8) + " " + passage),  # contaminated
+    ]
+    table = [(i, t, g, "s", len(t)) for i, t, g in rows] + [(i, t, "xx", "s", len(t)) for i, t in extra]
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, left = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, stage in P.STAGES[:-1]:
+        docs = written(stage(spark, docs, str(tmp_path)), "stage")
+        left.append([(r.doc_id, r.text) for r in docs.collect() if r.doc_id is None or r.doc_id >= 700])
+        assert all(r.n_chars == len(r.text) for r in docs.collect())
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(left[0], key=key) == sorted((r for r in extra if "!" not in r[1] and "?" not in r[1]), key=key)
+    cut = [(i, t.removeprefix("tomi kato\nmika toka\n") if i == 702 else t) for i, t in left[0] if (i, t) != (703, "tomi kato\nmika toka")]
+    assert sorted(left[1], key=key) == sorted(cut, key=key)
+    copies = [(701, long[0] + " ka"), (None, long[3] + " ka"), (None, long[2])]
+    for c in copies:
+        cut.remove(c)
+    assert sorted(left[2], key=key) == sorted(cut, key=key) and set(clear.values()) <= set(left[2])
+    assert sorted(left[3], key=key) == sorted((r for r in cut if passage not in r[1]), key=key)
+
+
 def test_registered():
     entry = importlib.import_module("__spark_entry__")
     assert "pipeline" in entry.queries() and {f"op{n}_" for n in range(1, 11)} <= {q.split("_")[0] + "_" for q in entry.queries()}
