@@ -1,8 +1,9 @@
 """License scan: winnowed fingerprints find candidates, banded alignment reports the match.
 
-Fingerprints of the templates form an inverted index. A text's fingerprints that meet it vote
-for a template and a diagonal; around each diagonal with votes a banded local alignment of
-words gives the matched spans and how much of the template they cover.
+Fingerprints of the templates form an inverted index. A text's fingerprints that meet it give
+a template and a place in it; around such an anchor a banded local alignment of words gives
+the matched spans and how much of the template they cover. As a match may keep no fingerprint,
+each template is also indexed by so many of its words that a match must keep one of them.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from .text import hash_spans, mix, pieces, spans_of, utf8
 
-#: Words in a gram, grams in a window, words off the diagonal, and the least coverage reported.
+#: Words in a gram, grams in a window, words off the diagonal unless told, and the least coverage reported.
 GRAM, WINNOW, BAND, COVERAGE = 3, 4, 8, 0.75
 #: Bound of all templates' words, which the index of every task holds.
 MOST_WORDS = 2_000_000
@@ -62,65 +63,131 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
 
 
 class Templates:
-    """The inverted index: sorted fingerprints with their template and place.
+    """The inverted index: sorted fingerprints with their size, template and place.
 
     Templates are winnowed and texts give all their grams, so that any stretch of
     gram + window - 1 words that a text shares with a template meets the index. Templates of
-    few grams are indexed by all of them.
+    few grams are indexed by all of them. A match at the least coverage may miss some words of
+    its template; one word more than those, the rarest by a guess, are in the index too, so
+    that every match meets it.
     """
 
-    def __init__(self, templates: list[tuple[str, str]], gram: int = GRAM, window: int = WINNOW):
+    def __init__(self, templates: list[tuple[str, str]], gram: int = GRAM, window: int = WINNOW, coverage: float = COVERAGE):
         self.gram, self.window = gram, window
         self.names = [name for name, _ in templates]
-        hashes, _, _, before = words_of(*utf8(pa.array([t for _, t in templates], pa.large_string())))
+        hashes, starts, ends, before = words_of(*utf8(pa.array([t for _, t in templates], pa.large_string())))
         self.words = [hashes[a:b] for a, b in zip(before[:-1], before[1:])]
         self.smaller = [min(gram, len(w)) for w in self.words]
-        keys, which, place = [], [], []
+        self.least = np.array([next((k for k in range(1, len(w) + 1) if k >= coverage * len(w)), 1) for w in self.words], np.int64)
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        self.vocabulary, ids, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        self.counts = [np.unique(ids[a:b], return_counts=True) for a, b in zip(before[:-1], before[1:])]
+        rare = np.lexsort([-(ends - starts), counts[ids]])  # by use in templates, then the longest
+        rank = np.empty(len(hashes), np.int64)
+        rank[rare] = np.arange(len(hashes))
+        keys, which, place, size = [], [], [], []
         for t, words in enumerate(self.words):
             if not len(words):
                 continue
             own = grams(words, self.smaller[t])
             at = winnow(own, window) if len(own) > window else np.arange(len(own))
-            keys.append(own[at])
-            which.append(np.full(len(at), t))
-            place.append(at)
-        keys, which, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, which, place))
+            alone = np.argsort(rank[before[t] : before[t + 1]], kind="stable")[: len(words) - self.least[t] + 1]
+            if self.smaller[t] == 1:
+                at, own, alone = np.arange(1), own, alone[:0]
+            keys += [own[at], grams(words, 1)[alone]]
+            place += [at, alone]
+            size += [np.full(len(at), self.smaller[t]), np.ones(len(alone), np.int64)]
+            which.append(np.full(len(at) + len(alone), t))
+        keys, which, place, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, which, place, size))
         order = np.argsort(keys, kind="stable")
-        self.keys, self.which, self.place = keys[order].astype(np.uint64), which[order], place[order]
-        self.sizes = sorted({s for s, w in zip(self.smaller, self.words) if len(w)})
+        self.keys, self.which, self.place, self.size = keys[order].astype(np.uint64), which[order], place[order], size[order]
+        self.sizes = np.unique(self.size)[::-1].tolist()
 
-    def candidates(self, hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Distinct (text, template, diagonal block, place) rows of a batch."""
-        found = []
+    def candidates(self, hashes: np.ndarray, before: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Distinct (text, template, place in the text, diagonal) rows of a batch, those of larger grams first.
+
+        `known` are the words' places in the vocabulary, or -1. Where a match can lie, too few
+        known words rule it out.
+        """
+        found = [np.zeros((0, 4), np.int64)]
+        seen = np.concatenate([[0], np.cumsum(known >= 0)])
         for size in self.sizes:
             own = grams(hashes, size)
             text = np.searchsorted(before, np.arange(len(own)), "right") - 1
             inside = np.arange(len(own)) + size <= before[text + 1]
-            at = np.flatnonzero(inside)
+            at = np.flatnonzero(inside & (known[: len(own)] >= 0))
             low, high = np.searchsorted(self.keys, own[at], "left"), np.searchsorted(self.keys, own[at], "right")
             n = high - low
             hit = np.repeat(at, n)
             rows = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            keep = np.array([self.smaller[t] == size for t in self.which[rows]], bool) if len(rows) else np.zeros(0, bool)
+            keep = self.size[rows] == size
             hit, rows = hit[keep], rows[keep]
-            found.append(np.stack([text[hit], self.which[rows], hit - before[text[hit]] - self.place[rows]], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+            t, first, last = self.which[rows], before[text[hit]], before[text[hit] + 1]
+            low, high = self.reach(hit - self.place[rows], t)
+            keep = seen[np.clip(high, first, last)] - seen[np.clip(low, first, last)] >= self.least[t]
+            hit, rows, t, first = hit[keep], rows[keep], t[keep], first[keep]
+            found.append(np.unique(np.stack([text[hit], t, hit - first, hit - first - self.place[rows]], 1), axis=0))
+        return np.concatenate(found)
+
+    def reach(self, diagonal, t):
+        """The words among which a match about a diagonal lies: its score bounds what it inserts by twice the template's words."""
+        return diagonal - 2 * self.lengths[t], diagonal + 3 * self.lengths[t]
+
+    def possible(self, known: np.ndarray, t: int) -> bool:
+        """Whether these words of a text have enough of a template's in common, in any order."""
+        if len(known) < self.least[t]:
+            return False
+        ids, limits = self.counts[t]
+        have, n = np.unique(known[known >= 0], return_counts=True)
+        at = np.minimum(np.searchsorted(ids, have), len(ids) - 1)
+        return int(np.where(ids[at] == have, np.minimum(n, limits[at]), 0).sum()) >= self.least[t]
+
+    def match(self, text: np.ndarray, known: np.ndarray, t: int, place: int, diagonal: int) -> tuple[int, int, int]:
+        """Matches, from and to in the text, of the best alignment that holds a place; none if it has too few matches."""
+        low, high = (min(max(int(x), 0), len(text)) for x in self.reach(diagonal, t))
+        template = self.words[t]
+        while self.possible(known[low:high], t):
+            hits, a, b, score = align(text[low:high], template, diagonal - low, 5 * len(template))
+            if not score:
+                break
+            if low + a <= place < low + b:
+                return (hits, low + a, low + b) if hits >= self.least[t] else (0, 0, 0)
+            low, high = (low + b, high) if low + b <= place else (low, low + a)
+        return 0, 0, 0
 
 
 def align(text: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int, int]:
-    """Best local alignment of words within a band about a diagonal: matches, from, to in the text, and the score."""
+    """Best local alignment of words within a band about a diagonal: matches, from, to in the text, and the score.
+
+    A row of the table at a time. Of equal scores a pair of words goes first, then a left-out
+    word of the template, then one of the text.
+    """
     low, high = max(0, diagonal - band), min(len(text), diagonal + len(template) + band)
     part = text[low:high]
     n = len(part)
+    if n <= 0:
+        return 0, 0, 0, 0
     score, hits, begin = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), np.arange(n + 1)
     best = (0, 0, 0, 0)
-    for i, word in enumerate(template.tolist()):
+    for i, word in enumerate(template):
         a, b = max(1, diagonal + i - band - low + 1), min(n, diagonal + i + band - low + 1)
         new, new_hits, new_begin = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), np.arange(n + 1)
-        for j in range(a, b + 1):
-            same = part[j - 1] == word
-            options = ((score[j - 1] + (MATCH if same else MISS), hits[j - 1] + same, begin[j - 1]), (score[j] + GAP, hits[j], begin[j]), (new[j - 1] + GAP, new_hits[j - 1], new_begin[j - 1]), (0, 0, j))
-            new[j], new_hits[j], new_begin[j] = max(options, key=lambda o: o[0])
+        if a <= b:
+            here, left = slice(a, b + 1), slice(a - 1, b)
+            same = part[left] == word
+            pair, skip = score[left] + np.where(same, MATCH, MISS), score[here] + GAP
+            paired = pair >= skip
+            top = np.maximum(pair, skip)
+            own = top >= 0
+            places = np.arange(a, b + 1)
+            own_hits = np.where(own, np.where(paired, hits[left] + same, hits[here]), 0)
+            own_begin = np.where(own, np.where(paired, begin[left], begin[here]), places)
+            # a cell's value is the best of those before it, less a gap for each word between
+            value = 2 * (np.maximum(top, 0) - GAP * places) + own
+            source = np.maximum.accumulate(np.where(value == np.maximum.accumulate(value), places - a, 0))
+            new[here] = np.maximum(top, 0)[source] + GAP * (places - places[source])
+            new_hits[here], new_begin[here] = own_hits[source], own_begin[source]
+            j = int(new.argmax())
             if new[j] > best[3]:
                 best = (int(new_hits[j]), int(new_begin[j]) + low, j + low, int(new[j]))
         score, hits, begin = new, new_hits, new_begin
@@ -138,7 +205,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     and empty texts have none. Other columns are ignored; repeated rows and null ids stay;
     nothing is shuffled. The templates are a parameter and bounded by MOST_WORDS.
     """
-    own = Templates(sorted((TEMPLATES if templates is None else templates).items()))
+    own = Templates(sorted((TEMPLATES if templates is None else templates).items()), coverage=coverage)
     if sum(map(len, own.words)) > MOST_WORDS:
         raise ValueError("too many template words for one index; scan with parts of the templates")
     shared = docs.sparkSession.sparkContext.broadcast(own)
@@ -148,17 +215,19 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
         index: Templates = shared.value
         for batch in pieces(batches):
             hashes, starts, ends, before = words_of(*(x := utf8(batch.column("text"))))
-            rows = index.candidates(hashes, before)
+            at = np.minimum(np.searchsorted(index.vocabulary, hashes), max(len(index.vocabulary) - 1, 0))
+            known = np.where(index.vocabulary[at] == hashes, at, -1) if len(index.vocabulary) else np.full(len(hashes), -1)
             found: list[list[tuple]] = [[] for _ in range(batch.num_rows)]
-            done: dict[tuple[int, int], int] = {}
-            for d, t, diagonal in rows.tolist():
-                if diagonal - done.get((d, t), -(10**9)) <= BAND // 2:
-                    continue  # the band of the alignment before holds this diagonal too
-                done[d, t] = diagonal
-                text, template = hashes[before[d] : before[d + 1]], index.words[t]
-                hits, a, b, _ = align(text, template, diagonal)
-                if hits >= coverage * len(template):
-                    found[d].append((index.names[t], hits / len(template), hits, a, b))
+            done: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for d, t, place, diagonal in index.candidates(hashes, before, known).tolist():
+                spans = done.setdefault((d, t), [])
+                if any(a <= place < b for a, b in spans):
+                    continue  # what holds this place overlaps a match
+                part = slice(before[d], before[d + 1])
+                hits, a, b = index.match(hashes[part], known[part], t, place, diagonal)
+                if hits:
+                    spans.append((a, b))
+                    found[d].append((index.names[t], hits / len(index.words[t]), hits, a, b))
             out = []
             for d, items in enumerate(found):
                 kept: list[tuple] = []

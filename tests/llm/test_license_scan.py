@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from marquee.llm import license_scan as L
 
@@ -63,6 +64,64 @@ def test_every_planted_copy_is_found(spark):
     assert all(want[i] in got[i] for i in range(40))
 
 
+def whole_alignment(text, template):
+    """Matches of the best local alignment of all words of both."""
+    return L.align(text, template, 0, len(text) + len(template))[0] if len(text) else 0
+
+
+def test_edited_copies_are_found_as_by_whole_alignment(spark):
+    rnd = random.Random(11)
+    docs = ["Released under an MIT License.", "Released under the so called MIT style License", "x released y under z the u mit v license w", "see: licensed under cc by sa 4 0"]
+    for name, template in sorted(L.TEMPLATES.items()) * 30:
+        words = template.split()
+        for _ in range(rnd.randrange(1, max(2, len(words) // 3))):
+            k = rnd.randrange(len(words))
+            words[k : k + rnd.choice([0, 1, 1])] = rnd.choice([["other"], ["new", "words"], [], ["w%d" % i for i in range(rnd.randrange(1, 14))]])
+            words = words or ["the"]
+        filler = [rnd.choice(["the", "of", "lorem", "ipsum", "software", "license"]) for _ in range(rnd.randrange(0, 20))]
+        docs.append(" ".join([*filler, "q", *words]))
+    got = L.scan_licenses(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    found, edges = {(r.doc_id, m["license"]): m["coverage"] for r in got for m in r.matches}, 0
+    hashes, _, _, before = L.words_of(*L.utf8(pa.array(docs, pa.large_string())))
+    templates = L.Templates(sorted(L.TEMPLATES.items()))
+    for d in range(len(docs)):
+        for name, words in zip(templates.names, templates.words):
+            coverage = whole_alignment(hashes[before[d] : before[d + 1]], words) / len(words)
+            if coverage >= L.COVERAGE:
+                assert found[d, name] >= coverage, (docs[d], name)
+                edges += coverage < 1
+    assert edges > 60 and found[0, "MIT"] == 0.8 and found[1, "MIT"] == found[2, "MIT"] == 1 and found[3, "CC-BY-NC-4.0"] > 0.85
+
+
+def test_adjacent_copies_stay_apart(spark):
+    texts = ["Released under the MIT License. " * 40, "Released under an MIT License. " * 40]
+    got = L.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: [m["coverage"] for m in r.matches] for r in got} == {0: [1.0] * 40, 1: [0.8] * 40}
+
+
+def test_rows_of_an_alignment_equal_cells():
+    def cells(text, template, diagonal, band):
+        low, high = max(0, diagonal - band), min(len(text), diagonal + len(template) + band)
+        part, n = text[low:high], max(high - low, 0)
+        rows, best = [(0, 0, j) for j in range(n + 1)], (0, 0, 0, 0)
+        for i, word in enumerate(template):
+            new = [(0, 0, j) for j in range(n + 1)]
+            for j in range(max(1, diagonal + i - band - low + 1), min(n, diagonal + i + band - low + 1) + 1):
+                same = part[j - 1] == word
+                pair, skip, gap = rows[j - 1], rows[j], new[j - 1]
+                new[j] = max(((pair[0] + (L.MATCH if same else L.MISS), pair[1] + same, pair[2]), (skip[0] + L.GAP, *skip[1:]), (gap[0] + L.GAP, *gap[1:]), (0, 0, j)), key=lambda o: o[0])
+                if new[j][0] > best[3]:
+                    best = (new[j][1], new[j][2] + low, j + low, new[j][0])
+            rows = new
+        return best
+
+    rnd = random.Random(4)
+    for _ in range(400):
+        text, template = ([rnd.randrange(rnd.choice([2, 5, 20])) for _ in range(rnd.randrange(1, 25))] for _ in range(2))
+        diagonal, band = rnd.randrange(-5, 20), rnd.choice([0, 2, 8, 40])
+        assert L.align(np.array(text), np.array(template), diagonal, band) == cells(text, template, diagonal, band)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert L.scan_licenses(none).count() == 0
