@@ -71,9 +71,9 @@ def resolve_by_table(items: DataFrame, rules: DataFrame, path: str = "path") ->
     Prefixes meet paths by the prefix's length and text in an equi-join, so that many rules
     need no comparison of each path with each rule.
     """
-    lengths = [r[0] for r in rules.select(F.length("prefix")).distinct().limit(1000).collect()]
-    keyed = items.select("item_id", path, F.explode(F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")).alias("n"))
-    keyed = keyed.where(F.length(path) >= F.col("n")).withColumn("prefix", F.substring(F.col(path), F.lit(1), F.col("n")))
+    lengths = rules.agg(F.collect_set(F.length("prefix")).alias("lengths"))  # one row, no longer than the longest prefix
+    keyed = items.select("item_id", path).crossJoin(F.broadcast(lengths))
+    keyed = keyed.select("item_id", path, F.explode(F.filter("lengths", lambda n: n <= F.length(path))).alias("n")).withColumn("prefix", F.substring(F.col(path), F.lit(1), F.col("n")))
     first = keyed.join(rules, "prefix").groupBy("item_id").agg(F.min_by(F.struct("replacement", "n"), "ordinal").alias("rule"))
     joined = items.join(first, "item_id", "left")
     changed = F.concat(F.col("rule.replacement"), F.substring(F.col(path), F.col("rule.n") + 1, F.length(path)))

@@ -68,3 +68,13 @@ def test_names_files_and_draws(spark):
     draws = [r.x for r in spark.range(500).select(S.uniform(1, 0, F.col("id")).alias("x")).collect()]
     assert 0 <= min(draws) < 0.05 and 0.95 < max(draws) < 1
     assert draws != [r.x for r in spark.range(500).select(S.uniform(1, 1, F.col("id")).alias("x")).collect()]
+
+
+def test_rules_of_many_prefix_lengths(spark):
+    rules = spark.createDataFrame([(n, "/" + "a" * n, "/%d" % n) for n in range(1200, 0, -1)], "ordinal int, prefix string, replacement string")
+    items = spark.createDataFrame([(n, "/" + "a" * n + "/x") for n in range(1, 1201, 7)] + [(0, "/b"), (-1, None)], "item_id int, path string")
+    got = {r.item_id: r.resolved for r in S.resolve_by_table(items, rules.where("ordinal = 1 OR ordinal > 100")).collect()}
+    assert got.pop(0) == "/b" and got.pop(-1) is None
+    assert got == {n: "/1" + "a" * (n - 1) + "/x" for n in range(1, 1201, 7)}
+    last = S.resolve_by_table(items, rules.withColumn("ordinal", -rules["ordinal"])).collect()
+    assert {r.item_id: r.resolved for r in last if r.item_id > 0} == {n: "/%d/x" % n for n in range(1, 1201, 7)}
