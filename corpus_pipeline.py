@@ -51,7 +51,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark passages, by the share of their words."""
-    found = decontamination.contamination(_whole(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontamination.contamination(_whole(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), unnamed=True)
     return found.where("NOT contaminated").select("doc_id.*")
 
 

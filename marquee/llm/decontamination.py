@@ -33,11 +33,15 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hash_spans(low, starts, ends), starts, ends, before
 
 
+def _by_name(item: str | None) -> tuple[bool, str]:
+    return item is None, item or ""
+
+
 class Phrases:
     """A block of test items: its vocabulary, its distinct phrases, and the items of each phrase."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        self.names = sorted({i for i, _ in items})
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
+        self.names = sorted({i for i, _ in items}, key=_by_name)
         number = {name: k for k, name in enumerate(self.names)}
         column = pa.array([t for _, t in items], pa.large_string())
         hashes, _, _, before = words_of(*utf8(column))
@@ -94,14 +98,14 @@ def _scan(shared, window: int, later: bool):
             pairs = np.unique(np.stack([which, phrase], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
             item = block.items[flat_index(block.item_starts[pairs[:, 1]], block.item_sizes[pairs[:, 1]])]
             pairs = np.unique(np.stack([np.repeat(pairs[:, 0], block.item_sizes[pairs[:, 1]]), item], 1), axis=0) if len(pairs) else pairs
-            items: list[list[str]] = [[] for _ in range(batch.num_rows)]
+            items: list[list[str | None]] = [[] for _ in range(batch.num_rows)]
             for d, i in pairs.tolist():
                 items[d].append(block.names[i])
             first, last, of = spans_of(hit, before)
             spans = [[{"word": a, "end_word": b, "from": c, "to": d} for a, b, c, d in zip(*(x.tolist() for x in (first[p:q] - w, last[p:q] - w, starts[first[p:q]] - o, ends[last[p:q] - 1] - o)))] for p, q, w, o in zip(of[:-1].tolist(), of[1:].tolist(), before[:-1].tolist(), offsets[:-1].tolist())]
             if later:
                 spans = [_union(x, y) for x, y in zip(batch.column("spans").to_pylist(), spans)]
-                items = [sorted({*x, *y}) for x, y in zip(batch.column("item_ids").to_pylist(), items)]
+                items = [sorted({*x, *y}, key=_by_name) for x, y in zip(batch.column("item_ids").to_pylist(), items)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(np.diff(before)), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "spans", "item_ids"])
 
     return scan
@@ -122,10 +126,11 @@ def _union(x: list[dict], y: list[dict]) -> list[dict]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, block_bytes: int, unnamed: bool) -> Iterator[list[tuple[str | None, str]]]:
     """The test items in blocks of bounded size; a partition at a time comes to the driver."""
     held, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    rows = benchmark.select(F.col("item_id").cast("string"), "text").where("text IS NOT NULL")
+    rows = rows if unnamed else rows.where("item_id IS NOT NULL")
     for item, text in rows.toLocalIterator():
         held.append((item, text))
         size += len(text)
@@ -135,19 +140,20 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
     yield held
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, unnamed: bool = False) -> DataFrame:
     """Rows (doc_id, n_words, n_hit, n_items, item_ids, spans, contaminated), one for each row of `docs`.
 
     The test phrases are all runs of `window` words of an item, or the whole of a shorter one.
     spans are the merged runs of hit words, as words and as bytes of the text. Items come to the
     tasks in blocks of bounded size, each in one pass over the texts; nothing is shuffled. Null
-    texts have no words. Items without id, text or words are left out; repeated ids are one
-    item. Other columns are ignored. Empty tables give no rows, or no hits.
+    texts have no words. Items without text or words are left out; repeated ids are one item.
+    With `unnamed`, items without id hit as others do, and all of them are one null in item_ids,
+    which n_items counts; otherwise they are left out. Other columns are ignored. Empty tables give no rows, or no hits.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
-    for k, items in enumerate(_blocks(benchmark, block_bytes)):
+    for k, items in enumerate(_blocks(benchmark, block_bytes, unnamed)):
         shared = spark.sparkContext.broadcast(Phrases(items, window))
         rows = rows.mapInArrow(_scan(shared, window, k > 0), f"doc_id {kind}, text string, n_words long, spans {_SPANS_SQL}, item_ids array<string>")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end_word"] - s["word"])

@@ -1,9 +1,11 @@
+import hashlib
 import random
 import re
 
 import numpy as np
 
 from marquee.llm import decontamination as D
+from marquee.llm import queries as Q
 from marquee.llm.fm_index import FMIndex, suffix_array
 
 PATTERN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -79,6 +81,21 @@ def test_equals_brute_force(spark):
                 assert words(t)[s["word"] : s["end_word"]] == words(t.encode()[s["from"] : s["to"]].decode())
 
 
+def test_items_without_id_hit(spark, tmp_path):
+    docs = [(1, "so The cat SAT down"), (2, "the cat sat, a dog ran"), (3, "a dog ran"), (4, "none")]
+    items = [(None, "the cat sat"), (7, "a dog ran"), (None, "cat sat down"), (8, None), (None, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table, bench = (spark.read.parquet(f"{tmp_path}/{name}.parquet") for name in ("documents", "benchmark"))
+    want = {1: (4, 1, [None], True), 2: (6, 2, ["7", None], True), 3: (3, 1, ["7"], True), 4: (0, 0, [], False)}
+    for size in (1 << 20, 5):
+        got = D.contamination(table, bench, block_bytes=size, unnamed=True).collect()
+        assert {r.doc_id: (r.n_hit, r.n_items, r.item_ids, r.contaminated) for r in got} == want
+    # what the query's SQL gives: string_agg leaves out nulls, count(*) doesn't
+    rows = {r.doc_id: r for r in Q.QUERIES["op7_decontamination"](spark, str(tmp_path)).collect()}
+    assert {i: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for i, r in rows.items()} == {i: (h, n, hashlib.sha256(",".join(x for x in s if x).encode()).hexdigest(), c) for i, (h, n, s, c) in want.items()}
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
