@@ -19,7 +19,7 @@ from .chunks import ChunkCoder, worker_cache
 from .crf import CRF, train, word_features
 from .text import pieces, spans_of, utf8
 
-#: The sample that is learned from: texts a language, and the bytes of the longest such text.
+#: The sample that is learned from: texts a language, and the bytes of the longest that is drawn first.
 SAMPLE_TEXTS, SAMPLE_BYTES = 300, 20_000
 UNDETERMINED = "und"
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -44,17 +44,23 @@ def held_out(doc_id) -> F.Column:
 def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS, longest: int = SAMPLE_BYTES) -> CRF:
     """A model from a bounded sample of the labelled documents that are not held out.
 
-    The sample has at most `texts` whole texts of each language and of at most `longest` bytes
-    each: those least by a hash of the row. Rows that hash beyond what a language's count calls
-    for are left out before any text moves, so what moves doesn't grow with the table. Nothing
-    but text and lang is learned from.
+    The sample has at most `texts` texts of each language and texts * longest bytes of them:
+    those least by a hash of the row, of at most `longest` bytes each. Only where a language
+    has too few of these do longer ones fill its sample, whole, as far as the bytes allow; of
+    a first text that alone has more, the beginning is taken. Rows that hash beyond what a language's
+    count calls for are left out, and only drawn texts move, so what moves doesn't grow with
+    the table. Equal rows are one. Nothing but text and lang is learned from.
     """
-    fit = docs.where(~held_out("doc_id")).where("lang IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text") <= longest).select("lang", "text", F.xxhash64("doc_id", "text").alias("draw"))
-    counts = fit.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row a label, as the model has
+    most = texts * longest
+    size = F.octet_length("text")
+    fit = docs.where(~held_out("doc_id")).where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("doc_id", "text").alias("draw"), size.alias("size"), (size > longest).alias("long"))
+    counts = fit.groupBy("lang", "long").agg(F.count(F.lit(1)).alias("n"))  # two rows a label, as the model has
     share = F.shiftrightunsigned("draw", 11) / F.lit(float(1 << 53))
-    near = fit.join(F.broadcast(counts), "lang").where(share * F.col("n") <= 2 * texts + 100).drop("n")
-    order = Window.partitionBy("lang").orderBy("draw", "text")
-    sample = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts).orderBy("lang", "draw", "text").select("lang", "text").collect()
+    near = fit.join(F.broadcast(counts), ["lang", "long"]).where(share * F.col("n") <= 2 * texts + 100).select("lang", "long", "draw", "size").distinct()
+    order = Window.partitionBy("lang").orderBy("long", "draw")
+    drawn = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= texts).withColumn("sum", F.sum("size").over(order)).where((F.col("sum") <= most) | (F.col("k") == 1)).select("lang", "draw", "long")
+    whole = fit.join(F.broadcast(drawn), ["lang", "draw", "long"]).select("lang", "draw", F.when(F.col("size") <= most, F.col("text")).otherwise(F.substring("text", 1, most // 4)).alias("text"))
+    sample = whole.distinct().orderBy("lang", "draw", "text").select("lang", "text").collect()
 
     def spans(data: np.ndarray):
         return spans_of(_LETTER[data], np.array([0, len(data)]))[:2]

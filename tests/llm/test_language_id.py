@@ -86,6 +86,18 @@ def test_words_of_switched_text(spark):
     assert sum(w.lang == ("yy" if k < 15 else "zz") for k, w in enumerate(words)) >= 26
 
 
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rows, text = made()
+    long = [(2000 + i, text(lang, 120), lang) for i, lang in enumerate(["yy", "zz"] * 40)]
+    rows = [r for r in rows if r[2] == "xx"] + long
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for texts, longest in ((300, 500), (3, 500), (1, 100)):  # all, some, and a part of one of the long texts
+        model = G.learn(docs, texts, longest)
+        assert model.labels == ["xx", "yy", "zz"]
+    got = {r.doc_id: r.lang_pred for r in G.predict(docs, G.learn(docs, 300, 500)).collect()}
+    assert sum(got[i] == lang for i, _, lang in long) >= 0.97 * len(long)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert G.predict(none, G.learn(none)).count() == 0
