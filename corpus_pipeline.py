@@ -18,15 +18,26 @@ from marquee.llm.store import settled, written
 LEAST_SCORE = 0.35
 
 
-def _whole(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with each whole row as its doc_id, for operators that carry the id along and only read the text."""
-    return docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
+#: What tells rows apart for decisions on the text alone: equal rows have the same.
+KEY = {"id": "doc_id", "key1": "xxhash64(text)", "key2": "xxhash64(7, text)"}
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the row's key as its doc_id, for operators that carry the id along and only read the text."""
+    return docs.select(F.struct(*[F.expr(x).alias(k) for k, x in KEY.items()]).alias("doc_id"), "text")
+
+
+def _with(docs: DataFrame, found: DataFrame, decided: str) -> DataFrame:
+    """The rows of docs that the stage keeps, by what it found on their keys."""
+    gone = settled(found.where(f"NOT ({decided})").select("doc_id.*").distinct(), "gone")
+    on = [F.col(f"g.{k}").eqNullSafe(F.col(f"d.{k}")) for k in KEY]
+    return docs.withColumns({k: F.expr(x) for k, x in KEY.items()}).alias("d").join(gone.alias("g"), on, "left_anti").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, or with no clear language."""
-    found = language_id.predict(_whole(docs), language_id.learn(docs))
-    return found.where(f"lang_pred != '{language_id.UNDETERMINED}' AND score >= {LEAST_SCORE}").select("doc_id.*")
+    found = language_id.predict(_keyed(docs), language_id.learn(docs))
+    return _with(docs, found, f"lang_pred != '{language_id.UNDETERMINED}' AND score >= {LEAST_SCORE}")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +62,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark passages, by the share of their words."""
-    found = decontamination.contamination(_whole(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), unnamed=True)
-    return found.where("NOT contaminated").select("doc_id.*")
+    found = decontamination.contamination(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), unnamed=True)
+    return _with(docs, found, "NOT contaminated")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
