@@ -8,6 +8,7 @@ text's ids are its chunks' ids in a row, and every distinct chunk is encoded onc
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -39,6 +40,14 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return starts, np.searchsorted(starts, offsets)
 
 
+@dataclass
+class Flat:
+    """Lists of values in a row."""
+
+    values: np.ndarray
+    lengths: np.ndarray
+
+
 _HELD: dict[tuple[str, str], object] = {}
 
 
@@ -105,21 +114,23 @@ class ChunkCoder:
     def _learn(self, keys: np.ndarray, texts: list[str], first: np.ndarray) -> np.ndarray:
         got = self.encode(texts, first)
         values, flags = got if isinstance(got, tuple) else (got, None)
-        if isinstance(values, np.ndarray):  # rows of one length
+        if isinstance(values, Flat):
+            lengths, flat = values.lengths, values.values
+        elif isinstance(values, np.ndarray):  # rows of one length
             lengths, flat = np.full(len(values), values.shape[1], np.int64), values.reshape(-1)
         else:
             lengths = np.fromiter(map(len, values), np.int64, len(values))
             flat = np.fromiter((x for v in values for x in v), self.dtype, int(lengths.sum()))
-        entries = np.arange(self.n, self.n + len(values), dtype=np.int32)
-        total = int(lengths.sum())
-        self.starts, self.lengths = self._grown(self.starts, self.n + len(values)), self._grown(self.lengths, self.n + len(values))
-        self.flags, self.pool = self._grown(self.flags, self.n + len(values)), self._grown(self.pool, self.used + total)
+        n, total = self.n + len(lengths), int(lengths.sum())
+        entries = np.arange(self.n, n, dtype=np.int32)
+        self.starts, self.lengths = self._grown(self.starts, n), self._grown(self.lengths, n)
+        self.flags, self.pool = self._grown(self.flags, n), self._grown(self.pool, self.used + total)
         self.starts[entries] = self.used + np.cumsum(lengths) - lengths
         self.lengths[entries] = lengths
         if flags is not None:
             self.flags[entries] = flags
         self.pool[self.used : self.used + total] = flat
-        self.n, self.used = self.n + len(values), self.used + total
+        self.n, self.used = n, self.used + total
         self._insert(keys, entries)
         return entries
 

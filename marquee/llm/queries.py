@@ -66,7 +66,7 @@ FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN m ON d.doc_id = m.x
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-shards")
     token_shards.write_token_shards(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), path, end_id=2)
-    return token_shards.read_token_shards(spark, path)
+    return token_shards.read_token_shards(spark, path, token=2)
 
 
 @_query

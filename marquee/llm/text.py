@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 PIECE_BYTES = 1 << 20
 
@@ -42,29 +43,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_LONGEST = 512
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.cumprod(np.full(_LONGEST, _BASE, np.uint64))
+_LONGEST, _BLOCK = 512, 1 << 20
+_BASE = 0x9E3779B97F4A7C15
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_POWERS: list[np.ndarray] = []
+
+
+def _powers() -> list[np.ndarray]:
+    """The base's powers and their inverses modulo 2 ** 64, for the places of a block."""
+    if not _POWERS:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(_BLOCK + 1, base, np.uint64)
+            steps[0] = 1
+            _POWERS.append(np.cumprod(steps, dtype=np.uint64))
+    return _POWERS
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end]; spans are in order, apart and not empty.
 
-    Every byte counts: beyond 512 bytes the block's number enters into each value.
+    Sums of powers over a block give every span's polynomial by a difference; spans of more than
+    512 bytes are hashed one by one.
     """
     n = len(starts)
-    if not n:
-        return np.zeros(0, np.uint64)
-    lengths = (ends - starts).astype(np.int64)
-    total = int(lengths.sum())
-    first = np.cumsum(lengths) - lengths
-    within = np.arange(total, dtype=np.int64) - np.repeat(first, lengths)
-    at = within + np.repeat(starts.astype(np.int64), lengths)
-    values = _BYTES[data[at]] * _POWERS[within % _LONGEST]
-    if int(lengths.max()) > _LONGEST:
-        values = np.where(within < _LONGEST, values, mix(values + (within // _LONGEST).astype(np.uint64) * _BASE))
-    return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    starts, lengths = starts.astype(np.int64), (ends - starts).astype(np.int64)
+    out = np.zeros(n, np.uint64)
+    power, inverse = _powers()
+    many = np.minimum(lengths, _LONGEST)
+    a = 0
+    while a < n:
+        base = int(starts[a])
+        b = int(np.searchsorted(starts, base + _BLOCK - _LONGEST, "right"))
+        at, to = starts[a:b] - base, starts[a:b] - base + many[a:b]
+        block = data[base : base + int(to[-1])]
+        sums = np.zeros(len(block) + 1, np.uint64)
+        np.cumsum(_BYTES[block] * power[: len(block)], out=sums[1:])
+        out[a:b] = (sums[to] - sums[at]) * inverse[at]
+        a = b
+    out = mix(out + lengths.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    for k in np.flatnonzero(lengths > _LONGEST).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : starts[k] + lengths[k]].tobytes())
+    return out
 
 
 def spans_of(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,5 +106,10 @@ def spans_of(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def flat_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each range in turn."""
-    lengths = lengths.astype(np.int64)
-    return np.repeat(starts.astype(np.int64) - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()), dtype=np.int64)
+    full = lengths > 0
+    starts, lengths = starts[full].astype(np.int64), lengths[full].astype(np.int64)
+    steps = np.ones(int(lengths.sum()), np.int64)
+    if len(starts):
+        steps[0] = starts[0]
+        steps[np.cumsum(lengths[:-1])] = starts[1:] - (starts[:-1] + lengths[:-1]) + 1
+    return np.cumsum(steps, out=steps)

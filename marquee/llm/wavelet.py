@@ -5,28 +5,38 @@ from __future__ import annotations
 import numpy as np
 
 _BLOCK = 512
+#: Symbols that are dealt out at a time.
+_STEP = 1 << 16
+
+
+def directory(packed: bytes) -> bytes:
+    """The number of ones before each block of 512 bits, as little-endian 64-bit integers."""
+    words = np.frombuffer(packed + b"\0" * (-len(packed) % 64), "<u8").reshape(-1, 8)
+    ones = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+    return (np.cumsum(ones) - ones).astype("<i8").tobytes()
 
 
 class Plane:
-    """Bits, packed, with the number of ones before each block of 512 bits."""
+    """Bits, packed, with the number of ones before each block of 512 bits as it was stored."""
 
-    def __init__(self, packed: np.ndarray, n: int):
-        self.packed, self.n = packed, n
-        ones = np.bitwise_count(packed)
-        per = _BLOCK // 8
-        padded = np.zeros(-(-max(len(ones), 1) // per) * per, np.uint8)
-        padded[: len(ones)] = ones
-        self.before = np.concatenate([[0], np.cumsum(padded.reshape(-1, per).sum(1, dtype=np.int64))])
-        self.within = np.cumsum(padded.reshape(-1, per), axis=1, dtype=np.uint16).reshape(-1) - padded
+    def __init__(self, packed: bytes, before: bytes, n: int):
+        self.packed, self.n = np.frombuffer(packed, np.uint8), n
+        self.before = np.frombuffer(before, "<i8")
 
     def rank1(self, i: np.ndarray) -> np.ndarray:
         """Ones in [0, i)."""
         i = np.asarray(i, np.int64)
-        byte = np.minimum(i >> 3, max(len(self.within) - 1, 0))
-        out = self.before[byte // (_BLOCK // 8)] + self.within[byte]
-        left = i - (byte << 3)
-        last = np.where(byte < len(self.packed), self.packed[np.minimum(byte, max(len(self.packed) - 1, 0))] if len(self.packed) else 0, 0).astype(np.uint16)
-        return out + np.bitwise_count((last >> (8 - np.minimum(left, 8)).astype(np.uint16)) * (left > 0))
+        if not len(self.packed):
+            return np.zeros_like(i)
+        block = np.minimum(i // _BLOCK, len(self.before) - 1)
+        out, byte, last = self.before[block].copy(), block * (_BLOCK // 8), len(self.packed) - 1
+        for k in range(_BLOCK // 8):
+            left = i - 8 * (byte + k)  # bits of this byte that count: 8 or more is all of them
+            if not (left > 0).any():
+                break
+            value = self.packed[np.minimum(byte + k, last)] >> (8 - np.clip(left, 1, 8)).astype(np.uint8)
+            out += np.where(left > 0, np.bitwise_count(value), 0)
+        return out
 
     def bit(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
@@ -47,24 +57,31 @@ class Plane:
 class WaveletMatrix:
     """Access, rank and select over a sequence of symbols below 2 ** width."""
 
-    def __init__(self, n: int, width: int, zeros: list[int], planes: list[bytes]):
+    def __init__(self, n: int, width: int, zeros: list[int], planes: list[bytes], ranks: list[bytes]):
         self.n, self.width, self.zeros = n, width, zeros
-        self.raw, self._planes = planes, [None] * width
+        self.raw, self.ranks, self._planes = planes, ranks, [None] * width
 
     @classmethod
     def build(cls, values: np.ndarray, width: int) -> WaveletMatrix:
-        planes, zeros = [], []
+        n, planes, zeros, one = len(values), [], [], values.dtype.type(1)
         for k in range(width - 1, -1, -1):
-            bit = (values >> values.dtype.type(k)) & values.dtype.type(1) == 1
-            planes.append(np.packbits(bit).tobytes())
-            low = values[~bit]
-            zeros.append(len(low))
-            values = np.concatenate([low, values[bit]])
-        return cls(len(values), width, zeros, planes)
+            bit = ((values >> values.dtype.type(k)) & one).astype(bool)
+            packed = np.packbits(bit)
+            planes.append(packed.tobytes())
+            zeros.append(n - int(np.bitwise_count(packed).sum(dtype=np.int64)))
+            after, low, high = np.empty_like(values), 0, zeros[-1]
+            for a in range(0, n, _STEP):
+                part, own = values[a : a + _STEP], bit[a : a + _STEP]
+                ones = part.take(np.flatnonzero(own))
+                after[low : low + len(part) - len(ones)] = part.take(np.flatnonzero(~own))
+                after[high : high + len(ones)] = ones
+                low, high = low + len(part) - len(ones), high + len(ones)
+            values = after
+        return cls(len(values), width, zeros, planes, [directory(p) for p in planes])
 
     def plane(self, level: int) -> Plane:
         if self._planes[level] is None:
-            self._planes[level] = Plane(np.frombuffer(self.raw[level], np.uint8), self.n)
+            self._planes[level] = Plane(self.raw[level], self.ranks[level], self.n)
         return self._planes[level]
 
     def decode(self) -> np.ndarray:
@@ -73,9 +90,14 @@ class WaveletMatrix:
         values = np.zeros(self.n, kind)
         for level in range(self.width - 1, -1, -1):
             bit = np.unpackbits(np.frombuffer(self.raw[level], np.uint8), count=self.n).view(bool)
-            back = np.empty(self.n, kind)
-            back[~bit] = values[: self.zeros[level]]
-            back[bit] = values[self.zeros[level] :] | kind(1 << (self.width - 1 - level))
+            back, low, high = np.empty(self.n, kind), 0, self.zeros[level]
+            values[high:] |= kind(1 << (self.width - 1 - level))
+            for a in range(0, self.n, _STEP):
+                part, own = back[a : a + _STEP], bit[a : a + _STEP]
+                ones = np.flatnonzero(own)
+                part[np.flatnonzero(~own)] = values[low : low + len(part) - len(ones)]
+                part[ones] = values[high : high + len(ones)]
+                low, high = low + len(part) - len(ones), high + len(ones)
             values = back
         return values
 

@@ -69,11 +69,30 @@ def test_shards_round_trip(spark, docs):
         assert r.doc_id is None or r.doc_id >= last
         at, last = at + r.n_tokens, -1 if r.doc_id is None else r.doc_id
     found = token_shards.find_token(spark, path, 2).agg({"count": "sum"}).first()[0]
+    all_ids = [i for r in got for i in r.ids]
+    counts = {r.start: r.n_of_token for r in token_shards.read_token_shards(spark, path, token=2).collect()}
+    assert counts == {r.start: r.ids.count(2) for r in got}
+    shards = sorted((r.part, r.seq, r.n_tokens) for r in spark.read.parquet(path).select("part", "seq", "n_tokens").collect())
+    before, at = {}, 0
+    for part, seq, n in shards:
+        before[part, seq], at = at, at + n
+    where = [before[r.part, r.seq] + p for r in token_shards.find_token(spark, path, 1169).collect() for p in r.positions]
+    assert len(where) > 0 and sorted(where) == [i for i, x in enumerate(all_ids) if x == 1169]
+    asked = spark.createDataFrame([(part, seq, w) for part, seq, n in shards for w in range(0, n + 3, 7)], "part int, seq int, within int")
+    read = {before[r.part, r.seq] + r.within: r.token for r in token_shards.token_at(spark, path, asked).collect()}
+    assert len(read) == sum(-(-n // 7) for _, _, n in shards) and all(all_ids[i] == x for i, x in read.items())
     assert found == sum((want_ids("no id") + want_ids(" a") + sum(map(want_ids, TEXTS), [])).count(x) for x in (2,)) + len(TEXTS) + 2
 
 
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
+    for n in (1, 7, 8, 511, 512, 513, 70_000, 140_001):  # about a block, and beyond one step
+        values = rng.integers(0, 300, n).astype(np.uint32)
+        w = WaveletMatrix.build(values, 9)
+        assert (w.decode() == values).all() and (w.access(np.arange(n)) == values).all()
+        i = np.unique(rng.integers(0, n + 1, 50))
+        assert w.rank(values[0], i).tolist() == [int((values[:k] == values[0]).sum()) for k in i]
+        assert (w.occurrences(int(values[0])) == np.flatnonzero(values == values[0])).all()
     values = rng.integers(0, 50, 3000).astype(np.uint16)
     w = WaveletMatrix.build(values, 6)
     assert (w.decode() == values).all() and (w.access(np.arange(3000)) == values).all()
