@@ -1,7 +1,7 @@
 """Exact dedup by two-pass Bloom filtering.
 
-The first pass writes each row's text digest and fills a counting Bloom filter of bounded
-size. The second pass looks each digest up: rows that are certainly alone pass straight
+The first pass writes each row's text digest and fills a counting Bloom filter whose bits grow
+with the rows. The second pass looks each digest up: rows that are certainly alone pass straight
 through, and only digests that may repeat shuffle.
 """
 
@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 from .store import settled, written
 from .text import pieces, utf8
 
-#: Slots of two bits a row, and the bound of the filter that is sent to all tasks (in slots).
-SLOTS_A_ROW, MOST_SLOTS, HASHES = 12, 1 << 26, 4
+#: Slots a row, and the bound of one filter (128 MB of bits, which every task gets): with more rows
+#: the digests are dealt out by ranges of a hash, each with a filter of its own.
+SLOTS_A_ROW, MOST_SLOTS, HASHES = 12, 1 << 30, 4
 _SEGMENT = 1 << 16
+#: Rows of a task that go into one partial filter.
+_PART_ROWS = 1 << 20
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,46 +47,68 @@ def slots_of(column: pa.Array, slots: int) -> np.ndarray:
 
 
 def _partial(slots: int):
+    """Partial filters as sorted places within each segment: those met, and those met twice."""
+
+    def parts(at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, n = np.unique(at, return_counts=True)
+        segment = at // _SEGMENT
+        first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+        place, twice = (at % _SEGMENT).astype("<u2"), n > 1
+        ends = np.append(first[1:], len(at))
+        met = [place[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist())]
+        again = [place[a:b][twice[a:b]].tobytes() for a, b in zip(first.tolist(), ends.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(segment[first]), pa.array(met, pa.binary()), pa.array(again, pa.binary())], ["segment", "met", "again"])
+
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(slots, bool), np.zeros(slots, bool)
+        held, rows = [], 0
         for batch in batches:
-            for k in range(HASHES):
-                at = slots_of(batch.column("digest"), slots)[:, k]
-                at, n = np.unique(at, return_counts=True)
-                twice[at] |= once[at] | (n > 1)
-                once[at] = True
-        for segment in np.unique(np.flatnonzero(once) // _SEGMENT).tolist():
-            a, b = segment * _SEGMENT, min(slots, (segment + 1) * _SEGMENT)
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int64()), "once": pa.array([np.packbits(once[a:b]).tobytes()], pa.binary()), "twice": pa.array([np.packbits(twice[a:b]).tobytes()], pa.binary())})
+            # a digest's own slots count once, though two of its hashes may give the same one
+            own = np.sort(slots_of(batch.column("digest"), slots), axis=1)
+            fresh = np.ones(own.shape, bool)
+            fresh[:, 1:] = own[:, 1:] != own[:, :-1]
+            held.append(own[fresh])
+            rows += batch.num_rows
+            if rows >= _PART_ROWS:
+                yield from parts(np.concatenate(held))
+                held, rows = [], 0
+        if rows:
+            yield from parts(np.concatenate(held))
 
     return fill
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a segment of those in this task: slots met at least twice, with saturating sums."""
-    held: dict[int, list[np.ndarray]] = {}
+    """The bits of slots met at least twice, a row for each segment of this task, sorted by segment."""
+
+    def bits(segment: int, twice: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([np.packbits(twice).tobytes()], pa.binary())], ["segment", "twice"])
+
+    own, once, twice = None, np.zeros(_SEGMENT, bool), np.zeros(_SEGMENT, bool)
     for batch in batches:
-        for segment, once, twice in zip(*(batch.column(c).to_pylist() for c in ("segment", "once", "twice"))):
-            a, b = np.frombuffer(once, np.uint8), np.frombuffer(twice, np.uint8)
-            if segment in held:
-                x, y = held[segment]
-                held[segment] = [x | a, y | b | (x & a)]
-            else:
-                held[segment] = [a, b]
-    for segment, (_, twice) in held.items():
-        yield pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int64()), "twice": pa.array([twice.tobytes()], pa.binary())})
+        for segment, met, again in zip(*(batch.column(c).to_pylist() for c in ("segment", "met", "again"))):
+            if segment != own:
+                if own is not None and twice.any():
+                    yield bits(own, twice)
+                own = segment
+                once[:], twice[:] = False, False
+            at = np.frombuffer(met, "<u2")
+            twice[at] |= once[at]
+            once[at] = True
+            twice[np.frombuffer(again, "<u2")] = True
+    if own is not None and twice.any():
+        yield bits(own, twice)
 
 
 def repeat_filter(keys: DataFrame, rows: int) -> tuple[np.ndarray, int]:
     """Packed bits of the slots that digests met at least twice, and the number of slots.
 
-    Its size follows the rows up to MOST_SLOTS (8 MB of bits). Beyond some hundred million
-    rows more lone rows are taken for repeated ones and shuffle; the result stays the same.
+    Its size follows the rows, up to MOST_SLOTS.
     """
     slots = int(min(MOST_SLOTS, max(_SEGMENT, SLOTS_A_ROW * rows)))
-    parts = max(1, -(-slots // _SEGMENT))
-    merged = keys.mapInArrow(_partial(slots), "segment long, once binary, twice binary").repartition(parts, "segment").mapInArrow(_merge, "segment long, twice binary")
-    bits = np.zeros(-(-slots // 8), np.uint8)
+    parts = max(1, min(-(-slots // _SEGMENT), int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    partial = keys.mapInArrow(_partial(slots), "segment long, met binary, again binary")
+    merged = partial.repartition(parts, "segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment long, twice binary")
+    bits = np.zeros(-(-slots // _SEGMENT) * _SEGMENT // 8, np.uint8)
     for segment, twice in merged.toLocalIterator():
         at = segment * _SEGMENT // 8
         bits[at : at + len(twice)] = np.frombuffer(twice, np.uint8)
@@ -101,6 +126,35 @@ def _flag(shared, slots: int):
     return flag
 
 
+def flagged(keys: DataFrame) -> DataFrame:
+    """The rows (doc_id, digest) with `maybe`: False for digests that are certainly alone.
+
+    A filter's bits grow with the rows. Where all of them would exceed the bound of one
+    broadcast, the narrow rows are dealt out by ranges of a hash (a hot digest over many tasks),
+    and each range is filtered by itself, so that the share of lone rows taken for repeated
+    ones stays the same at any size.
+    """
+    spark = keys.sparkSession
+    schema = f"doc_id {keys.schema['doc_id'].dataType.simpleString()}, digest binary, maybe boolean"
+
+    def one(table: DataFrame, rows: int) -> DataFrame:
+        bits, slots = repeat_filter(table, rows)
+        return table.mapInArrow(_flag(spark.sparkContext.broadcast(bits), slots), schema)
+
+    rows = keys.count()
+    ranges = -(-rows * SLOTS_A_ROW // MOST_SLOTS)
+    if ranges <= 1:
+        return one(keys, rows)
+    dealt = keys.withColumns({"range": F.pmod(F.xxhash64("digest"), F.lit(ranges)).cast("int"), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(64))})
+    dealt = written(dealt.repartition("range", "salt").drop("salt"), "digest-ranges", by="range")
+    out = None
+    for k in range(ranges):
+        table = dealt.where(F.col("range") == k).drop("range")
+        part = written(one(table, table.count()), "flagged")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, keep_id, group_size, kept, text_sha256), one for each row of `docs`.
 
@@ -110,14 +164,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     ignored; an empty table gives no rows. A hot group is pre-aggregated by each task, and the
     join back is one that Spark splits where keys are skewed.
     """
-    spark = docs.sparkSession
-    keys = written(digests(docs), "digests")
-    bits, slots = repeat_filter(keys, keys.count())
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    flagged = keys.mapInArrow(_flag(spark.sparkContext.broadcast(bits), slots), f"doc_id {kind}, digest binary, maybe boolean")
+    rows = flagged(written(digests(docs), "digests"))
     sha = F.lower(F.hex("digest")).alias("text_sha256")
-    alone = flagged.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
-    again = flagged.where("maybe").select("doc_id", "digest")
+    alone = rows.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
+    again = rows.where("maybe").select("doc_id", "digest")
     groups = again.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = settled(groups, "groups")
     return alone.unionByName(again.join(groups, "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), sha))

@@ -47,12 +47,13 @@ def settled(df: DataFrame, tag: str) -> DataFrame:
     return written(df, tag)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """The same rows, read back from Parquet in the shared folder.
 
     Readers depend on files instead of on the tasks that made the rows, so a lost executor
-    never repeats them, and several readers never recompute them.
+    never repeats them, and several readers never recompute them. Values of the column `by` get
+    folders of their own.
     """
     path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
