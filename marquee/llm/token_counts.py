@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenizer_files
-from .store import settled
+from .store import written
 from .text import pieces, utf8
 
-CACHE_SCHEMA = "tokenizer string, digest string, n_tokens long"
+CACHE_SCHEMA = "digest string, n_tokens long, tokenizer string"
 
 
 def _counter(raw: bytes, kind: str, version: str):
@@ -36,14 +36,16 @@ def _counter(raw: bytes, kind: str, version: str):
     return count
 
 
-def stored(spark, cache_path: str, version: str) -> DataFrame | None:
-    """The counts stored for a tokenizer version, one row per digest; None without a cache."""
+def stored(spark, cache_path: str, version: str, asked: DataFrame | None = None) -> DataFrame | None:
+    """The counts stored for a tokenizer version, one row per digest (only those of `asked`); None without a cache."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(cache_path)
+    path = jvm.org.apache.hadoop.fs.Path(f"{cache_path}/tokenizer={version}")
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return None
-    cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
-    return cache.where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
+    if asked is not None:
+        cache = cache.join(asked.select("digest"), "digest", "left_semi")
+    return cache.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 512) -> DataFrame:
@@ -52,20 +54,23 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     The normal form of a text is the text itself, as any change could change its count; null
     counts as empty. Columns beside doc_id and text are ignored. Equal texts (also a large
     group of them) are encoded once: they meet as one row per task. Repeated rows and null ids
-    stay; an empty table gives no rows. Appending twice after a failure is harmless, as the
-    cache is read with one row per digest. An unknown tokenizer file is a new version.
+    stay; an empty table gives no rows. Of the cache only the tokenizer's folder is read, and only
+    the digests asked for are kept; where it has them all, no text is shuffled. Appending twice
+    after a failure is harmless, as the cache is read with one row per digest. An unknown
+    tokenizer file is a new version.
     """
     raw, kind, version = tokenizer_files.load(tokenizer_path)
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text")).withColumn("digest", F.sha2("text", 256))
-    known = stored(spark, cache_path, version)
-    misses = keyed.select("digest", "text")
-    if known is not None:
-        misses = misses.join(known, "digest", "left_anti")
-    counted = misses.dropDuplicates(["digest"]).mapInArrow(_counter(raw, kind, version), "digest string, n_tokens long")
-    counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-    counts = settled(stored(spark, cache_path, version), "counts")
-    return keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(counts, "digest").select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "digest"
-    )
+    keyed = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
+    narrow = written(keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "digests")
+    asked = narrow.select("digest").distinct()
+    known = stored(spark, cache_path, version, asked)
+    known = None if known is None else written(known, "known-counts")
+    if known is None or asked.join(known, "digest", "left_anti").head(1):
+        misses = keyed.select("digest", "text").dropDuplicates(["digest"])
+        if known is not None:
+            misses = misses.join(known, "digest", "left_anti")
+        counted = written(misses.mapInArrow(_counter(raw, kind, version), "digest string, n_tokens long"), "counted")
+        counted.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
+        known = counted if known is None else known.unionByName(counted)
+    return narrow.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "digest")
