@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding with the tokenizers library.
 
 The model's protobuf is parsed here and rebuilt from the library's parts: normaliser,
-metaspace marker, merges or unigram scores, and byte fallback. SentencePiece itself encodes
-each distinct chunk too, and a text whose ids differ is flagged.
+metaspace marker, merges or unigram scores, and byte fallback. SentencePiece itself reads
+each distinct chunk too, among others, and a text whose ids differ is flagged.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .text import flat_index, pieces, utf8
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Threads of a task that encode a batch, and characters of the rows of chunks that SentencePiece reads.
+THREADS, _ROW_CHARS = 2, 4096
 
 
 @dataclass
@@ -137,7 +139,7 @@ class Codec:
 
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-        self.model = parse_model(raw)
+        self.model, self.threads = parse_model(raw), threads
         self.judge = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.by_chunk = chunkable(self.model)
         self.tokenizer = build(self.model, prefix=not self.by_chunk)
@@ -148,15 +150,37 @@ class Codec:
         self.sizes = np.array([len(x) for x in shown], np.int64)
         self.places = np.cumsum(self.sizes) - self.sizes
 
+    def _theirs(self, texts: list[str], first: np.ndarray) -> list[list[int]]:
+        """SentencePiece's ids of each chunk alone."""
+        return self.judge.encode([t if f else t[1:] for t, f in zip(texts, first)], num_threads=self.threads)
+
     def _encode(self, texts: list[str], first: np.ndarray) -> tuple[list, np.ndarray]:
-        """Ids of chunks, and whether SentencePiece gives others. A first chunk gets the dummy prefix; others begin with their space."""
-        if self.by_chunk:
-            ours = [e.ids for e in self.tokenizer.encode_batch_fast([" " + t if f else t for t, f in zip(texts, first)], add_special_tokens=False)]
-            theirs = self.judge.encode([t if f else t[1:] for t, f in zip(texts, first)], num_threads=1)
-        else:
+        """Ids of chunks, and whether SentencePiece gives others. A first chunk gets the dummy prefix; others begin with their space.
+
+        SentencePiece reads chunks in a row, as texts of some length, so that its ids also differ
+        where the chunks' ids would depend on their neighbours; only then it reads each alone.
+        """
+        if not self.by_chunk:
             ours = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            theirs = self.judge.encode(texts, num_threads=1)
-        return ours, np.fromiter((a != b for a, b in zip(ours, theirs)), np.uint8, len(ours))
+            theirs = self.judge.encode(texts, num_threads=self.threads)
+            return ours, np.fromiter((a != b for a, b in zip(ours, theirs)), np.uint8, len(ours))
+        ours = [e.ids for e in self.tokenizer.encode_batch_fast([" " + t if f else t for t, f in zip(texts, first)], add_special_tokens=False)]
+        rows: list[list[int]] = []
+        size, closed = 0, True
+        for i, (t, f) in enumerate(zip(texts, first.tolist())):
+            if f or closed or size > _ROW_CHARS:
+                rows.append([])
+                size = 0
+            rows[-1].append(i)
+            size += len(t)
+            closed = t[-1].isspace() or t[-1] in "\x7f\u180e"
+        differs = np.zeros(len(texts), np.uint8)
+        for row, theirs in zip(rows, self._theirs(["".join([texts[i] for i in row]) for row in rows], first[[row[0] for row in rows]] if rows else first)):
+            if [x for i in row for x in ours[i]] != theirs:
+                alone = self._theirs([texts[i] for i in row], first[row])
+                apart = [ours[i] != x for i, x in zip(row, alone)]
+                differs[row] = apart if any(apart) else 1
+        return ours, differs
 
     def encode(self, texts, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids in a row, n + 1 offsets by text, and which texts have parity with SentencePiece."""
@@ -181,11 +205,11 @@ class Codec:
         return data, offsets
 
 
-def codec(raw: bytes, version: str, threads: int = 1) -> Codec:
+def codec(raw: bytes, version: str, threads: int = THREADS) -> Codec:
     return worker_cache(version, "codec", lambda: Codec(raw, threads))
 
 
-def encode(docs: DataFrame, model_path: str, threads: int = 1) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, threads: int = THREADS) -> DataFrame:
     """Rows (doc_id, text, ids array<int>, parity) for each row of `docs`, in any order.
 
     `parity` says that SentencePiece gives the same ids. A null text is empty and has no ids;
@@ -225,7 +249,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, _schema(encoded, "decoded string"))
 
 
-def round_trip(docs: DataFrame, model_path: str, threads: int = 1) -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str, threads: int = THREADS) -> DataFrame:
     """Rows (doc_id, n_bytes, n_tokens, ids_crc32, round_trip, parity), encoded and decoded in one pass.
 
     ids_crc32 is the unsigned crc32 of the ids as little-endian unsigned 32-bit integers;

@@ -1,15 +1,19 @@
 import hashlib
+import random
+import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sentencepiece = pytest.importorskip("sentencepiece")
 tokenizers = pytest.importorskip("tokenizers")
 P = pytest.importorskip("public_tokenizers")
 
-from marquee.llm import exact_dedup, sentencepiece_codec, token_counts, token_shards
+from marquee.llm import exact_dedup, sentencepiece_codec, token_counts, token_shards, tokenizer_files
 from marquee.llm.store import fresh_path
+from marquee.llm.text import utf8
 from marquee.llm.wavelet import WaveletMatrix
 
 TEXTS = [
@@ -128,6 +132,66 @@ def test_unigram_model_is_rebuilt():
     assert t.decode(t.encode("ab é", add_special_tokens=False).ids) == "ab é"
 
 
+def _field(number, value):
+    varint = lambda n: bytes([*(n >> 7 * k & 127 | 128 for k in range(max(n.bit_length() - 1, 0) // 7)), n >> 7 * (max(n.bit_length() - 1, 0) // 7)])
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def unigram_proto(squeeze=False):
+    """A unigram model with byte fallback, written out as SentencePiece stores it."""
+    words = ["▁", "a", "b", "t", "h", "e", "▁th", "▁the", "the", "he", "ab", "▁ab", "ba", "▁a", "é", "at", "eat", "▁eat", "hea", "t▁", "。", "日本"]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", -20.0 - i / 256, 6) for i in range(256)] + [(w, -2.0 - 0.37 * i, 1) for i, w in enumerate(words) if w != "t▁"]
+    out = b"".join(_field(1, _field(1, p.encode()) + _field(2, s) + _field(3, k)) for p, s, k in pieces)
+    return out + _field(2, _field(3, 1) + _field(35, 1)) + _field(3, _field(1, b"identity") + _field(3, 1) + _field(4, int(squeeze)) + _field(5, 1))
+
+
+def test_unigram_scores_give_the_ids_of_sentencepiece(spark, tmp_path):
+    (tmp_path / "unigram.model").write_bytes(unigram_proto())
+    judge = sentencepiece.SentencePieceProcessor(model_file=f"{tmp_path}/unigram.model")
+    rnd = random.Random(8)
+    texts = ["the heat ab", " the", "a  b", "日本。 the é ü", "", None, "abab" * 400] + ["".join(rnd.choice(["a", "b", "t", "h", "e", " ", "é", "日本", "the", "x"]) for _ in range(rnd.randrange(1, 80))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sentencepiece_codec.encode(docs, f"{tmp_path}/unigram.model").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.ids == judge.encode(r.text or "") and r.parity, r.text
+    for r in sentencepiece_codec.round_trip(docs, f"{tmp_path}/unigram.model").collect():
+        ids = judge.encode(texts[r.doc_id] or "")
+        assert r.n_tokens == len(ids) and r.round_trip == (judge.decode(ids) == (texts[r.doc_id] or ""))
+
+
+def test_parity_sees_what_depends_on_neighbours():
+    raw = tokenizer_files.load(P.path("piece_bpe_32k.model"))[0]
+    own = sentencepiece_codec.Codec(raw, 2)
+    data, offsets = utf8(pa.array(["the cat sat on a mat", "one two three"]))
+    assert own.encode(None, data, offsets)[2].all()
+    own = sentencepiece_codec.Codec(raw, 2)
+    whole, own.judge = own.judge, type("Judge", (), {"encode": lambda self, texts, num_threads: [ids if " " not in t else [*ids, 5] for t, ids in zip(texts, whole.encode(texts))]})()
+    assert not own.encode(None, data, offsets)[2].any()  # chunks alone agree, rows of chunks don't
+
+
+def test_long_texts_and_hot_ids(spark):
+    """Texts beyond the pieces that tasks work on, and many rows of one id."""
+    long = "the cat 12 sat, on é\n" * 80_000
+    rows = [(1, long), (2, long + "x"), (3, "y" * 1_200_000), (4, long)] + [(7, f"t {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = fresh_path(spark, "long")
+    token_shards.write_token_shards(docs, P.path("byte_bpe_50k.json"), path, end_id=2, shard_bytes=400_000)
+    got = {(r.doc_id, r.n_tokens, r.ids_crc32) for r in token_shards.read_token_shards(spark, path).collect()}
+    assert got == {(i, len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for i, t in rows for w in [want_ids(t) + [2]]}
+    counts = {(r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(docs, P.path("byte_bpe_50k.json"), fresh_path(spark, "c")).collect()}
+    assert counts == {(i, len(t.encode()), len(want_ids(t))) for i, t in rows}
+    judge = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    found = {(r.doc_id, r.n_tokens, r.round_trip, r.parity) for r in sentencepiece_codec.round_trip(docs, P.path("piece_bpe_32k.model")).collect()}
+    assert found == {(i, len(judge.encode(t)), True, True) for i, t in rows}
+    kept = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs).collect()}
+    assert kept >= {(1, 4, 2), (4, 4, 2), (2, 2, 1), (3, 3, 1)}
+
+
 def test_exact_dedup(spark):
     rows = [(1, "Ab", 0), (2, "aB", 0), (3, None, 0), (4, "", 0), (5, "É", 0), (6, "é", 0), (2, "ab", 0), (None, "Q", 0), (None, "q", 0), (None, "ab", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, digest int")
@@ -147,11 +211,17 @@ def test_exact_dedup(spark):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
-def test_exact_dedup_when_the_filter_is_full(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "MOST_SLOTS", 1 << 16)
-    docs = spark.range(0, 60_000, numPartitions=3).selectExpr("id AS doc_id", "cast(id % 50000 AS string) AS text")
-    got = exact_dedup.exact_dedup(docs)
-    assert got.count() == 60_000 and got.where("kept").count() == 50_000
+def test_lone_rows_pass_at_any_number_of_ranges(spark, monkeypatch):
+    docs = spark.range(0, 60_000, numPartitions=3).selectExpr("id AS doc_id", "cast(if(id < 20000, 0, id % 50000) AS string) AS text")
+    keys = exact_dedup.digests(docs)
+    repeated = keys.groupBy("digest").count().where("count > 1")
+    for most in (1 << 30, 1 << 16):
+        monkeypatch.setattr(exact_dedup, "MOST_SLOTS", most)
+        got = exact_dedup.exact_dedup(docs)
+        assert got.count() == 60_000 and got.where("kept").count() == 40_000
+        maybe = exact_dedup.flagged(keys)
+        assert maybe.where("NOT maybe").join(repeated, "digest", "left_semi").count() == 0
+        assert maybe.where("maybe").join(repeated, "digest", "left_anti").count() < 0.02 * 40_000
 
 
 def test_empty_tables(spark):
