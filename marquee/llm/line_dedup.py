@@ -1,9 +1,10 @@
-"""Line dedup: repeated runs of lines by distributed prefix doubling.
+"""Line dedup: a suffix array over line-ID sequences by distributed prefix doubling.
 
-Each text is a sequence of line ids. Doubling names the runs of 1, 2, 4, ... lines that start at
-each place: equal runs get one name, the place where that run occurs first, and places whose
-name is theirs alone leave. The places of one name at a depth are an interval of the suffix
-array with a common prefix of that depth; runs of any depth between are two overlapping ones.
+Each text is a sequence of line ids. Places whose line occurs elsewhere get ranks by their first
+1, 2, 4, ... lines, until every suffix is unique or has ended: that order is the suffix array of
+all texts. Neighbours in it get the length of their longest common prefix from the ranks of all
+depths. Places between two lower values form an interval: a run of lines that repeats. A run is
+maximal where the lines before it differ; later copies are deleted.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import settled, written
@@ -26,11 +27,11 @@ _BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, at, n1, n2, long): lines that aren't blank, numbered from 0, with their hashes."""
+    """(doc_id, key, at, size, n1, n2, words): lines that aren't blank, numbered from 0 of size, with their hashes."""
     for batch in pieces(batches):
         data, offsets = utf8(batch.column("text"))
         raw = data.tobytes()
-        which, at, digests, sizes = [], [], [], []
+        which, at, digests, sizes, totals = [], [], [], [], []
         words, _, _ = spans_of(~_BLANK[data], offsets)
         for d, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
             n, place = 0, a
@@ -42,41 +43,128 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sizes.append((place, place + len(line)))
                     n += 1
                 place += len(line) + 1
+            totals += [n] * n
         names = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         edges = np.array(sizes, np.int64).reshape(-1, 2)
         many = np.searchsorted(words, edges[:, 1]) - np.searchsorted(words, edges[:, 0])
         rows = pa.array(np.array(which, np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("key").take(rows), pa.array(np.array(at, np.int64)), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(many.astype(np.int64))], ["doc_id", "key", "at", "n1", "n2", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("key").take(rows), pa.array(np.array(at, np.int64)), pa.array(np.array(totals, np.int64)), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(many.astype(np.int64))], ["doc_id", "key", "at", "size", "n1", "n2", "words"])
 
 
 PLACE = ["doc_id", "key", "at"]
 
 
-def _named(rows: DataFrame, parts: list[str]) -> DataFrame:
-    """Rows whose parts are shared, with `name`: the first place that has the same parts."""
-    classes = rows.groupBy(*parts).agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(*PLACE)).alias("name")).where("members > 1").drop("members")
-    classes = settled(classes, "line-classes")
-    on = [F.col(f"r.{p}").eqNullSafe(F.col(f"c.{p}")) for p in parts]
-    kept = [F.col(f"r.{c}") for c in rows.columns if c not in parts]
-    return rows.alias("r").join(classes.alias("c"), on).select(*kept, F.col("c.name").alias("name"))
+#: Places of the suffix array that are read in a row to tell its intervals apart.
+_BLOCK = 1 << 14
 
 
-def _pairs(names: DataFrame, ahead: int) -> DataFrame:
-    """Each place with its own name and that of the place `ahead` lines on in the same text."""
-    later = names.select("doc_id", "key", (F.col("at") - ahead).alias("at"), F.col("name").alias("second"))
-    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in PLACE]
-    return names.select(*PLACE, F.col("name").alias("first")).alias("a").join(later.alias("b"), on).select(*[F.col(f"a.{c}") for c in PLACE], "first", "second").distinct()
+def _numbered(batches: Iterator[pa.RecordBatch], count: str | None) -> Iterator[pa.RecordBatch]:
+    """Adds the partition and the rows (or the sum of `count`) before each row in it."""
+    from pyspark import TaskContext
 
+    part, before = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = batch.column(count).to_numpy(zero_copy_only=False) if count else np.ones(batch.num_rows, np.int64)
+        ends = before + np.cumsum(n)
+        yield batch.append_column("part", pa.array(np.full(batch.num_rows, part, np.int32))).append_column("before", pa.array(ends - n))
+        before = int(ends[-1]) if len(ends) else before
 
-def repeated_runs(lines: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFrame, DataFrame]:
-    """The named single lines, and the named runs of min_lines lines (doc_id, key, at, name)."""
-    single = written(_named(lines, ["n1", "n2"]), "line-names")
-    names, size = single.select(*PLACE, "name"), 1
-    while size < min_lines:
-        ahead = min(size, min_lines - size)
-        names = written(_named(_pairs(names, ahead), ["first", "second"]), "run-names")
-        size += ahead
-    return single, names
+
+def _dealt(rows: DataFrame, order: list[str], tag: str, count: str | None = None) -> DataFrame:
+    """The rows sorted over all partitions, with `before`: the number of rows (or sum of counts) that come before each."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes)
+    table = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(lambda it: _numbered(it, count), f"{kinds}, part int, before long"), tag)
+    totals = table.groupBy("part").agg(F.sum(F.lit(1) if count is None else F.col(count)).alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))  # one row a partition
+    return table.join(F.broadcast(bases), "part").withColumn("before", F.col("base") + F.col("before")).drop("part", "base")
+
+
+def _places(lines: DataFrame) -> DataFrame:
+    """Places whose line occurs elsewhere, with its rank among all lines and the line before it."""
+    classes = lines.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ranked = written(_dealt(classes, ["n1", "n2"], "line-classes", "n").select("n1", "n2", F.col("before").alias("line")), "line-ranks")
+    places = lines.join(ranked, ["n1", "n2"]).drop("n1", "n2").dropDuplicates(["key", "at"])
+    before = F.lag(F.struct("at", "line")).over(Window.partitionBy("key").orderBy("at"))
+    places = places.withColumn("b", before).withColumn("left", F.when(F.col("b.at") == F.col("at") - 1, F.col("b.line"))).drop("b")
+    return written(places.withColumn("rank", F.col("line")), "places")
+
+
+def suffix_array(lines: DataFrame) -> DataFrame:
+    """Rows (doc_id, key, at, words, line, pos, lcp, maximal) of all places whose line occurs elsewhere.
+
+    pos is the place in the order of all suffixes, which end with their text; suffixes that are
+    equal to the end are ordered by text. lcp is the number of lines that it shares with the
+    suffix before it, and maximal says that the lines before these two differ.
+    """
+    places = _places(lines)
+    kept = ["doc_id", "key", "at", "size", "words", "line", "left", "rank"]
+    unsettled, settled_, depth, levels = places.select(kept), [], 1, [(1, places.select("key", "at", "rank"))]
+    last = (1 << 63) - 1
+    while unsettled.head(1):
+        every = unsettled
+        for table in settled_:
+            every = every.unionByName(table)
+        ahead = every.select("key", (F.col("at") - depth).alias("at"), F.col("rank").alias("next"))
+        lone = F.col("next").isNull() & (F.col("at") + depth < F.col("size"))  # the line there is the only one of its kind, and sorts last
+        second = F.when(lone, F.lit(last)).otherwise(F.coalesce("next", F.lit(-1)))
+        pairs = unsettled.join(ahead, ["key", "at"], "left").select(*kept, second.alias("s1"), F.when(lone, F.col("key")).otherwise(F.lit(0)).alias("s2"), F.when(lone, F.col("at")).otherwise(F.lit(0)).alias("s3"))
+        order = ["rank", "s1", "s2", "s3"]
+        classes = _dealt(pairs.groupBy(*order).agg(F.count(F.lit(1)).alias("n")), order, "run-classes", "n")
+        named = classes.join(classes.groupBy("rank").agg(F.min("before").alias("base")), "rank").select(*order, "n", (F.col("rank") + F.col("before") - F.col("base")).alias("new"))
+        now = pairs.join(named, order).select(*kept[:-1], F.col("new").alias("rank"), ((F.col("n") > 1) & (F.col("s1") >= 0)).alias("open"))
+        now, depth = written(now, "suffixes"), 2 * depth
+        levels.append((depth, now.select("key", "at", "rank")))
+        settled_.append(now.where("NOT open").drop("open"))
+        unsettled = now.where("open").drop("open")
+    every = unsettled
+    for table in settled_:
+        every = every.unionByName(table)
+    array = written(_dealt(every, ["rank", "key", "at"], "suffix-order").withColumnRenamed("before", "pos"), "suffix-array")
+    return _with_common(array, levels)
+
+
+def _with_common(array: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
+    """Adds the longest common prefix of each suffix and the one before it.
+
+    Where the lines before two neighbours are the same, the value is one less than that of the
+    place before in the text; only the others are counted out from the ranks of each depth.
+    """
+    other = array.select((F.col("pos") + 1).alias("pos"), *[F.col(c).alias(f"o_{c}") for c in ("key", "at", "size", "line", "left")])
+    pairs = array.join(other, "pos", "left").withColumn("same", F.coalesce(F.col("line") == F.col("o_line"), F.lit(False)))
+    pairs = written(pairs.withColumn("maximal", ~(F.col("same") & F.coalesce(F.col("left") == F.col("o_left"), F.lit(False)))), "neighbours")
+    least = F.least(F.col("size") - F.col("at"), F.col("o_size") - F.col("o_at"))
+    counted = pairs.where("maximal AND same").select("pos", "key", "at", "o_key", "o_at", least.alias("most"), F.lit(0).cast("long").alias("n"))
+    for k, (depth, ranks) in reversed(list(enumerate(levels))):
+        mine = ranks.select("key", F.col("at").alias("x"), F.col("rank").alias("mine"))
+        theirs = ranks.select(F.col("key").alias("o_key"), F.col("at").alias("y"), F.col("rank").alias("theirs"))
+        counted = counted.withColumns({"x": F.col("at") + F.col("n"), "y": F.col("o_at") + F.col("n")}).join(mine, ["key", "x"], "left").join(theirs, ["o_key", "y"], "left")
+        more = F.when(F.col("mine") == F.col("theirs"), F.lit(depth)).otherwise(F.lit(0))
+        counted = counted.select("pos", "key", "at", "o_key", "o_at", "most", (F.col("n") + more).alias("n"))
+        if k % 3 == 0:  # plans of some joins each
+            counted = written(counted, "common")
+    known = pairs.join(counted.select("pos", F.least("n", "most").alias("n")), "pos", "left")
+    known = known.withColumn("start", F.when(F.col("maximal"), F.struct("at", F.coalesce("n", F.lit(0)).alias("n"))))
+    start = F.last("start", ignorenulls=True).over(Window.partitionBy("key").orderBy("at"))
+    known = known.withColumn("s", start).withColumn("lcp", F.col("s.n") - (F.col("at") - F.col("s.at")))
+    return written(known.select("doc_id", "key", "at", "words", "line", "pos", "lcp", "maximal"), "common-prefixes")
+
+
+def later_copies(array: DataFrame, least: int) -> DataFrame:
+    """The places of the suffix array whose first `least` lines also start at an earlier place.
+
+    An interval is the places from one with a shorter common prefix to the next such one. Its
+    number comes from blocks of places and the last such one of each block.
+    """
+    rows = array.select(*PLACE, "words", "pos", F.when(F.col("lcp") < least, F.col("pos")).alias("start"), F.floor(F.col("pos") / _BLOCK).alias("block"))
+    ends = rows.groupBy("block").agg(F.max("start").alias("end"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("block", F.max("end").over(before).alias("carried"))  # a row for each 16,384 places
+    own = F.max("start").over(Window.partitionBy("block").orderBy("pos"))
+    rows = written(rows.withColumn("own", own).join(ends, "block").withColumn("interval", F.coalesce("own", "carried")).select(*PLACE, "words", "interval"), "intervals")
+    first = settled(rows.groupBy("interval").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*PLACE)).alias("first")).where("n > 1"), "first-copies")
+    return rows.join(first, "interval").where(F.struct(*PLACE) > F.col("first")).select(*PLACE, "words")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,11 +198,10 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LO
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep).withColumn("key", F.xxhash64("doc_id", "text"))
-    lines = keyed.select("doc_id", "text", "key").mapInArrow(_lines, f"doc_id {kind}, key long, at long, n1 long, n2 long, words long")
-    single, runs = repeated_runs(lines, min_lines)
-    later = F.struct(*PLACE) > F.col("name")
-    gone = single.where((F.col("words") >= long_words) & later).select("key", "at")
-    gone = gone.unionByName(runs.where(later).select("key", F.explode(F.sequence("at", F.col("at") + min_lines - 1)).alias("at")))
+    lines = keyed.select("doc_id", "text", "key").mapInArrow(_lines, f"doc_id {kind}, key long, at long, size long, n1 long, n2 long, words long")
+    array = suffix_array(lines)
+    gone = later_copies(array, 1).where(F.col("words") >= long_words).select("key", "at")
+    gone = gone.unionByName(later_copies(array, min_lines).select("key", F.explode(F.sequence("at", F.col("at") + min_lines - 1)).alias("at")))
     gone = gone.groupBy("key").agg(F.collect_set("at").alias("gone"))
     cut = keyed.join(gone, "key", "left").select("doc_id", "text", *keep, "gone")
     kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep)

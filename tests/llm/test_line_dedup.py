@@ -34,7 +34,7 @@ def brute(docs, min_lines, long_words):
     return out
 
 
-@pytest.mark.parametrize("min_lines", [1, 2, 3, 5])
+@pytest.mark.parametrize("min_lines", [1, 2, 5])
 def test_equals_brute_force(spark, min_lines):
     rnd = random.Random(min_lines)
     lines = ["line %d" % i for i in range(30)] + ["", "  ", "\t", " line 3 ", "é\r", "long " * 60]
@@ -50,3 +50,33 @@ def test_nulls_and_repeated_rows(spark):
     got = L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.kept_text) for r in got) == [(0, "a\nb"), (1, ""), (2, "c\nd"), (2, "c\nd"), (3, "e")]
     assert L.line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_suffix_array_equals_brute_force(spark):
+    rnd = random.Random(11)
+    texts = [[rnd.choice("abcde") for _ in range(rnd.randrange(0, 14))] for _ in range(12)] + [list("abcabcabcabc"), list("zabcabcabcabc"), ["q"] * 9, ["u", "v", "w"], list("abcabcabcabc")]
+    rows = [(i, k, at, len(t), ord(x), 0, 1) for i, t in enumerate(texts) for k in [i * 7 % 17] for at, x in enumerate(t)]
+    lines = spark.createDataFrame(rows, "doc_id long, key long, at long, size long, n1 long, n2 long, words long").repartition(3)
+    got = sorted(L.suffix_array(lines).collect(), key=lambda r: r.pos)
+    all_lines = [x for t in texts for x in t]
+    shared = {x for x in all_lines if all_lines.count(x) > 1}
+    assert {(r.doc_id, r.at) for r in got} == {(i, at) for i, t in enumerate(texts) for at, x in enumerate(t) if x in shared}
+    assert [r.pos for r in got] == list(range(len(got)))
+    common = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    suffix = [(r.doc_id, texts[r.doc_id][r.at :]) for r in got]
+    for n, (r, (i, s)) in enumerate(zip(got, suffix)):
+        assert r.lcp == (common(suffix[n - 1][1], s) if n else 0), (n, s)
+        if n and r.lcp:
+            a, b = texts[got[n - 1].doc_id], texts[i]
+            p, q = got[n - 1].at, r.at
+            assert r.maximal == (not (p and q and a[p - 1] == b[q - 1] and a[p - 1] in shared))
+        longest = max(common(s, t) for m, (_, t) in enumerate(suffix) if m != n)
+        assert longest == max(r.lcp, got[n + 1].lcp if n + 1 < len(got) else 0)
+
+
+def test_blocks_of_the_suffix_array_join(spark, monkeypatch):
+    monkeypatch.setattr(L, "_BLOCK", 4)
+    docs = [(i, "\n".join(["a", "b", "c", "d", "e"] * 3 + [str(i % 4)] * 2)) for i in range(12)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.kept_text, r.n_lines, r.n_removed, r.n_runs) for r in L.line_dedup(table, 2).collect()}
+    assert got == brute(docs, 2, 50)
