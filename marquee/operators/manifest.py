@@ -43,3 +43,9 @@ def sidecar_docs(top: DataFrame) -> DataFrame:
     parent = F.regexp_replace("folder", r"/[^/]*$", "")
     person = music.select(F.concat(parent, F.lit("/artist.nfo")).alias("target"), F.concat(F.lit("<artist><name>"), who, F.lit("</name></artist>")).alias("doc"), "user_id", "position")
     return album.unionByName(person).groupBy("target").agg(F.min_by("doc", F.struct("user_id", "position")).alias("doc"))
+
+
+def outputs(top: DataFrame, files: DataFrame, path: F.Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The link manifest and the documents of a run; where both would make one target, the document is made."""
+    docs = sidecar_docs(top)
+    return link_manifest(top, files, path).join(docs.select("target"), "target", "left_anti"), docs

@@ -10,24 +10,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import uniform
+from ..sources.readers import DEFAULT_WEIGHTS, FACTORS
 from .profile import facet_maxima, user_collections, warmth
 
 CANDIDATES, TOP = 600, 25
-#: A side is broadcast up to this many rows; beyond it Spark joins by shuffle.
-MOST_BROADCAST = 2_000_000
+#: A side is broadcast up to this many bytes; beyond it Spark joins by shuffle.
+MOST_BROADCAST = 256 << 20
 
 
 def bounded(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """A broadcast hint if the table has at most `most` rows."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).head(1)) == 0 or df.count() <= most else df
+    """A broadcast hint if the table's values take at most `most` bytes (16 and its text for each value)."""
+    texts = [F.coalesce(F.octet_length(F.to_json(F.array(c)) if kind.startswith(("array", "map", "struct")) else F.col(c)), F.lit(0)) for c, kind in df.dtypes if kind == "string" or kind.startswith(("array", "map", "struct"))]
+    size = df.agg(F.sum(sum(texts, F.lit(16 * len(df.columns))).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def weights_for(categories: DataFrame, weights: DataFrame) -> DataFrame:
-    """Enabled categories with their weights; a category without its own has those of Movies."""
+    """Enabled categories with their weights; a category or factor without its own has that of Movies, and without a row for Movies the built-in one."""
     factors = [c for c in weights.columns if c != "category"]
-    movies = weights.where("category = 'Movies'").select(*[F.col(f).alias(f"m_{f}") for f in factors]).limit(1)
+    movies = weights.where("category = 'Movies'").agg(*[F.first(f).alias(f"m_{f}") for f in factors])  # one row, whatever there is
     joined = categories.where("enabled").join(weights, "category", "left").crossJoin(F.broadcast(movies))
-    own = [F.coalesce(f, f"m_{f}").alias("collection_weight" if f == "collection" else f) for f in factors]
+    built_in = dict(zip(FACTORS, DEFAULT_WEIGHTS["Movies"]))
+    own = [F.coalesce(f, f"m_{f}", F.lit(built_in[f])).alias("collection_weight" if f == "collection" else f) for f in factors]
     return joined.select("category", "discovery_name", "min_score", *own)
 
 
@@ -37,6 +41,15 @@ def library_mapping(categories: DataFrame, libraries: DataFrame) -> DataFrame:
     return categories.where("enabled").join(of_type, "api_type").groupBy("category", "discovery_name", "min_score", "api_type", "item_type").agg(F.sort_array(F.collect_list("library_id")).alias("source_ids"))
 
 
+def source_items(items: DataFrame, mapping: DataFrame) -> DataFrame:
+    """The items of each category's source libraries that are of its type, with the category.
+
+    items has library_id and item_type, mapping is library_mapping's result: a few libraries.
+    """
+    sources = mapping.select("category", "item_type", F.explode("source_ids").alias("library_id"))
+    return items.drop("category").join(F.broadcast(sources), ["library_id", "item_type"])
+
+
 def catalogue(items: DataFrame, plays: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """The items that can be among any user's first `limit` unplayed ones of a category, with their rank.
 
@@ -50,50 +63,68 @@ def catalogue(items: DataFrame, plays: DataFrame, limit: int = CANDIDATES) -> Da
 
 
 def user_cuts(users: DataFrame, plays: DataFrame, cat: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-    """Rows (user_id, played, cuts): item ids played, and by category the rank of the last candidate."""
-    ranks = plays.join(cat.select("item_id", "category", "rank"), "item_id").groupBy("user_id", "category").agg(F.sort_array(F.collect_set("rank")).alias("ranks"), F.collect_set("item_id").alias("ids"))
+    """Rows (user_id, cuts): by category the rank of the last candidate and the ranks played."""
+    ranks = plays.join(cat.select("item_id", "category", "rank"), "item_id").groupBy("user_id", "category").agg(F.sort_array(F.collect_set("rank")).alias("ranks"))
     cut = F.aggregate("ranks", F.lit(limit), lambda at, r: F.when(r <= at, at + 1).otherwise(at))
-    by_user = ranks.groupBy("user_id").agg(F.flatten(F.collect_list("ids")).alias("played"), F.map_from_entries(F.collect_list(F.struct("category", cut))).alias("cuts"))
+    by_user = ranks.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("category", F.struct(cut.alias("cut"), "ranks")))).alias("cuts"))
     return users.select("user_id").join(by_user, "user_id", "left")
 
 
+def _own(limit: int) -> tuple[Column, Column]:
+    """The user's cut and played ranks in the row's category."""
+    own = F.try_element_at("cuts", F.col("category"))
+    return F.coalesce(own["cut"], F.lit(limit)), F.coalesce(own["ranks"], F.array().cast("array<int>"))
+
+
+def _ranks(cuts: DataFrame, cat: DataFrame, limit: int, include_played: bool = False) -> DataFrame:
+    """Rows (user_id, category, rank) of each user's candidates, made from ranks: nothing is compared with the catalogue."""
+    sizes = F.broadcast(cat.groupBy("category").agg(F.max("rank").alias("size")))  # one row a category
+    cut, ranks = _own(limit)
+    every = F.sequence(F.lit(1), F.least(cut, F.col("size")))
+    if include_played:
+        return cuts.crossJoin(sizes).select("user_id", "category", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("rank"))
+    return cuts.crossJoin(sizes).select("user_id", "category", F.explode(F.array_except(every, ranks)).alias("rank"))
+
+
 def candidates(users: DataFrame, items: DataFrame, plays: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """Rows (user_id, category, item_id): each user's first unplayed items of each category."""
     cat = catalogue(items, plays, limit)
-    cuts = user_cuts(users, plays, cat, limit)
-    return cuts.crossJoin(bounded(cat.select("item_id", "category", "rank"))).where(_is_candidate(limit)).select("user_id", "category", "item_id")
-
-
-def _is_candidate(limit: int) -> Column:
-    cut = F.coalesce(F.try_element_at("cuts", F.col("category")), F.lit(limit))
-    return (F.col("rank") <= cut) & ~F.coalesce(F.array_contains("played", F.col("item_id")), F.lit(False))
+    ranks = _ranks(user_cuts(users, plays, cat, limit), cat, limit)
+    return ranks.join(bounded(cat.select("item_id", "category", "rank")), ["category", "rank"]).select("user_id", "category", "item_id")
 
 
 def score_parts(users: DataFrame, items: DataFrame, item_facets: DataFrame, plays: DataFrame, prefs: DataFrame, limit: int = CANDIDATES, include_played: bool = False) -> DataFrame:
     """Rows of all candidates with what their scores are made of.
 
     Columns: user_id, item columns, rank, warm, genre_num, actor_num, director_num (summed
-    numerators), genre_max, actor_max, director_max, liked and seen. With include_played, played
-    items stay (they carry `seen`).
+    numerators, of warm users), genre_max, actor_max, director_max, liked and seen. With
+    include_played, all items of the catalogue stay (they carry `seen`).
+
+    Candidates are made from ranks. Hits of facets are kept only where they are candidates, before
+    they are summed; both lie in the user's partition, so that one sum joins them without a shuffle.
     """
     parts = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cat = catalogue(items, plays, limit)
-    cat = cat.persist()  # small, and read by four branches of the plan
-    none = F.lit("-")
-    known = item_facets.join(cat.select("item_id"), "item_id").groupBy("item_id", "facet", "value").agg(F.count(F.lit(1)).alias("times"))
-    known = known.unionByName(cat.select("item_id", none.alias("facet"), none.alias("value"), F.lit(1).cast("long").alias("times"))).persist()
-    every = prefs.select("user_id", "facet", "value", "num").unionByName(users.select("user_id", none.alias("facet"), none.alias("value"), F.lit(0).cast("long").alias("num")))
-    total = lambda facet: F.sum(F.when(F.col("facet") == facet, F.col("num") * F.col("times")).otherwise(0)).alias(f"{facet}_num")
-    hits = every.repartition(parts, "user_id").join(bounded(known), ["facet", "value"]).groupBy("user_id", "item_id").agg(total("genre"), total("actor"), total("director"))
+    known = item_facets.join(cat.select("item_id", "category", "rank"), "item_id").groupBy("category", "rank", "facet", "value").agg(F.count(F.lit(1)).alias("times"))
+    cuts = user_cuts(users, plays, cat, limit).join(warmth(users, plays), "user_id").repartition(parts, "user_id")
+    cut, ranks = _own(limit)
+    is_candidate = F.lit(True) if include_played else (F.col("rank") <= cut) & ~F.array_contains(ranks, F.col("rank"))
+    own = prefs.select("user_id", "facet", "value", "num").repartition(parts, "user_id").join(cuts.where("warm").select("user_id", "cuts"), "user_id")
+    hits = own.join(bounded(known), ["facet", "value"]).where(is_candidate)
+    of = lambda facet: F.when(F.col("facet") == facet, F.col("num") * F.col("times")).otherwise(F.lit(0)).cast("long").alias(f"{facet}_num")
+    hits = hits.select("user_id", "category", "rank", of("genre"), of("actor"), of("director"))
+    none = [F.lit(0).cast("long").alias(f"{facet}_num") for facet in ("genre", "actor", "director")]
+    every = hits.unionByName(_ranks(cuts, cat, limit, include_played).select("user_id", "category", "rank", *none))
+    sums = every.groupBy("user_id", "category", "rank").agg(*[F.sum(f"{facet}_num").alias(f"{facet}_num") for facet in ("genre", "actor", "director")])
 
     top = lambda facet: F.max(F.when(F.col("facet") == facet, F.col("max_num"))).alias(f"{facet}_max")
     maxima = facet_maxima(prefs).groupBy("user_id").agg(top("genre"), top("actor"), top("director"))
     liked = user_collections(plays, items).groupBy("user_id").agg(F.collect_set("collection").alias("collections"))
-    about = user_cuts(users, plays, cat, limit).join(warmth(users, plays), "user_id").join(maxima, "user_id", "left").join(liked, "user_id", "left").repartition(parts, "user_id")
-    rows = hits.join(about, "user_id").join(bounded(cat), "item_id")
-    seen = F.coalesce(F.array_contains("played", F.col("item_id")), F.lit(False))
-    rows = rows.where(F.lit(True) if include_played else _is_candidate(limit))
-    return rows.withColumn("liked", F.coalesce(F.array_contains("collections", F.col("collection")), F.lit(False))).withColumn("seen", seen).drop("played", "cuts", "collections", "n_plays")
+    about = cuts.join(maxima, "user_id", "left").join(liked, "user_id", "left")
+    rows = sums.join(about, "user_id").join(bounded(cat), ["category", "rank"])
+    rows = rows.withColumn("liked", F.coalesce(F.array_contains("collections", F.col("collection")), F.lit(False)))
+    seen = F.array_contains(ranks, F.col("rank")) if include_played else F.lit(False)
+    return rows.withColumn("seen", seen).drop("cuts", "collections", "n_plays")
 
 
 def _music() -> Column:

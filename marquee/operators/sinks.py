@@ -6,24 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+RUNS = "run_id string, columns string"
+
+
 def publish(new: DataFrame, served: DataFrame, old: DataFrame | None, path: str, run_id: str) -> None:
-    """Write a whole snapshot of all lists under path/run_id=....
+    """Write a whole snapshot of all lists under path/run_id=..., and then a row about the run.
 
     `new` has the lists of this run and `served` the (user_id, category) pairs that had
     candidates. A pair with candidates gets its new list, also if that is empty; one without
-    keeps its old list.
+    keeps its old list. A run counts from its row in path/_runs on, also if all lists are empty.
     """
     rows = new
     if old is not None:
         kept = old.select(new.columns).join(served.select("user_id", "category").distinct(), ["user_id", "category"], "left_anti")
         rows = new.unionByName(kept)
     rows.write.mode("overwrite").partitionBy("category").parquet(f"{path}/run_id={run_id}")
+    columns = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes)
+    new.sparkSession.createDataFrame([(run_id, columns)], RUNS).coalesce(1).write.mode("append").json(f"{path}/_runs")
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
-    """The latest snapshot: that with the greatest run_id."""
-    every = spark.read.parquet(path)
-    return every.join(F.broadcast(every.agg(F.max("run_id").alias("run_id"))), "run_id", "left_semi").drop("run_id")
+    """The latest snapshot: that with the greatest run_id. Other snapshots aren't read."""
+    run = spark.read.schema(RUNS).json(f"{path}/_runs").orderBy(F.col("run_id").desc()).first()
+    return spark.read.schema(run["columns"]).parquet(f"{path}/run_id={run.run_id}")
 
 
 def save_preferences(prefs: DataFrame, path: str, run_date: str) -> None:

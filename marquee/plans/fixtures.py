@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,14 +16,29 @@ EVENTS_AS_OF = "2024-02-15 12:00:00"
 ROOT = "/srv/discovery"
 
 
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new folder's path in spark.checkpoint.dir; in a temporary folder only in local mode."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="marquee-")
+    return f"{top.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 class Library:
     """Lazy tables over one folder of test tables."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, stream: bool = False):
+        self.spark, self.sf_dir, self.stream = spark, sf_dir, stream
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        found = self.spark.read.parquet(path)
+        if not self.stream:
+            return found
+        files = self.spark.readStream.schema(found.schema).parquet
+        return files(path if len(found.inputFiles()) > 1 or not found.inputFiles()[0].endswith(f"/{name}.parquet") else f"{path}*")
 
     def users(self) -> DataFrame:
         key = F.col("c_custkey")
@@ -75,7 +93,14 @@ class Library:
         names = ["a.mkv", "a.mp4", "cover.jpg", "notes.txt", "song.flac"]
         return self.table("part").select(F.col("p_partkey").alias("item_id"), F.lit("").alias("rel_path"), F.explode(F.array(*map(F.lit, names))).alias("file_name")).withColumn("ext", F.element_at(F.split("file_name", r"\."), -1))
 
+    def library_items(self) -> DataFrame:
+        """Items with the library they lie in and their type."""
+        key = F.col("item_id")
+        kind = F.when(F.col("category") == "Movies", "Movie").when(F.col("category") == "Shows", "Series").otherwise("MusicAlbum")
+        return self.items().withColumns({"library_id": F.concat(F.lit("lib"), (key % 25).cast("string")), "item_type": kind})
+
     def log_lines(self) -> DataFrame:
+        """Lines with the time of each; a file was modified at its last."""
         level = F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO")
         line = F.concat(F.lit("run ["), level, F.lit("] "), F.col("event_type"), F.lit(" "), F.floor("value").cast("string"))
-        return self.table("events").select(F.concat(F.lit("log"), (F.col("user_id") % 10).cast("string")).alias("file"), F.col("event_id").alias("line_no"), line.alias("line"))
+        return self.table("events").select(F.concat(F.lit("log"), (F.col("user_id") % 10).cast("string")).alias("file"), F.col("event_id").alias("line_no"), line.alias("line"), F.col("ts").alias("modified"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import audit, logs, manifest, profile, scoring
+from ..sources import readers
 from ..streaming import logs as stream_logs
-from .fixtures import AS_OF, EVENTS_AS_OF, ROOT, Library
+from .fixtures import AS_OF, EVENTS_AS_OF, ROOT, Library, shared_path
 
 SEED, TOP = 7, scoring.TOP
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,6 +147,40 @@ def candidates_capped(lib: Library) -> DataFrame:
 _sql("candidates_capped", "SELECT user_id, category, item_id FROM cand", CANDIDATES)
 
 
+@_query
+def source_candidates(lib: Library) -> DataFrame:
+    """Candidates from the categories' source libraries and of their types only."""
+    items = scoring.source_items(lib.library_items(), scoring.library_mapping(lib.categories(), lib.libraries()))
+    return scoring.candidates(lib.users(), items, lib.plays(), 20)
+
+
+_sql(
+    "source_candidates",
+    """SELECT user_id, category, item_id FROM (SELECT u.user_id, s.category, s.item_id, row_number() OVER (PARTITION BY u.user_id, s.category ORDER BY s.item_id) AS n
+FROM users u CROSS JOIN (SELECT i.item_id, k.category FROM items i JOIN libraries l ON l.item_id = 'lib' || (i.item_id % 25) JOIN categories k ON k.api_type = l.collection_type AND k.category = i.category) s
+LEFT JOIN plays p ON u.user_id = p.user_id AND s.item_id = p.item_id WHERE p.item_id IS NULL) WHERE n <= 20""",
+)
+
+
+@_query
+def latest_plays(lib: Library) -> DataFrame:
+    """Each user's latest plays, at most 4."""
+    return readers.cap_plays(lib.plays(), 4)
+
+
+_sql("latest_plays", "SELECT user_id, item_id, last_played FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_played DESC NULLS LAST, item_id) AS r FROM plays) WHERE r <= 4")
+
+
+@_query
+def fallback_weights(lib: Library) -> DataFrame:
+    """Weights where only Movies has a row: all categories have its factors."""
+    own = scoring.weights_for(lib.categories(), lib.weights().where("category = 'Movies'"))
+    return own.select("category", "min_score", "genres", "actors", "directors", "collection_weight").join(lib.items().groupBy("category").agg(F.count(F.lit(1)).alias("n_items")), "category")
+
+
+_sql("fallback_weights", "SELECT k.category, k.min_score, m.genres, m.actors, m.directors, m.collection_weight, n_items FROM categories k CROSS JOIN (SELECT * FROM categories WHERE category = 'Movies') m JOIN (SELECT category, count(*) AS n_items FROM items GROUP BY category) i ON k.category = i.category")
+
+
 @_query
 def category_weights(lib: Library) -> DataFrame:
     return _weights(lib).select("category", "min_score", "genres", "actors", "directors", "collection_weight", "diversity").join(lib.items().groupBy("category").agg(F.count(F.lit(1)).alias("n_items")), "category")
@@ -353,6 +388,17 @@ UNION ALL SELECT user_id, category, root || '/' || split_part(path, '/', -1) ||
 )
 
 
+@_query
+def link_manifest_on_share(lib: Library) -> DataFrame:
+    """The manifest with substituted paths."""
+    path = F.col("path")
+    return manifest.link_manifest(_published(lib), lib.files(), S.resolve_drive(path, DRIVES, S.resolve_path(path, RULES)))
+
+
+_SHARE = "CASE WHEN starts_with(path, '/media/Movies') THEN '/mnt/films' || substr(path, 14) WHEN starts_with(path, '/media/M') THEN '/mnt/m' || substr(path, 9) WHEN starts_with(upper(path), '/M') THEN '//nas/media' || substr(path, 3) ELSE path END"
+SQL["link_manifest_on_share"] = SQL["link_manifest"].replace("SELECT t.*, ", f"SELECT t.* EXCLUDE (path), {_SHARE.replace('path', 't.path')} AS path, ")
+
+
 @_query
 def sidecar_docs(lib: Library) -> DataFrame:
     return manifest.sidecar_docs(_published(lib))
@@ -388,12 +434,30 @@ _sql("log_status", f"SELECT file, count(*) FILTER (WHERE {_ERRORS}) = 0 AS succe
 
 @_query
 def log_tail(lib: Library) -> DataFrame:
-    return logs.log_tail(lib.log_lines())
+    return logs.log_tail(lib.log_lines()).select("file", "line_no", "line")
 
 
 _sql("log_tail", "SELECT file, line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no DESC) AS r FROM log) WHERE r <= 100", _LOG)
 
 
+@_query
+def log_tail_latest(lib: Library) -> DataFrame:
+    """The last 100 lines of the log modified last."""
+    return logs.log_tail(logs.latest_file(lib.log_lines())).select("file", "line_no", "line")
+
+
+_sql("log_tail_latest", "SELECT file, line_no, line FROM (SELECT *, row_number() OVER (ORDER BY line_no DESC) AS r FROM log WHERE file = (SELECT 'log' || (user_id % 10) FROM events ORDER BY ts DESC, 'log' || (user_id % 10) DESC LIMIT 1)) WHERE r <= 100", _LOG)
+
+
+@_query
+def log_errors_streamed(lib: Library) -> DataFrame:
+    """Error lines of the event files, taken as a stream over what is there, as the stream wrote them."""
+    scratch = shared_path(lib.spark, "log-errors")
+    stream = Library(lib.spark, lib.sf_dir, stream=True)
+    stream_logs.write_errors(stream_logs.errors(stream.log_lines()), f"{scratch}/out", f"{scratch}/state").awaitTermination()
+    return lib.spark.read.schema("file string, level string, message string, clean_message string").parquet(f"{scratch}/out")
+
+
 @_query
 def log_errors(lib: Library) -> DataFrame:
     """What the stream gives for the same lines."""
@@ -401,3 +465,4 @@ def log_errors(lib: Library) -> DataFrame:
 
 
 _sql("log_errors", f"SELECT file, nullif(regexp_extract(line, '\\[([A-Z]+)\\]', 1), '') AS level, trim(split_part(line, 'ERROR', -1)) AS message, trim(regexp_replace(trim(split_part(line, 'ERROR', -1)), '^\\]', '')) AS clean_message FROM log WHERE {_ERRORS}", _LOG)
+SQL["log_errors_streamed"] = SQL["log_errors"]

@@ -23,7 +23,12 @@ def errors(lines: DataFrame) -> DataFrame:
 
 def run_error_stream(spark: SparkSession, path: str, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Write error lines to Parquet: every so often ('5 seconds'), or once over what is there."""
-    writer = error_stream(spark, path).writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+    return write_errors(error_stream(spark, path), out, checkpoint, every)
+
+
+def write_errors(found: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Write a stream of error lines: every so often, or once over what is there."""
+    writer = found.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start(out)
 
 

@@ -73,8 +73,37 @@ def test_candidates_are_each_users_first_unplayed(spark, small):
 
 def test_plan_has_one_place_for_a_user(spark, small):
     users, items, facets, plays, prefs = small
-    plan = scoring.recommend(users, items, facets, plays, prefs, weights(spark))._jdf.queryExecution().executedPlan().toString()
+    run = scoring.recommend(users, items, facets, plays, prefs, weights(spark))._jdf.queryExecution()
+    plan = run.executedPlan().toString()
     assert "CartesianProduct" not in plan and "Python" not in plan and "WindowGroupLimit" in plan
+    # hits are kept only where they are candidates, before they are summed
+    lines = run.optimizedPlan().toString().split("\n")
+    kept = [i for i, x in enumerate(lines) if "array_contains(" in x and "cut" in x]
+    summed = [i for i, x in enumerate(lines) if "sum(genre_num" in x]
+    assert kept and summed and min(summed) < min(kept)
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_items_of_the_source_libraries_and_types_only(spark):
+    mapping = spark.createDataFrame([("Movies", "Movie", ["l1", "l2"]), ("Shows", "Series", ["l2"])], "category string, item_type string, source_ids array<string>")
+    items = spark.createDataFrame([(1, "l1", "Movie"), (2, "l1", "Series"), (3, "l2", "Series"), (4, "l3", "Movie"), (5, "l2", "Movie"), (6, None, "Movie")], "item_id long, library_id string, item_type string")
+    assert {(r.item_id, r.category) for r in scoring.source_items(items, mapping).collect()} == {(1, "Movies"), (3, "Shows"), (5, "Movies")}
+
+
+def test_weights_without_a_row(spark):
+    default = {r.category: r for r in weights(spark).collect()}
+    own = readers.default_weights(spark).where("category = 'Music'")
+    got = {r.category: r for r in scoring.weights_for(readers.default_categories(spark), own).collect()}
+    assert set(got) == {"Movies", "Shows", "Music"} and got["Shows"].genres == got["Movies"].genres == 1.0 and got["Music"].genres == 2.0
+    assert got["Shows"].actors == default["Movies"].actors and got["Shows"].discovery_name == "Discover Shows"
+    half = own.withColumn("category", F.lit("Movies")).withColumn("genres", F.lit(None).cast("double"))
+    assert {r.genres for r in scoring.weights_for(readers.default_categories(spark), half).collect()} == {1.0}
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    wide = spark.range(100).selectExpr("id", "repeat('x', 1000) AS text", "array(id, id) AS pair")
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+    assert hinted(scoring.bounded(wide, 200_000)) and not hinted(scoring.bounded(wide, 100_000)) and hinted(scoring.bounded(wide.where("false"), 1))
 
 
 def test_plays_are_capped_to_the_latest(spark):
@@ -94,6 +123,10 @@ def test_manifest(spark):
     assert got[1, "An/Movies/Film 1/s1/e.x.strm"][1] == "/m/f/s1/e.x.ts"
     assert got[1, "An/Movies/One/one.mkv.strm"] == ("strm", "/m/one.mkv", 1)
     assert got[1, "An/Music/Who/Album/a.mkv"][0] == "link" and not any("notes" in k[1] for k in got)
+    more = files.unionByName(spark.createDataFrame([(7, "", "album.nfo", "nfo"), (7, "", "other.nfo", "nfo")], files.schema))
+    links, made = manifest.outputs(top, more)
+    targets = {r.target for r in links.collect()}
+    assert "An/Music/Who/Album/other.nfo" in targets and not targets & {r.target for r in made.collect()}
     docs = {r.target: r.doc for r in manifest.sidecar_docs(top).collect()}
     assert docs == {"An/Music/Who/Album/album.nfo": "<album><title>Album</title><artist>Who</artist></album>", "An/Music/Who/artist.nfo": "<artist><name>Who</name></artist>"}
 
@@ -106,5 +139,9 @@ def test_publish_keeps_and_empties(spark, tmp_path):
     served = spark.createDataFrame([(1, "Movies"), (2, "Movies")], "user_id long, category string")  # 2 qualified for nothing, 3 had no candidates
     sinks.publish(new, served, sinks.read_published(spark, f"{tmp_path}/p"), f"{tmp_path}/p", "2")
     assert {(r.user_id, r.item_id) for r in sinks.read_published(spark, f"{tmp_path}/p").collect()} == {(1, 9), (3, 3)}
+    sinks.publish(new.where("false"), old, sinks.read_published(spark, f"{tmp_path}/p"), f"{tmp_path}/p", "3")  # all lists are empty
+    assert set(sinks.read_published(spark, f"{tmp_path}/p").columns) == {"user_id", "item_id", "category"} and sinks.read_published(spark, f"{tmp_path}/p").count() == 0
+    sinks.publish(new, served, sinks.read_published(spark, f"{tmp_path}/p"), f"{tmp_path}/p", "4")
+    assert sinks.read_published(spark, f"{tmp_path}/p").count() == 1
     sinks.save_preferences(old, f"{tmp_path}/prefs", "2024-01-01")
     assert spark.read.parquet(f"{tmp_path}/prefs").where("run_date = '2024-01-01'").count() == 3
