@@ -19,7 +19,7 @@ from .text import flat_index, hash_spans, mix, pieces, spans_of, utf8
 
 WINDOW = 13
 #: Text bytes of a shard, and of the test items that one pass over the texts looks for.
-SHARD_BYTES, BLOCK_BYTES = 1 << 20, 16 << 20
+SHARD_BYTES, BLOCK_BYTES = 1 << 20, 4 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
@@ -46,22 +46,25 @@ class Phrases:
         column = pa.array([t for _, t in items], pa.large_string())
         hashes, _, _, before = words_of(*utf8(column))
         self.vocabulary, ids = np.unique(hashes, return_inverse=True)
-        ids = ids.astype(np.int64) + 1
-        found: dict[tuple, set[int]] = {}
-        for k, (a, b) in enumerate(zip(before[:-1].tolist(), before[1:].tolist())):
-            own = ids[a:b].tolist()
-            for at in range(max(len(own) - window + 1, 1) if own else 0):
-                found.setdefault(tuple(own[at : at + window]), set()).add(number[items[k][0]])
-        keys = list(found)
-        self.sizes = np.array([len(p) for p in keys], np.int64)
-        self.phrases = np.zeros((len(keys), window), np.int64)
-        for row, p in enumerate(keys):
-            self.phrases[row, window - len(p) :] = p
-        self.shortest = int(self.sizes.min()) if keys else 0
-        lists = [sorted(found[p]) for p in keys]
-        self.item_sizes = np.array([len(x) for x in lists], np.int64)
+        ids = ids.astype(np.int32) + 1
+        n = np.diff(before)
+        many = np.where(n > 0, np.maximum(n - window + 1, 1), 0)
+        of = np.repeat(np.arange(len(items)), many)
+        starts = flat_index(before[:-1], many)
+        sizes = np.minimum(n, window)[of]
+        rows = np.zeros((len(starts), window), np.int32)  # phrases end at the last column
+        for k in range(1, window + 1):
+            has = sizes >= k
+            rows[has, window - k] = ids[(starts + sizes - k)[has]]
+        packed = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.itemsize * window))).reshape(-1)
+        _, first, phrase = np.unique(packed, return_index=True, return_inverse=True)
+        self.phrases, self.sizes = rows[first], sizes[first]
+        self.shortest = int(self.sizes.min()) if len(first) else 0
+        item = np.array([number[i] for i, _ in items], np.int64)[of]
+        pairs = np.unique(np.stack([phrase.reshape(-1), item], 1), axis=0) if len(of) else np.zeros((0, 2), np.int64)
+        self.item_sizes = np.bincount(pairs[:, 0], minlength=len(first)).astype(np.int64)
         self.item_starts = np.cumsum(self.item_sizes) - self.item_sizes
-        self.items = np.array([i for x in lists for i in x], np.int64)
+        self.items = pairs[:, 1]
 
     def search(self, hashes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word, phrase) of all occurrences in a shard; texts are bounded by `before`."""
@@ -133,7 +136,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int, unnamed: bool) -> Iterator[l
     rows = rows if unnamed else rows.where("item_id IS NOT NULL")
     for item, text in rows.toLocalIterator():
         held.append((item, text))
-        size += len(text)
+        size += len(text.encode())
         if size >= block_bytes:
             yield held
             held, size = [], 0

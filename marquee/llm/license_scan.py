@@ -18,23 +18,38 @@ from .text import hash_spans, mix, pieces, spans_of, utf8
 
 #: Words in a gram, grams in a window, words off the diagonal unless told, and the least coverage reported.
 GRAM, WINNOW, BAND, COVERAGE = 3, 4, 8, 0.75
-#: Bound of all templates' words, which the index of every task holds.
-MOST_WORDS = 2_000_000
+#: Words of the templates in one index, which every task holds.
+BLOCK_WORDS = 1_000_000
 MATCH, MISS, GAP = 2, -1, -1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 
-# Short notices as licenses state them (public texts).
+# Short notices as licenses state them, and whole licenses (public texts).
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_LIST = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_END = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+_UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MIT": "Released under the MIT License.",
-    "MIT-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
-    "BSD-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+    "MIT-notice": f"{_MIT}.",
+    "MIT-text": f"{_MIT}, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}",
+    "BSD-notice": f"{_BSD}.",
+    "BSD-2-text": f"{_BSD}: {_BSD_LIST} {_BSD_END}",
+    "BSD-3-text": f"{_BSD}: {_BSD_LIST} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_END}",
+    "ISC-text": f"{_ISC} {_ISC_END}",
+    "Zlib-text": _ZLIB,
+    "Unlicense-notice": _UNLICENSE,
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
@@ -197,20 +212,36 @@ def align(text: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAN
 _MATCHES = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("words", pa.int64()), ("from", pa.int64()), ("to", pa.int64())]))
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Rows (doc_id, matches), one for each row of `docs`: license, coverage, matched words, and the span in the text's bytes.
 
     coverage is the share of the template's words that are matched in order. Matches of one
     template that overlap are one, the best; they are in order of their place and name. Null
     and empty texts have none. Other columns are ignored; repeated rows and null ids stay;
-    nothing is shuffled. The templates are a parameter and bounded by MOST_WORDS.
+    nothing is shuffled. The templates are a parameter; each block of block_words of their words
+    is an index of its own, in a pass of its own over the texts.
     """
-    own = Templates(sorted((TEMPLATES if templates is None else templates).items()), coverage=coverage)
-    if sum(map(len, own.words)) > MOST_WORDS:
-        raise ValueError("too many template words for one index; scan with parts of the templates")
-    shared = docs.sparkSession.sparkContext.broadcast(own)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
+    kind, rows = docs.schema["doc_id"].dataType.simpleString(), docs.select("doc_id", "text")
+    for k, block in enumerate(_blocks(sorted((TEMPLATES if templates is None else templates).items()), block_words)):
+        shared = docs.sparkSession.sparkContext.broadcast(Templates(block, coverage=coverage))
+        rows = rows.mapInArrow(_scan(shared, k > 0), f"doc_id {kind}, text string, matches array<struct<license: string, coverage: double, words: long, from: long, to: long>>")
+    return rows.select("doc_id", "matches")
+
+
+def _blocks(templates: list[tuple[str, str]], words: int) -> Iterator[list[tuple[str, str]]]:
+    """The templates in blocks of at most so many words, or of one longer template."""
+    held, size = [], 0
+    for name, text in templates:
+        n = len(text.split())
+        if held and size + n > words:
+            yield held
+            held, size = [], 0
+        held.append((name, text))
+        size += n
+    yield held
+
+
+def _scan(shared, later: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Templates = shared.value
         for batch in pieces(batches):
@@ -235,7 +266,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
                     if not any(k[0] == m[0] and k[3] < m[4] and m[3] < k[4] for k in kept):
                         kept.append(m)
                 base, origin = before[d], x[1][d]
-                out.append([{"license": n, "coverage": c, "words": h, "from": int(starts[base + a] - origin), "to": int(ends[base + b - 1] - origin)} for n, c, h, a, b in sorted(kept, key=lambda m: (m[3], m[0]))])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, _MATCHES)], ["doc_id", "matches"])
+                out.append([{"license": n, "coverage": c, "words": h, "from": int(starts[base + a] - origin), "to": int(ends[base + b - 1] - origin)} for n, c, h, a, b in kept])
+            if later:
+                out = [[*x, *y] for x, y in zip(batch.column("matches").to_pylist(), out)]
+            out = [sorted(x, key=lambda m: (m["from"], m["license"])) for x in out]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(out, _MATCHES)], ["doc_id", "text", "matches"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, matches array<struct<license: string, coverage: double, words: long, from: long, to: long>>")
+    return run

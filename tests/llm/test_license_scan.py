@@ -72,7 +72,7 @@ def whole_alignment(text, template):
 def test_edited_copies_are_found_as_by_whole_alignment(spark):
     rnd = random.Random(11)
     docs = ["Released under an MIT License.", "Released under the so called MIT style License", "x released y under z the u mit v license w", "see: licensed under cc by sa 4 0"]
-    for name, template in sorted(L.TEMPLATES.items()) * 30:
+    for name, template in sorted(L.TEMPLATES.items()) * 9:
         words = template.split()
         for _ in range(rnd.randrange(1, max(2, len(words) // 3))):
             k = rnd.randrange(len(words))
@@ -90,7 +90,7 @@ def test_edited_copies_are_found_as_by_whole_alignment(spark):
             if coverage >= L.COVERAGE:
                 assert found[d, name] >= coverage, (docs[d], name)
                 edges += coverage < 1
-    assert edges > 60 and found[0, "MIT"] == 0.8 and found[1, "MIT"] == found[2, "MIT"] == 1 and found[3, "CC-BY-NC-4.0"] > 0.85
+    assert edges > 30 and found[0, "MIT"] == 0.8 and found[1, "MIT"] == found[2, "MIT"] == 1 and found[3, "CC-BY-NC-4.0"] > 0.85
 
 
 def test_adjacent_copies_stay_apart(spark):
@@ -99,6 +99,22 @@ def test_adjacent_copies_stay_apart(spark):
     assert {r.doc_id: [m["coverage"] for m in r.matches] for r in got} == {0: [1.0] * 40, 1: [0.8] * 40}
 
 
+def test_ties_long_texts_and_blocks(spark):
+    """Whole texts beyond a piece, equal templates, repeated rows; blocks of templates find the same."""
+    mit, isc = L.TEMPLATES["MIT-text"], L.TEMPLATES["ISC-text"]
+    long = "lorem ipsum " * 60_000 + mit + " dolor sit " * 60_000 + isc
+    docs = spark.createDataFrame([(1, long), (2, mit), (2, mit), (None, isc), (3, None)], "doc_id long, text string")
+    templates = {**L.TEMPLATES, "MIT-again": mit}
+    one, many = (sorted(map(str, L.scan_licenses(docs, templates, block_words=n).collect())) for n in (1 << 20, 60))
+    assert one == many
+    got = [(r.doc_id, {m["license"]: (m["coverage"], m["from"]) for m in r.matches}) for r in L.scan_licenses(docs, templates).collect()]
+    at = len("lorem ipsum " * 60_000)
+    found = next(m for i, m in got if i == 1)
+    assert found["MIT-text"] == found["MIT-again"] == (1.0, at) and found["MIT-notice"] == (1.0, at) and found["ISC-text"][0] == 1.0
+    assert [m["MIT-text"] for i, m in got if i == 2] == [(1.0, 0)] * 2 and next(m for i, m in got if i is None)["ISC-text"] == (1.0, 0)
+    assert next(m for i, m in got if i == 3) == {}
+
+
 def test_rows_of_an_alignment_equal_cells():
     def cells(text, template, diagonal, band):
         low, high = max(0, diagonal - band), min(len(text), diagonal + len(template) + band)
