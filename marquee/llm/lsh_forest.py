@@ -17,16 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .ordering import dealt
 from .store import settled, written
 from .text import hash_spans, mix, pieces, spans_of, utf8
 
 #: Trees, the depth that makes a region, and the deeper signature bytes that order it.
 TREES, DEPTH, DEEPER = 32, 3, 8
-#: A pair outside the neighbours counts if it meets in this many trees. At a similarity of 0.75
-#: a pair meets in 13.5 of 32 trees on average and in fewer than 3 with a chance of 8e-6.
-LEAST_TREES = 3
-#: Regions up to this size give all their pairs to be counted.
-SMALL_REGION = 16
+#: Neighbours of each text, those with the longest common prefixes over all trees.
+NEIGHBOURS = 2
+#: Leaves of the forest: regions up to this size give all their pairs, a bounded number for each text.
+LEAF = 16
 #: Words of 64 bits in a bit map of a difference.
 BIT_WORDS = 8
 WORDS, PERCENT = 5, 75
@@ -45,9 +45,10 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) ->
     hashes = hash_spans(low, starts, ends)
     odd = mix(np.arange(11, 11 + words, dtype=np.uint64)) | np.uint64(1)
     n = len(hashes)
-    rolled = np.zeros(max(n - words + 1, 0), np.uint64)
+    m = max(n - words + 1, 0)
+    rolled = np.zeros(m, np.uint64)
     for k in range(words):
-        rolled += mix(hashes[k : n - words + 1 + k] + np.uint64(k)) * odd[k]
+        rolled += mix(hashes[k : k + m] + np.uint64(k)) * odd[k]
     rolled = mix(rolled)
     out = []
     for a, b in zip(before[:-1].tolist(), before[1:].tolist()):
@@ -69,6 +70,10 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def _set_hash(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         sets = shingle_hashes(*utf8(batch.column("text")))
@@ -76,7 +81,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 batch.column("doc_id"),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                pa.array(list(map(_set_hash, sets)), pa.binary()),
                 pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
             ],
             ["doc_id", "n_shingles", "set_hash", "signature"],
@@ -106,29 +111,12 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, partner, depth) both ways for sorted neighbours in one region."""
-    last = None
-    for batch in batches:
-        region, deeper, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "deeper", "id"))
-        if last is not None:
-            region, deeper, ids = (np.concatenate([[x], y]) for x, y in zip(last, (region, deeper, ids)))
-        if not len(ids):
-            continue
-        last = region[-1], deeper[-1], ids[-1]
-        with_next = np.flatnonzero((region[1:] == region[:-1]) & (ids[1:] != ids[:-1]))
-        a, b = ids[with_next], ids[with_next + 1]
-        differ = (deeper[with_next] ^ deeper[with_next + 1]).view(np.uint64)
-        depth = DEPTH + sum((differ >> np.uint64(56 - 8 * k) == 0).astype(np.int64) for k in range(DEEPER))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((a, b), (b, a), (depth, depth))], ["id", "partner", "depth"])
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         sets = shingle_hashes(*utf8(batch.column("text")))
         at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(_set_hash, sets)), pa.binary()), lists], ["doc_id", "set_hash", "shingles"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -144,19 +132,28 @@ def _ordered(x: str, y: str) -> list:
 
 
 def _nearest(members: DataFrame) -> DataFrame:
-    """Each text with its deepest neighbour in the sorted orders, as pairs (a, b)."""
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Each text with the NEIGHBOURS texts of the longest common prefixes with it in the sorted orders, as pairs (a, b).
+
+    The depth of a pair is what the signatures about it allow, from a region's to DEPTH + DEEPER.
+    Rows are numbered over all partitions, so that no neighbours are apart.
+    """
     order = ["region", "deeper", "id"]
-    near = members.select(order).repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, "id long, partner long, depth long")
-    scored = near.groupBy("id", "partner").agg(F.sum("depth").alias("depth"))
-    best = scored.groupBy("id").agg(F.max(F.struct("depth", (-F.col("partner")).alias("partner"))).alias("best"))
-    return best.select("id", (-F.col("best.partner")).alias("partner")).select(_ordered("id", "partner"))
+    ranked = written(dealt(members.select(order), order, "sorted-trees"), "numbered-trees")
+    after = ranked.select("region", F.col("deeper").alias("d"), F.col("id").alias("partner"), (F.col("before") - 1).alias("before"))
+    differ = F.col("deeper").bitwiseXOR(F.col("d"))
+    common = F.when(differ == 0, DEEPER).otherwise(F.floor((64 - F.length(F.bin(differ))) / 8))
+    near = ranked.join(after, ["before", "region"]).where("id != partner").select("id", "partner", (DEPTH + common).cast("long").alias("depth"))
+    both = near.unionByName(near.select(F.col("partner").alias("id"), F.col("id").alias("partner"), "depth"))
+    scored = both.groupBy("id", "partner").agg(F.sum("depth").alias("depth"))
+    lists = scored.groupBy("id").agg(F.collect_list(F.struct("depth", (-F.col("partner")).alias("partner"))).alias("all"))  # at most two a tree
+    best = lists.select("id", F.explode(F.slice(F.sort_array("all", asc=False), 1, NEIGHBOURS)).alias("best"))
+    return best.select("id", (-F.col("best.partner")).alias("partner")).select(_ordered("id", "partner")).distinct()
 
 
 def _hubs(members: DataFrame) -> DataFrame:
     """Each text with the most central text of its regions: the likely original of edited copies."""
     rank = F.struct("central", (-F.col("id")).alias("id"))
-    hubs = members.groupBy("region").agg(F.max(rank).alias("hub"))
+    hubs = settled(members.groupBy("region").agg(F.max(rank).alias("hub")), "hubs")
     best = members.select("region", "id").join(hubs, "region").where(F.col("hub.id") != -F.col("id")).groupBy("id").agg(F.max("hub").alias("hub"))
     return best.select("id", (-F.col("hub.id")).alias("partner")).select(_ordered("id", "partner"))
 
@@ -178,16 +175,16 @@ def _common(column: str, size: str) -> list[F.Column]:
 def _across(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) that share regions, lie in different components and may be linked.
 
-    In small regions a pair counts that meets in LEAST_TREES of them. A large region has a
-    pivot, the most central text of its main component, and each text is known by its
-    difference from the pivot: shingles that it lacks, that it adds, and that no other text of
-    the pivot's regions adds, as numbers and as bit maps of their hashes. The size of the difference between two texts is at least what
+    In a leaf every such pair counts. A larger region has a pivot, the most central text of its
+    main component, and each text is known by its difference from the pivot: shingles that it
+    lacks, that it adds, and that no other text of the pivot's regions adds, as numbers and as
+    bit maps of their hashes. The size of the difference between two texts is at least what
     these counts leave, and pairs whose bound excludes a link aren't formed.
     """
     known = members.select("region", "size", "id", "n_shingles", "central").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     by_region = known.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = by_region.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1").select("region", "main")
-    rows = written(known.join(mixed, "region"), "mixed")
+    rows = written(known.join(settled(mixed, "mixed-regions"), "region"), "mixed")
 
     def pairs(table: DataFrame, extra: list[str], condition) -> DataFrame:
         x = table.where("component != main").select("region", *[F.col(c).alias(f"x_{c}") for c in ("id", "n_shingles", "component", *extra)])
@@ -196,20 +193,20 @@ def _across(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
         apart = (100 * low >= PERCENT * high) & (F.col("x_component") != F.col("y_component")) & (F.col("in_main") | (F.col("x_id") < F.col("y_id")))
         return x.join(y, (x["region"] == y["region"]) & apart & condition).select(_ordered("x_id", "y_id"))
 
-    few = pairs(rows.where(F.col("size") <= SMALL_REGION), [], F.lit(True)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TREES).select("a", "b")
+    few = pairs(rows.where(F.col("size") <= LEAF), [], F.lit(True))
 
-    large = rows.where(F.col("size") > SMALL_REGION)
+    large = rows.where(F.col("size") > LEAF)
     pivots = large.where("component = main").groupBy("main").agg(F.max(F.struct("central", (-F.col("id")).alias("id"))).alias("p")).select("main", (-F.col("p.id")).alias("pivot"))
-    relation = large.select("id", "main").distinct().join(pivots, "main")
-    own = sets.groupBy("id").agg(F.first("shingles").alias("shingles"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")  # a repeated id has no one set, and no bound
-    relation = relation.join(own.withColumnRenamed("shingles", "x"), "id").join(own.select(F.col("id").alias("pivot"), F.col("shingles").alias("p")), "pivot")
+    relation = written(large.select("id", "main").distinct().join(settled(pivots, "pivots"), "main"), "texts-and-pivots")
+    relation = relation.join(sets.withColumnRenamed("shingles", "x"), "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("p")), "pivot")
     relation = relation.select("id", "main", F.array_except("p", "x").alias("lacked"), F.array_except("x", "p").alias("added"))
     relation = written(relation.select("id", "main", "added", F.size("lacked").alias("lacks"), *_bits("lacked"), *_bits("added")), "differences")
     alone = relation.select("id", "main", F.explode("added").alias("shingle")).groupBy("main", "shingle").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id")).where("n = 1").groupBy("main", "id").agg(F.count(F.lit(1)).alias("alone"))
     bits = [f"{c}_{k}" for c in ("lacked", "added") for k in range(BIT_WORDS)]
     counts = relation.select("id", "main", "lacks", F.size("added").alias("adds"), *bits).join(alone, ["main", "id"], "left").withColumn("shared", F.col("adds") - F.coalesce("alone", F.lit(0)))
     # by pivot instead of by region, so that a pair which shares many regions is formed once
-    each = large.select(F.col("main").alias("region"), "main", "id", "n_shingles", "component").distinct()
+    each = written(large.select(F.col("main").alias("region"), "main", "id", "n_shingles", "component").distinct(), "pivot-members")
+    counts = settled(counts, "difference-counts")
     described = written(each.join(counts.select("id", "main", "lacks", "adds", "shared", *bits), ["id", "main"], "left"), "described")
     both = F.least(*_common("lacked", "lacks")) + F.least("x_shared", "y_shared", *_common("added", "adds"))
     apart = F.col("x_lacks") + F.col("x_adds") + F.col("y_lacks") + F.col("y_adds") - 2 * both
@@ -226,31 +223,41 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     document with the links of all its texts; a row with a null doc_id is never linked and is
     kept. Other columns are ignored; an empty table gives no rows. Texts of any length are
     read whole. Within a region the work is linear in its rows, but for texts that share
-    regions without being linked: their pairs are counted and, if they meet often, compared.
+    large regions without being linked: where the bound can't exclude them, their pairs are compared.
     """
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures, "doc_id long, n_shingles long, set_hash binary, signature binary"), "signatures")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = written(given.mapInArrow(_signatures, "doc_id long, n_shingles long, set_hash binary, signature binary"), "signatures")
     known = rows.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
-    classes = written(known.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
+    # classes are numbered by their smallest doc_id: the least number of a component is that of its smallest document
+    classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    classes = written(dealt(classes, ["doc_id", "set_hash"], "sorted-classes").withColumnRenamed("before", "id"), "classes")
 
     trees = classes.mapInArrow(_tree_rows, "region long, deeper long, id long, n_shingles long")
     shared = trees.groupBy("region").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high").select("region", "size")
     shared = settled(shared, "shared-regions")
     members = written(trees.join(shared, "region"), "regions")
-    sets = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>").where(F.size("shingles") > 0), "sets")
-    central = members.groupBy("id").agg(F.sum("size").alias("central"))
+    linked = settled(classes.select("id", "doc_id", "set_hash").join(members.select("id").distinct(), "id", "left_semi"), "linked-classes")
+    found = given.join(linked.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set_hash binary, shingles array<long>")
+    sets = found.join(linked, ["doc_id", "set_hash"]).groupBy("id").agg(F.first("shingles").alias("shingles"))
+    sets = written(sets, "sets")
+    central = settled(members.groupBy("id").agg(F.sum("size").alias("central")), "central")
     members = written(members.join(central, "id"), "central-regions")
 
     first = _nearest(members).unionByName(_hubs(members)).distinct()
-    links = written(confirmed(first, sets), "links")
+    named = classes.select("set_hash", "id")
+    texts = known.join(named, "set_hash").groupBy("doc_id").agg(F.min("id").alias("a"), F.collect_set("id").alias("ids")).where(F.size("ids") > 1)
+    same = texts.select("a", F.explode("ids").alias("b")).where("a != b")  # the texts of one document
+    links = written(confirmed(first, sets).unionByName(same), "links")
     found = written(components(links), "components")
     more = written(confirmed(_across(members, found, sets), sets), "more-links")
-    named = classes.select("set_hash", "id").join(found, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
+    named = classes.select("set_hash", "id").join(found, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
     if more.head(1):  # only components, and no longer their texts, are to be merged
         for end in ("a", "b"):
             more = more.join(found.select(F.col("id").alias(end), F.col("component").alias(f"{end}_in")), end, "left").withColumn(end, F.coalesce(f"{end}_in", end)).drop(f"{end}_in")
-        merged = written(components(more), "merged").select(F.col("id").alias("component_id"), F.col("component").alias("merged"))
-        named = named.join(merged, "component_id", "left").select("set_hash", F.coalesce("merged", "component_id").alias("component_id"))
-    named = settled(named, "classes-named")
+        merged = written(components(more), "merged").select(F.col("id").alias("component"), F.col("component").alias("merged"))
+        named = named.join(merged, "component", "left").select("set_hash", F.coalesce("merged", "component").alias("component"))
+    least = classes.select(F.col("id").alias("component"), F.col("doc_id").alias("component_id"))
+    named = settled(named.join(least, "component").select("set_hash", "component_id"), "classes-named")
     linked = known.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash").select("doc_id", "n_shingles", "component_id")
     alone = rows.where("set_hash IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

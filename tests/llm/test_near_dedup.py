@@ -102,13 +102,20 @@ def test_near_dedup_equals_brute_force(spark):
 
 
 def test_a_hot_region_loses_no_link(spark, monkeypatch):
-    monkeypatch.setattr(lsh_forest, "SMALL_REGION", 2)
-    monkeypatch.setattr(lsh_forest, "LEAST_TREES", 1)
+    monkeypatch.setattr(lsh_forest, "LEAF", 2)
     rows = [r for r in made(9) if r[0] is not None]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
     assert all(r.component_id == want[r.doc_id] for r in lsh_forest.near_dedup(docs).collect())
 
 
+def test_texts_of_one_document_are_linked(spark):
+    a, b, c = ("%s one two three four five six" % x for x in "abc")
+    long = " ".join("w%d" % i for i in range(200_000))  # beyond a piece
+    rows = [(5, a), (5, b), (3, a), (4, b), (6, c), (7, c), (8, "x y"), (8, "z"), (9, long), (1, long + " end"), (None, a)]
+    got = lsh_forest.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got if r.doc_id) == [(1, 1), (3, 3), (4, 3), (5, 3), (5, 3), (6, 6), (7, 6), (8, 8), (8, 8), (9, 1)]
+
+
 def test_empty(spark):
     assert lsh_forest.near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
