@@ -6,14 +6,15 @@ copies, and belongs to it. All strings of a trigger lie in one phrase with its s
 
 The dictionary of phrases decides most cases: a phrase that occurs twice is repeated wholly, and
 one whose core is unique isn't repeated at all. What is left lies at the edges of repeats. There
-the parts after the triggers (suffixes of the parse) and the reversed parts before them (of the
-dictionary) are sorted among the phrases of one core, and the two orders with their common
-prefixes give the corpus order of all strings of 400 bytes.
+two orders are made over all phrases of the dictionary: the suffix array of what follows their
+triggers in the parse, and that of what precedes them in the phrase, read backwards. A string of
+400 bytes is an interval of common prefixes in each. Phrases that share a pair of intervals share
+the strings of that pair, so that the two together give the order of all strings in the corpus.
+Both orders are dealt out by ranges; no group of phrases has to lie in one task.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import settled, written
-from .text import mix, pieces, utf8
+from .text import flat_index, mix, pieces, utf8
 
 #: Bytes of a string, of the core at a trigger, and of the rolling hash.
 LENGTH, CORE, ROLL = 400, 64, 16
-#: Phrases of one core that are sorted in one task; all strings of larger groups are dealt out by hash.
-MOST_SORTED = 20_000
+#: Rows of an order that are taken in one step, where a core ends.
+_STEP = 50_000
 _SPAN = LENGTH - CORE + 1
 _PLACE = np.uint64((1 << 31) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -86,7 +87,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The phrases asked for, with their bytes: (core, key, place, alone, phrase)."""
+    """The phrases asked for: (core, key, place, alone), the bytes from the trigger on and those before it, backwards."""
     for batch in pieces(batches):
         data, offsets = utf8(batch.column("text"))
         asked = batch.column("asked")
@@ -95,9 +96,11 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = asked.flatten()
         place = rows.field("place").to_numpy(zero_copy_only=False)
         first = offsets[which] + (place >> 20)
+        trigger, end = first + (place >> 10 & 1023), first + (place & 1023) + LENGTH
         raw = data.tobytes()
-        bytes_ = [raw[a:b] for a, b in zip(first.tolist(), (first + (place & 1023) + LENGTH).tolist())]
-        yield pa.RecordBatch.from_arrays([rows.field("core"), batch.column("key").take(pa.array(which)), rows.field("place"), rows.field("alone"), pa.array(bytes_, pa.binary())], ["core", "key", "place", "alone", "phrase"])
+        after = [raw[a:b] for a, b in zip(trigger.tolist(), end.tolist())]
+        before = [raw[a:b][::-1] for a, b in zip(first.tolist(), trigger.tolist())]
+        yield pa.RecordBatch.from_arrays([rows.field("core"), batch.column("key").take(pa.array(which)), rows.field("place"), rows.field("alone"), pa.array(after, pa.binary()), pa.array(before, pa.binary())], ["core", "key", "place", "alone", "after", "before"])
 
 
 def _common(rows: list[bytes], width: int) -> np.ndarray:
@@ -110,112 +113,177 @@ def _common(rows: list[bytes], width: int) -> np.ndarray:
     return np.minimum(differ.argmax(axis=1), np.minimum(sizes[1:], sizes[:-1]))
 
 
-def repeated_strings(rows: list[bytes], triggers_: list[int], lasts: list[int]) -> list[np.ndarray]:
-    """For distinct phrases of one core: which of each phrase's strings another phrase holds too.
+def intervals(common: list[int], floor: int) -> list[tuple[int, int, int, int]]:
+    """(low, high, start, end) of all intervals of at least two rows: those that share a prefix of each length in (low, high].
 
-    triggers_ and lasts are the places of the trigger and of the last string in each phrase.
-    Index d of a result is the string that starts d bytes before the trigger.
+    common[i] is the common prefix of rows i - 1 and i; `floor` stands where a core begins.
     """
-    k = len(rows)
-    out = [np.zeros(_SPAN, bool) for _ in rows]
-    if k < 2:
-        return out
-    after = [r[t:] for r, t in zip(rows, triggers_)]
-    before = [r[:t][::-1] for r, t in zip(rows, triggers_)]
-    parse_order = sorted(range(k), key=after.__getitem__)
-    phrase_order = sorted(range(k), key=before.__getitem__)
-    after_common = _common([after[i] for i in parse_order], LENGTH)
-    before_common = _common([before[i] for i in phrase_order], _SPAN)
-    low, high = np.array([t - e for t, e in zip(triggers_, lasts)]), np.array(triggers_)
-    if k <= 24:
-        spot = np.empty(k, np.int64)
-        spot[phrase_order] = np.arange(k)
-        for a in range(k - 1):
-            right = LENGTH
-            for b in range(a + 1, k):
-                right = min(right, int(after_common[b - 1]))
-                if right < CORE:
-                    break
-                i, j = parse_order[a], parse_order[b]
-                x, y = sorted((int(spot[i]), int(spot[j])))
-                left = int(before_common[x:y].min())
-                from_, to = max(LENGTH - right, low[i], low[j]), min(left, high[i], high[j])
-                if from_ <= to:
-                    out[i][from_ : to + 1] = True
-                    out[j][from_ : to + 1] = True
-        return out
-    marks = np.zeros((_SPAN, k), bool)
-    parse_group, phrase_group = np.zeros(k, np.int64), np.zeros(k, np.int64)
-    for d in range(int(low.min()), int(high.max()) + 1):
-        valid = (low <= d) & (d <= high)
-        if valid.sum() < 2:
-            continue
-        parse_group[parse_order] = np.concatenate([[0], np.cumsum(after_common < LENGTH - d)])
-        phrase_group[phrase_order] = np.concatenate([[0], np.cumsum(before_common < d)])
-        at = np.flatnonzero(valid)
-        _, back, n = np.unique(parse_group[at] * k + phrase_group[at], return_inverse=True, return_counts=True)
-        marks[d, at] = n[back] > 1
-    return [marks[:, i] for i in range(k)]
-
-
-def _ranges(key: int, place: int, marked: np.ndarray) -> list[tuple[int, int, int]]:
-    """(key, from, to): the bytes that the marked strings cover."""
-    trigger = (place >> 20) + (place >> 10 & 1023)
-    edges = np.flatnonzero(np.diff(np.r_[False, marked, False].astype(np.int8)))
-    return [(key, trigger - (int(b) - 1), trigger - int(a) + LENGTH) for a, b in zip(edges[::2], edges[1::2])]
-
-
-def _sorted_groups(batches: Iterator[pa.RecordBatch], large: bool) -> Iterator[pa.RecordBatch]:
-    """Ranges found in groups of one core; or, if `large`, hashes of all strings in the groups too large to sort."""
-
-    def ranges(group: list[tuple]) -> list[tuple[int, int, int]]:
-        found = []
-        marks = repeated_strings([r[4] for r in group], [r[2] >> 10 & 1023 for r in group], [r[2] & 1023 for r in group])
-        for (_, key, place, alone, _), marked in zip(group, marks):
-            if alone and marked.any():
-                found += _ranges(key, place, marked)
-        return found
-
-    def strings(rows: list[tuple]) -> pa.RecordBatch:
-        digests, keys, places = [], [], []
-        for core, key, place, alone, phrase in rows:
-            for s in range((place & 1023) + 1):
-                digests.append(hashlib.blake2b(phrase[s : s + LENGTH], digest_size=16).digest())
-                places.append((place >> 20) + s if alone else -1)
-            keys += [key] * ((place & 1023) + 1)
-        return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(keys, pa.int64()), pa.array(places, pa.int64())], ["digest", "key", "at"])
-
-    def out(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        table = np.array(found, np.int64).reshape(-1, 3)
-        return pa.RecordBatch.from_arrays([pa.array(table[:, c]) for c in range(3)], ["key", "from", "to"])
-
-    group: list[tuple] = []
-    found: list[tuple[int, int, int]] = []
-    spilled = None  # the core of a group that is too large
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("core", "key", "place", "alone", "phrase"))):
-            if group and row[0] != group[0][0]:
-                if not large:
-                    found += ranges(group)
-                group = []
-                if len(found) >= 20_000:
-                    yield out(found)
-                    found = []
-            if row[0] == spilled:
-                if large:
-                    yield strings([row])
+    out: list[tuple[int, int, int, int]] = []
+    stack: list[tuple[int, int]] = []  # (common prefix, start)
+    for i, c in enumerate([*common[1:], floor], 1):
+        start = i - 1
+        while stack and stack[-1][0] > c:
+            high, start = stack.pop()
+            out.append((max(c, stack[-1][0]) if stack else c, high, start, i))
+        if c > floor and (not stack or stack[-1][0] < c):
+            stack.append((c, start))
+    return out
+
+
+_INTERVALS = "array<struct<low: int, high: int, start: long, end: long>>"
+_INTERVAL_LIST = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
+_ORDER = [("part", pa.int32()), ("key", pa.int64()), ("place", pa.int64()), ("alone", pa.bool_()), ("found", _INTERVAL_LIST), ("n", pa.int64()), ("first_core", pa.int64()), ("first", pa.binary()), ("last_core", pa.int64()), ("last", pa.binary()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]
+_ORDER_SQL = f"part int, key long, place long, alone boolean, found {_INTERVALS}, n long, first_core long, first binary, last_core long, last binary, starts array<long>, ends array<long>"
+
+
+def _in_order(text: str, width: int, floor: int):
+    """For rows in the order of (core, text): each row's intervals in its partition, and last a row about the partition.
+
+    The latter has the partition's first and last texts, and by length where the interval of the
+    last row starts and that of the first one ends, so that intervals can be joined across
+    partitions. The first and last rows also have intervals of themselves alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, at = TaskContext.get().partitionId(), 0
+        core = key = place = np.zeros(0, np.int64)
+        alone, common = np.zeros(0, bool), np.zeros(0, np.int64)
+        first = last = None
+        ends = np.zeros(width + 1, np.int64)
+
+        def step(n: int, ended: bool) -> Iterator[pa.RecordBatch]:
+            """The intervals of the next n rows, which are whole cores of this partition."""
+            nonlocal at, core, key, place, alone, common
+            found = np.array(intervals(common[:n].tolist(), floor), np.int64).reshape(-1, 4)
+            own = []
+            if at == 0:
+                own.append((common[1] if n > 1 else floor, len(first[1]), 0, 1))
+            if ended and at + n > 1:
+                own.append((common[n - 1], len(last[1]), n - 1, n))
+            found = np.concatenate([found, np.array(own, np.int64).reshape(-1, 4)])
+            sizes = found[:, 3] - found[:, 2]
+            row, which = flat_index(found[:, 2], sizes), np.repeat(np.arange(len(found)), sizes)
+            order = np.lexsort([found[which, 0], row])
+            row, which = row[order], which[order]
+            found[:, 2:] += at
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(found[which, c].astype(np.int32 if c < 2 else np.int64)) for c in range(4)], ["low", "high", "start", "end"]))
+            if at == 0:
+                for low, high, _, end in found[which[row == 0]].tolist():
+                    ends[max(low, -1) + 1 : high + 1] = end
+            none = [pa.nulls(n, kind) for _, kind in _ORDER[5:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(key[:n]), pa.array(place[:n]), pa.array(alone[:n]), lists.cast(_INTERVAL_LIST), *none], schema=pa.schema(_ORDER))
+            if ended:
+                starts = np.full(width + 1, at + n - 1, np.int64)
+                for low, high, start, _ in found[which[row == n - 1]].tolist():
+                    starts[max(low, -1) + 1 : high + 1] = start
+                values = [part, None, None, None, None, at + n, *first, *last, starts, ends]
+                yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, (_, kind) in zip(values, _ORDER)], schema=pa.schema(_ORDER))
+            at += n
+            core, key, place, alone, common = core[n:], key[n:], place[n:], alone[n:], common[n:]
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            group.append(row)
-            if len(group) > MOST_SORTED:
-                spilled = row[0]
-                if large:
-                    for a in range(0, len(group), 100):
-                        yield strings(group[a : a + 100])
-                group = []
-    if group and not large:
-        found += ranges(group)
-    if found:
-        yield out(found)
+            cores, texts = batch.column("core").to_numpy(zero_copy_only=False), batch.column(text).to_pylist()
+            if first is None:
+                first, ends[:] = (int(cores[0]), texts[0]), 1
+                before = (int(cores[0]) - 1 if cores[0] else 1, b"")
+            else:
+                before = last
+            shared = _common([before[1], *texts], width)
+            shared[np.r_[before[0], cores[:-1]] != cores] = floor
+            last = (int(cores[-1]), texts[-1])
+            core, common = np.concatenate([core, cores]), np.concatenate([common, shared])
+            key, place = (np.concatenate([x, batch.column(c).to_numpy(zero_copy_only=False)]) for x, c in ((key, "key"), (place, "place")))
+            alone = np.concatenate([alone, batch.column("alone").to_numpy(zero_copy_only=False)])
+            if len(core) >= _STEP and core[0] != core[-1]:
+                yield from step(int(np.flatnonzero(core != core[-1])[-1]) + 1, False)
+        if len(core):
+            yield from step(len(core), True)
+
+    return run
+
+
+def _ordered(edges: DataFrame, text: str, width: int, floor: int) -> tuple[DataFrame, dict[int, tuple]]:
+    """The rows (key, place, alone, part, found) of an order, and how intervals at the ends of its partitions go on in the others.
+
+    Of each partition one row comes to the driver, which has two texts and 2 * width numbers.
+    """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = edges.select("core", "key", "place", "alone", text).repartitionByRange(parts, "core", text).sortWithinPartitions("core", text)
+    table = written(dealt.mapInArrow(_in_order(text, width, floor), _ORDER_SQL), f"order-{text}")
+    about = sorted(table.where("n IS NOT NULL").drop("key", "place", "alone", "found").collect(), key=lambda r: r.part)
+    joint = [-1] + [int(_common([bytes(x["last"]), bytes(y["first"])], width)[0]) if x.last_core == y.first_core else -1 for x, y in zip(about, about[1:])] + [-1]
+    bases = np.cumsum([0] + [r.n for r in about])
+    lengths = np.arange(width + 1)
+    starts: list[np.ndarray] = []
+    for k, r in enumerate(about):
+        own = np.array(r.starts, np.int64)
+        goes_on = (own == 0) & (lengths <= joint[k])
+        starts.append(np.where(goes_on, starts[-1] if k else 0, own + bases[k]))
+    ends: list[np.ndarray] = []
+    for k in range(len(about) - 1, -1, -1):
+        own = np.array(about[k].ends, np.int64)
+        goes_on = (own == about[k].n) & (lengths <= joint[k + 1])
+        ends.append(np.where(goes_on, ends[-1] if ends else 0, own + bases[k]))
+    ends.reverse()
+    carried = {r.part: (int(bases[k]), r.n, joint[k], starts[k - 1] if k else None, joint[k + 1], ends[k + 1] if k + 1 < len(about) else None) for k, r in enumerate(about)}
+    return table.where("n IS NULL").select("part", "key", "place", "alone", "found"), carried
+
+
+def _whole(part: tuple, low: int, high: int, start: int, end: int) -> Iterator[tuple[int, int, int, int]]:
+    """An interval as it is over all partitions, by shorter and longer common prefixes; none of one row."""
+    base, n, left, starts, right, ends = part
+    if (start or left <= low) and (end < n or right <= low):
+        if end - start > 1:
+            yield low, high, start + base, end + base
+        return
+    lengths = np.arange(low + 1, high + 1)
+    first = np.where((start == 0) & (lengths <= left), starts[lengths] if starts is not None else 0, start + base)
+    last = np.where((end == n) & (lengths <= right), ends[lengths] if ends is not None else 0, end + base)
+    cuts = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (last[1:] != last[:-1]), True])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if last[a] - first[a] > 1:
+            yield low + a, low + b, int(first[a]), int(last[a])
+
+
+def _pairs(after: dict[int, tuple], before: dict[int, tuple]):
+    """(key, place, alone, a_start, a_end, b_start, b_end, low, high) for the pairs of intervals that hold strings of a phrase.
+
+    The strings are those that start low to high bytes before the trigger.
+    """
+    names = ["key", "place", "alone", "a_start", "a_end", "b_start", "b_end", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for side, carried in (("a", after), ("b", before)):
+                lists = batch.column(f"{side}_found")
+                flat = lists.flatten()
+                fields = list(zip(*(flat.field(c).to_pylist() for c in ("low", "high", "start", "end"))))
+                bounds = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))]).tolist()
+                parts = batch.column(f"{side}_part").to_pylist()
+                sides.append([[x for f in fields[i:j] for x in _whole(carried[p], *f)] for i, j, p in zip(bounds, bounds[1:], parts)])
+            row, out = [], []
+            for k, (mine, theirs) in enumerate(zip(*sides)):
+                b = 0
+                for low, high, start, end in reversed(mine):  # from the longest common prefix on, that is from the nearest strings
+                    near, far = LENGTH - high, LENGTH - low - 1
+                    while b < len(theirs) and theirs[b][1] < near:
+                        b += 1
+                    at = b
+                    while at < len(theirs) and theirs[at][0] < far:
+                        x, y = max(near, theirs[at][0] + 1), min(far, theirs[at][1])
+                        if x <= y:
+                            row.append(k)
+                            out.append((start, end, theirs[at][2], theirs[at][3], x, y))
+                        at += 1
+            numbers, rows = np.array(out, np.int64).reshape(-1, 6), pa.array(np.array(row, np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in names[:3]), *(pa.array(numbers[:, c]) for c in range(6))], names)
+
+    return run
 
 
 def merged(ranges: list) -> list[tuple[int, int]]:
@@ -273,15 +341,19 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     asked = known.where("alone").unionByName(stands.select(known.columns)).dropDuplicates(["key", "place"])
     asked = written(asked.groupBy("key").agg(F.collect_list(F.struct("core", "place", "alone")).alias("asked")), "edges")
 
-    # The texts are dealt out by key once: both joins below read the same exchange.
-    edges = keyed.join(asked, "key").select("key", "doc_id", "text", "asked").mapInArrow(_edges, "core long, key long, place long, alone boolean, phrase binary")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_core = edges.repartition(parts, "core").sortWithinPartitions("core")
-    found = by_core.mapInArrow(lambda it: _sorted_groups(it, False), "key long, from long, to long")
-    strings = by_core.mapInArrow(lambda it: _sorted_groups(it, True), "digest binary, key long, at long")
-    again = strings.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    dealt = strings.where("at >= 0").join(again, "digest").select("key", F.col("at").alias("from"), (F.col("at") + LENGTH).alias("to"))
+    # The texts are dealt out by key once: both joins with them read the same exchange.
+    edges = keyed.join(asked, "key").select("key", "text", "asked").mapInArrow(_edges, "core long, key long, place long, alone boolean, after binary, before binary")
+    edges = written(edges, "edge-phrases")
+    after, after_ends = _ordered(edges, "after", LENGTH, CORE - 1)
+    before, before_ends = _ordered(edges, "before", _SPAN - 1, -1)
+    side = lambda rows, x: rows.select("key", "place", "alone", F.col("part").alias(f"{x}_part"), F.col("found").alias(f"{x}_found"))
+    both = side(after, "a").join(side(before, "b").drop("alone"), ["key", "place"])
+    pair = ["a_start", "a_end", "b_start", "b_end"]
+    pairs = written(both.mapInArrow(_pairs(after_ends, before_ends), "key long, place long, alone boolean, " + ", ".join(f"{c} long" for c in pair) + ", low long, high long"), "interval-pairs")
+    again = settled(pairs.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared-pairs")
+    trigger = F.shiftright("place", 20) + F.shiftright("place", 10).bitwiseAND(1023)
+    found = pairs.where("alone").join(again, pair).select("key", (trigger - F.col("high")).alias("from"), (trigger - F.col("low") + LENGTH).alias("to"))
     first = F.shiftright("place", 20)
     whole = known.where("NOT alone").select("key", first.alias("from"), (first + F.col("place").bitwiseAND(1023) + LENGTH).alias("to"))
-    ranges = whole.unionByName(found).unionByName(dealt).groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
+    ranges = whole.unionByName(found).groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
     return keyed.join(ranges, "key", "left").select("key", "doc_id", "text", "ranges").mapInArrow(_removed, f"doc_id {kind}, n_bytes long, spans array<struct<from: long, to: long>>, kept_bytes binary")

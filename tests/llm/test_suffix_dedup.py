@@ -61,45 +61,51 @@ def test_equals_brute_force(spark):
     compare(spark, made(1))
 
 
-def test_large_groups_are_dealt_out(spark, monkeypatch):
-    monkeypatch.setattr(S, "MOST_SORTED", 3)
-    compare(spark, made(2, 30))
+def test_a_hot_core_over_many_partitions(spark):
+    """One passage in very many texts, each with other surroundings: its phrases' intervals go on over partitions."""
+    rnd = random.Random(3)
+    letters = lambda k: "".join(rnd.choice("abcdefgh") for _ in range(k))
+    center, texts = letters(700), []
+    for _ in range(150):
+        a, b = rnd.randrange(0, 330), rnd.randrange(360, 700)
+        texts.append(letters(rnd.randrange(0, 300)) + center[a:b] + rnd.choice([letters(rnd.randrange(0, 300)), ""]))
+    for _ in range(60):
+        edited = list(center)
+        for _ in range(rnd.randrange(0, 3)):
+            edited[rnd.randrange(len(edited))] = rnd.choice("xyz")
+        texts.append("".join(edited))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("3", "41"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            compare(spark, texts)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+
 
+def test_a_text_beyond_a_piece(spark):
+    rnd = random.Random(6)
+    long = "".join(rnd.choice("abcdefgh") for _ in range(1_100_000))
+    compare(spark, [long, "x" + long[5000:6000], long[700_000:700_399], "q" * 500, None])
 
-def test_both_ways_to_sort_agree():
+
+def test_intervals_equal_brute_force():
     rnd = random.Random(4)
-    core = "".join(rnd.choice("ab") for _ in range(64))
-    rows, triggers, lasts = [], [], []
-    for _ in range(60):
-        left = "".join(rnd.choice("aaab") for _ in range(rnd.randrange(0, 200)))
-        edit = rnd.randrange(0, 336)
-        right = core + "c" * edit + rnd.choice("de") + "c" * (335 - edit)
-        last = rnd.randrange(0, len(left) + 1)
-        row = (left + right)[: last + 400].encode()
-        if row in rows:
-            continue
-        rows.append(row)
-        triggers.append(len(left))
-        lasts.append(last)
-    whole = S.repeated_strings(rows, triggers, lasts)
-    where = {}
-    for i, (r, t, e) in enumerate(zip(rows, triggers, lasts)):
-        for s in range(e + 1):
-            where.setdefault((t - s, r[s : s + 400]), []).append((i, t - s))
-    want = [np.zeros(S._SPAN, bool) for _ in rows]
-    for at in where.values():
-        for i, d in at:
-            want[i][d] = len(at) > 1
-    assert all((a == b).all() for a, b in zip(whole, want))
-    for k in (2, 3, 9, 20):
-        part = S.repeated_strings(rows[:k], triggers[:k], lasts[:k])
-        again = {}
-        for i in range(k):
-            for s in range(lasts[i] + 1):
-                again.setdefault((triggers[i] - s, rows[i][s : s + 400]), []).append((i, triggers[i] - s))
-        for at in again.values():
-            for i, d in at:
-                assert part[i][d] == (len(at) > 1)
+    for floor in (-1, 1):
+        rows = sorted({("" if floor < 0 else "zz") + "".join(rnd.choice("ab") for _ in range(rnd.randrange(0, 9))) for _ in range(60)})
+        rows = [r.encode() for r in rows]
+        common = [floor, *S._common(rows, 16).tolist()]
+        want = {}
+        for n in range(floor + 1, 12):
+            groups = {}
+            for i, r in enumerate(rows):
+                if len(r) >= n:
+                    groups.setdefault(r[:n], []).append(i)
+            for g in groups.values():
+                if len(g) > 1:
+                    want.setdefault((g[0], g[-1] + 1), []).append(n)
+        got = {(a, b): list(range(low + 1, high + 1)) for low, high, a, b in S.intervals(common, floor)}
+        assert got == want
 
 
 def test_empty(spark):
