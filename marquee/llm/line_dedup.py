@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import dealt
 from .store import settled, written
 from .text import pieces, spans_of, utf8
 
@@ -58,37 +59,14 @@ PLACE = ["doc_id", "key", "at"]
 _BLOCK = 1 << 14
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], count: str | None) -> Iterator[pa.RecordBatch]:
-    """Adds the partition and the rows (or the sum of `count`) before each row in it."""
-    from pyspark import TaskContext
-
-    part, before = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        n = batch.column(count).to_numpy(zero_copy_only=False) if count else np.ones(batch.num_rows, np.int64)
-        ends = before + np.cumsum(n)
-        yield batch.append_column("part", pa.array(np.full(batch.num_rows, part, np.int32))).append_column("before", pa.array(ends - n))
-        before = int(ends[-1]) if len(ends) else before
-
-
-def _dealt(rows: DataFrame, order: list[str], tag: str, count: str | None = None) -> DataFrame:
-    """The rows sorted over all partitions, with `before`: the number of rows (or sum of counts) that come before each."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kinds = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes)
-    table = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(lambda it: _numbered(it, count), f"{kinds}, part int, before long"), tag)
-    totals = table.groupBy("part").agg(F.sum(F.lit(1) if count is None else F.col(count)).alias("n"))
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))  # one row a partition
-    return table.join(F.broadcast(bases), "part").withColumn("before", F.col("base") + F.col("before")).drop("part", "base")
-
-
 def _places(lines: DataFrame) -> DataFrame:
     """Places whose line occurs elsewhere, with its rank among all lines and the line before it."""
     classes = lines.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    ranked = written(_dealt(classes, ["n1", "n2"], "line-classes", "n").select("n1", "n2", F.col("before").alias("line")), "line-ranks")
+    ranked = written(dealt(classes, ["n1", "n2"], "line-classes", "n").select("n1", "n2", F.col("before").alias("line")), "line-ranks")
     places = lines.join(ranked, ["n1", "n2"]).drop("n1", "n2").dropDuplicates(["key", "at"])
     before = F.lag(F.struct("at", "line")).over(Window.partitionBy("key").orderBy("at"))
     places = places.withColumn("b", before).withColumn("left", F.when(F.col("b.at") == F.col("at") - 1, F.col("b.line"))).drop("b")
-    return written(places.withColumn("rank", F.col("line")), "places")
+    return written(places.withColumns({"rank": F.col("line"), "open": F.lit(True), "fresh": F.lit(True)}), "places")
 
 
 def suffix_array(lines: DataFrame) -> DataFrame:
@@ -98,30 +76,24 @@ def suffix_array(lines: DataFrame) -> DataFrame:
     equal to the end are ordered by text. lcp is the number of lines that it shares with the
     suffix before it, and maximal says that the lines before these two differ.
     """
-    places = _places(lines)
-    kept = ["doc_id", "key", "at", "size", "words", "line", "left", "rank"]
-    unsettled, settled_, depth, levels = places.select(kept), [], 1, [(1, places.select("key", "at", "rank"))]
+    every, depth = _places(lines), 1
+    levels = [(1, every.select("key", "at", "rank"))]
     last = (1 << 63) - 1
-    while unsettled.head(1):
-        every = unsettled
-        for table in settled_:
-            every = every.unionByName(table)
+    about = ["doc_id", "key", "at", "size", "words", "line", "left"]
+    while every.where("open").head(1):
         ahead = every.select("key", (F.col("at") - depth).alias("at"), F.col("rank").alias("next"))
         lone = F.col("next").isNull() & (F.col("at") + depth < F.col("size"))  # the line there is the only one of its kind, and sorts last
         second = F.when(lone, F.lit(last)).otherwise(F.coalesce("next", F.lit(-1)))
-        pairs = unsettled.join(ahead, ["key", "at"], "left").select(*kept, second.alias("s1"), F.when(lone, F.col("key")).otherwise(F.lit(0)).alias("s2"), F.when(lone, F.col("at")).otherwise(F.lit(0)).alias("s3"))
+        pairs = every.where("open").join(ahead, ["key", "at"], "left").select(*about, "rank", second.alias("s1"), F.when(lone, F.col("key")).otherwise(F.lit(0)).alias("s2"), F.when(lone, F.col("at")).otherwise(F.lit(0)).alias("s3"))
+        pairs = written(pairs, "suffix-pairs")
         order = ["rank", "s1", "s2", "s3"]
-        classes = _dealt(pairs.groupBy(*order).agg(F.count(F.lit(1)).alias("n")), order, "run-classes", "n")
+        classes = dealt(pairs.groupBy(*order).agg(F.count(F.lit(1)).alias("n")), order, "run-classes", "n")
         named = classes.join(classes.groupBy("rank").agg(F.min("before").alias("base")), "rank").select(*order, "n", (F.col("rank") + F.col("before") - F.col("base")).alias("new"))
-        now = pairs.join(named, order).select(*kept[:-1], F.col("new").alias("rank"), ((F.col("n") > 1) & (F.col("s1") >= 0)).alias("open"))
-        now, depth = written(now, "suffixes"), 2 * depth
-        levels.append((depth, now.select("key", "at", "rank")))
-        settled_.append(now.where("NOT open").drop("open"))
-        unsettled = now.where("open").drop("open")
-    every = unsettled
-    for table in settled_:
-        every = every.unionByName(table)
-    array = written(_dealt(every, ["rank", "key", "at"], "suffix-order").withColumnRenamed("before", "pos"), "suffix-array")
+        now = pairs.join(named, order).select(*about, F.col("new").alias("rank"), ((F.col("n") > 1) & (F.col("s1") >= 0)).alias("open"), F.lit(True).alias("fresh"))
+        every = written(now.unionByName(every.where("NOT open").withColumn("fresh", F.lit(False))), "suffixes")
+        depth *= 2
+        levels.append((depth, every.where("fresh").select("key", "at", "rank")))
+    array = written(dealt(every.drop("open", "fresh"), ["rank", "key", "at"], "suffix-order").withColumnRenamed("before", "pos"), "suffix-array")
     return _with_common(array, levels)
 
 
@@ -151,20 +123,26 @@ def _with_common(array: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataF
     return written(known.select("doc_id", "key", "at", "words", "line", "pos", "lcp", "maximal"), "common-prefixes")
 
 
+def _later(rows: DataFrame, by: str) -> DataFrame:
+    """The places (key, at) of each interval but the first in the texts' order."""
+    first = settled(rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*PLACE)).alias("first")).where("n > 1"), "first-copies")
+    return rows.join(first, by).where(F.struct(*PLACE) > F.col("first")).select("key", "at")
+
+
 def later_copies(array: DataFrame, least: int) -> DataFrame:
-    """The places of the suffix array whose first `least` lines also start at an earlier place.
+    """The places (key, at) of the suffix array whose first `least` lines also start at an earlier place.
 
     An interval is the places from one with a shorter common prefix to the next such one. Its
     number comes from blocks of places and the last such one of each block.
     """
-    rows = array.select(*PLACE, "words", "pos", F.when(F.col("lcp") < least, F.col("pos")).alias("start"), F.floor(F.col("pos") / _BLOCK).alias("block"))
+    rows = array.select(*PLACE, "pos", F.when(F.col("lcp") < least, F.col("pos")).alias("start"), F.floor(F.col("pos") / _BLOCK).alias("block"))
     ends = rows.groupBy("block").agg(F.max("start").alias("end"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("block", F.max("end").over(before).alias("carried"))  # a row for each 16,384 places
+    # a row for each 16,384 places: Spark broadcasts it up to its own bound
+    ends = ends.select("block", F.max("end").over(before).alias("carried"))
     own = F.max("start").over(Window.partitionBy("block").orderBy("pos"))
-    rows = written(rows.withColumn("own", own).join(ends, "block").withColumn("interval", F.coalesce("own", "carried")).select(*PLACE, "words", "interval"), "intervals")
-    first = settled(rows.groupBy("interval").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*PLACE)).alias("first")).where("n > 1"), "first-copies")
-    return rows.join(first, "interval").where(F.struct(*PLACE) > F.col("first")).select(*PLACE, "words")
+    rows = rows.withColumn("own", own).join(ends, "block").withColumn("interval", F.coalesce("own", "carried"))
+    return _later(written(rows.select(*PLACE, "interval"), "intervals"), "interval")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +178,7 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LO
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep).withColumn("key", F.xxhash64("doc_id", "text"))
     lines = keyed.select("doc_id", "text", "key").mapInArrow(_lines, f"doc_id {kind}, key long, at long, size long, n1 long, n2 long, words long")
     array = suffix_array(lines)
-    gone = later_copies(array, 1).where(F.col("words") >= long_words).select("key", "at")
+    gone = _later(array.where(F.col("words") >= long_words), "line")  # the intervals of depth 1 are those of equal lines
     gone = gone.unionByName(later_copies(array, min_lines).select("key", F.explode(F.sequence("at", F.col("at") + min_lines - 1)).alias("at")))
     gone = gone.groupBy("key").agg(F.collect_set("at").alias("gone"))
     cut = keyed.join(gone, "key", "left").select("doc_id", "text", *keep, "gone")
