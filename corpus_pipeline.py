@@ -7,12 +7,12 @@ unique, repeated or null.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm import decontamination, language_id, line_dedup, lsh_forest, sentencepiece_codec
 from marquee.llm.queries import tokenizer_file
-from marquee.llm.store import settled, written
+from marquee.llm.store import clear, made, settled, written
 
 #: Documents with a lower mean marginal of their language have none that is clear, and are rejected.
 LEAST_SCORE = 0.35
@@ -27,11 +27,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.expr(x).alias(k) for k, x in KEY.items()]).alias("doc_id"), "text")
 
 
+def _row(docs: DataFrame) -> Column:
+    """A whole row as one column, so that no column of documents can clash with those of a stage."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def _with(docs: DataFrame, found: DataFrame, decided: str) -> DataFrame:
     """The rows of docs that the stage keeps, by what it found on their keys."""
     gone = settled(found.where(f"NOT ({decided})").select("doc_id.*").distinct(), "gone")
     on = [F.col(f"g.{k}").eqNullSafe(F.col(f"d.{k}")) for k in KEY]
-    return docs.withColumns({k: F.expr(x) for k, x in KEY.items()}).alias("d").join(gone.alias("g"), on, "left_anti").select(docs.columns)
+    keyed = docs.select(_row(docs), *[F.expr(x).alias(k) for k, x in KEY.items()])
+    return keyed.alias("d").join(gone.alias("g"), on, "left_anti").select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +48,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts later copies of repeated line runs; a document goes if nothing but blank lines is left."""
-    others = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], F.col("text").isNull().alias("no_text"))
-    cut = line_dedup.line_dedup(docs.select("doc_id", "text", others.alias("others")), keep=["others"]).where("n_removed = 0 OR n_removed < n_lines")
-    cut = cut.select("doc_id", "others.*", "n_removed", F.when(~F.col("others.no_text"), F.col("kept_text")).alias("text"))
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(docs.columns)
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.col("text").isNull().alias("_no_text")).alias("others")
+    cut = line_dedup.line_dedup(docs.select("doc_id", "text", others), keep=["others"]).where("n_removed = 0 OR n_removed < n_lines")
+    text = F.when(~F.col("others")["_no_text"], F.col("kept_text"))
+    own = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.when(F.col("n_removed") == 0, F.col("others.n_chars")).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType))}
+    return cut.select(*[own[c].alias(c) if c in own else F.col("others")[c].alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +60,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are numbered, so that the texts of one id are apart and rows without an id take part.
     """
-    rows = written(docs.withColumns({"row_no": F.monotonically_increasing_id(), "tie": F.xxhash64("text")}), "numbered")
-    found = lsh_forest.near_dedup(rows.select(F.col("row_no").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_no"), "component_id")
+    rows = written(docs.select(_row(docs), "doc_id", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row_no")), "numbered")
+    found = lsh_forest.near_dedup(rows.select(F.col("row_no").alias("doc_id"), "row.text")).select(F.col("doc_id").alias("row_no"), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie", "row_no")
     kept = found.join(rows.select("row_no", "doc_id", "tie"), "row_no").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row_no")
-    return rows.join(settled(kept, "kept"), "row_no", "left_semi").select(docs.columns)
+    return rows.join(settled(kept, "kept"), "row_no", "left_semi").select("row.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +84,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents. What a stage wrote for itself is deleted once its rows are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
+        since = made()
         docs = written(stage(spark, docs, sf_dir), "stage")
+        own = made()
+        clear(spark, since, own - 1)
+        if before is not None:
+            clear(spark, before, before + 1)
+        before = made() - 1
     return STAGES[-1][1](spark, docs, sf_dir)
