@@ -30,11 +30,17 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return _MADE[-1]
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete all tables made so far by this driver; results that still read them must have been saved."""
+def made() -> int:
+    """The number of tables made so far that haven't been deleted, by which clear() tells them apart."""
+    return len(_MADE)
+
+
+def clear(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Delete the tables numbered from `since` to `until`; results that still read them must have been saved."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _MADE:
-        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+    gone, _MADE[since:until] = _MADE[since:until], []
+    for table in gone:
+        path = jvm.org.apache.hadoop.fs.Path(table)
         path.getFileSystem(conf).delete(path, True)
 
 

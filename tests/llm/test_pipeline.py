@@ -79,6 +79,27 @@ def test_repeated_and_null_ids_have_decisions_of_their_own(spark, tmp_path):
     assert sorted(left[3], key=key) == sorted((r for r in cut if passage not in r[1]), key=key)
 
 
+def test_empty_tables_clashing_columns_and_long_texts(spark, tmp_path):
+    rows, text = made()
+    long = text("xx", 150_000)
+    clash = {c: "kept" for c in ("others", "row", "key1", "id", "tie", "row_no", "n_removed", "kept_text", "n_lines", "component_id", "lang_pred", "score", "contaminated", "letters", "part")}
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clash)
+    table = [(i, t, g, "s", len(t), *clash.values()) for i, t, g in [*rows[:60], (900, long, "xx"), (901, long, "xx")]]
+    spark.createDataFrame([(1, "ka ke ki")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for own in (table, []):
+        folder = tmp_path / str(len(own))
+        spark.createDataFrame(own, kind).write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{tmp_path}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in P.STAGES[:-1]:
+            docs = written(stage(spark, docs, str(folder)), "stage")
+            assert docs.dtypes == spark.read.parquet(f"{folder}/documents.parquet").dtypes
+        found = docs.collect()
+        assert all(r[c] == "kept" for r in found for c in clash) and (not own or [r.text for r in found if r.doc_id >= 900] == [long])
+        if not own:
+            assert P.run(spark, str(folder)).collect() == []
+
+
 def test_registered():
     entry = importlib.import_module("__spark_entry__")
     assert "pipeline" in entry.queries() and {f"op{n}_" for n in range(1, 11)} <= {q.split("_")[0] + "_" for q in entry.queries()}
