@@ -109,7 +109,7 @@ def score_parts(users: DataFrame, items: DataFrame, item_facets: DataFrame, play
     cuts = user_cuts(users, plays, cat, limit).join(warmth(users, plays), "user_id").repartition(parts, "user_id")
     cut, ranks = _own(limit)
     is_candidate = F.lit(True) if include_played else (F.col("rank") <= cut) & ~F.array_contains(ranks, F.col("rank"))
-    own = prefs.select("user_id", "facet", "value", "num").repartition(parts, "user_id").join(cuts.where("warm").select("user_id", "cuts"), "user_id")
+    own = prefs.select("user_id", "facet", "value", "num").repartition(parts, "user_id").join(cuts.where("warm").select("user_id", "cuts").hint("shuffle_hash"), "user_id")
     hits = own.join(bounded(known), ["facet", "value"]).where(is_candidate)
     of = lambda facet: F.when(F.col("facet") == facet, F.col("num") * F.col("times")).otherwise(F.lit(0)).cast("long").alias(f"{facet}_num")
     hits = hits.select("user_id", "category", "rank", of("genre"), of("actor"), of("director"))
@@ -121,7 +121,8 @@ def score_parts(users: DataFrame, items: DataFrame, item_facets: DataFrame, play
     maxima = facet_maxima(prefs).groupBy("user_id").agg(top("genre"), top("actor"), top("director"))
     liked = user_collections(plays, items).groupBy("user_id").agg(F.collect_set("collection").alias("collections"))
     about = cuts.join(maxima, "user_id", "left").join(liked, "user_id", "left")
-    rows = sums.join(about, "user_id").join(bounded(cat), ["category", "rank"])
+    # a row a user is hashed, so that the many rows aren't sorted again
+    rows = sums.join(about.hint("shuffle_hash"), "user_id").join(bounded(cat), ["category", "rank"])
     rows = rows.withColumn("liked", F.coalesce(F.array_contains("collections", F.col("collection")), F.lit(False)))
     seen = F.array_contains(ranks, F.col("rank")) if include_played else F.lit(False)
     return rows.withColumn("seen", seen).drop("cuts", "collections", "n_plays")
