@@ -15,6 +15,7 @@ Both orders are dealt out by ranges; no group of phrases has to lie in one task.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,8 +133,17 @@ def intervals(common: list[int], floor: int) -> list[tuple[int, int, int, int]]:
 
 _INTERVALS = "array<struct<low: int, high: int, start: long, end: long>>"
 _INTERVAL_LIST = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-_ORDER = [("part", pa.int32()), ("key", pa.int64()), ("place", pa.int64()), ("alone", pa.bool_()), ("found", _INTERVAL_LIST), ("n", pa.int64()), ("first_core", pa.int64()), ("first", pa.binary()), ("last_core", pa.int64()), ("last", pa.binary()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]
-_ORDER_SQL = f"part int, key long, place long, alone boolean, found {_INTERVALS}, n long, first_core long, first binary, last_core long, last binary, starts array<long>, ends array<long>"
+_ORDER = [("part", pa.int32()), ("key", pa.int64()), ("place", pa.int64()), ("alone", pa.bool_()), ("found", _INTERVAL_LIST), ("n", pa.int64()), ("first_core", pa.int64()), ("first", pa.binary()), ("last_core", pa.int64()), ("last", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())]
+_ORDER_SQL = f"part int, key long, place long, alone boolean, found {_INTERVALS}, n long, first_core long, first binary, last_core long, last binary, starts binary, ends binary"
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """A step function in few bytes."""
+    return zlib.compress(np.ascontiguousarray(numbers, "<i8").tobytes())
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), "<i8")
 
 
 def _in_order(text: str, width: int, floor: int):
@@ -178,7 +188,7 @@ def _in_order(text: str, width: int, floor: int):
                 starts = np.full(width + 1, at + n - 1, np.int64)
                 for low, high, start, _ in found[which[row == n - 1]].tolist():
                     starts[max(low, -1) + 1 : high + 1] = start
-                values = [part, None, None, None, None, at + n, *first, *last, starts, ends]
+                values = [part, None, None, None, None, at + n, *first, *last, _packed(starts), _packed(ends)]
                 yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, (_, kind) in zip(values, _ORDER)], schema=pa.schema(_ORDER))
             at += n
             core, key, place, alone, common = core[n:], key[n:], place[n:], alone[n:], common[n:]
@@ -209,25 +219,25 @@ def _in_order(text: str, width: int, floor: int):
 def _ordered(edges: DataFrame, text: str, width: int, floor: int) -> tuple[DataFrame, dict[int, tuple]]:
     """The rows (key, place, alone, part, found) of an order, and how intervals at the ends of its partitions go on in the others.
 
-    Of each partition one row comes to the driver, which has two texts and 2 * width numbers.
+    Rows of one text are dealt out by their keys. Of each partition one row comes to the driver, which has two texts and two
+    step functions of at most `width` steps.
     """
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = edges.select("core", "key", "place", "alone", text).repartitionByRange(parts, "core", text).sortWithinPartitions("core", text)
+    dealt = edges.select("core", "key", "place", "alone", text).repartitionByRange(parts, "core", text, "key", "place").sortWithinPartitions("core", text, "key", "place")
     table = written(dealt.mapInArrow(_in_order(text, width, floor), _ORDER_SQL), f"order-{text}")
     about = sorted(table.where("n IS NOT NULL").drop("key", "place", "alone", "found").collect(), key=lambda r: r.part)
     joint = [-1] + [int(_common([bytes(x["last"]), bytes(y["first"])], width)[0]) if x.last_core == y.first_core else -1 for x, y in zip(about, about[1:])] + [-1]
     bases = np.cumsum([0] + [r.n for r in about])
     lengths = np.arange(width + 1)
-    starts: list[np.ndarray] = []
+    starts, ends, now = [], [], np.zeros(width + 1, np.int64)
     for k, r in enumerate(about):
-        own = np.array(r.starts, np.int64)
-        goes_on = (own == 0) & (lengths <= joint[k])
-        starts.append(np.where(goes_on, starts[-1] if k else 0, own + bases[k]))
-    ends: list[np.ndarray] = []
+        own = _unpacked(r.starts)
+        now = np.where((own == 0) & (lengths <= joint[k]), now, own + bases[k])
+        starts.append(_packed(now))
     for k in range(len(about) - 1, -1, -1):
-        own = np.array(about[k].ends, np.int64)
-        goes_on = (own == about[k].n) & (lengths <= joint[k + 1])
-        ends.append(np.where(goes_on, ends[-1] if ends else 0, own + bases[k]))
+        own = _unpacked(about[k].ends)
+        now = np.where((own == about[k].n) & (lengths <= joint[k + 1]), now, own + bases[k])
+        ends.append(_packed(now))
     ends.reverse()
     carried = {r.part: (int(bases[k]), r.n, joint[k], starts[k - 1] if k else None, joint[k + 1], ends[k + 1] if k + 1 < len(about) else None) for k, r in enumerate(about)}
     return table.where("n IS NULL").select("part", "key", "place", "alone", "found"), carried
@@ -241,8 +251,8 @@ def _whole(part: tuple, low: int, high: int, start: int, end: int) -> Iterator[t
             yield low, high, start + base, end + base
         return
     lengths = np.arange(low + 1, high + 1)
-    first = np.where((start == 0) & (lengths <= left), starts[lengths] if starts is not None else 0, start + base)
-    last = np.where((end == n) & (lengths <= right), ends[lengths] if ends is not None else 0, end + base)
+    first = np.where((start == 0) & (lengths <= left), _unpacked(starts)[lengths] if starts is not None else 0, start + base)
+    last = np.where((end == n) & (lengths <= right), _unpacked(ends)[lengths] if ends is not None else 0, end + base)
     cuts = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (last[1:] != last[:-1]), True])
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         if last[a] - first[a] > 1:
