@@ -17,30 +17,38 @@ def directory(packed: bytes) -> bytes:
 
 
 class Plane:
-    """Bits, packed, with the number of ones before each block of 512 bits as it was stored."""
+    """Bits, packed, with the number of ones before each block of 512 bits as it was stored.
+
+    Few ranks are answered from these; for many, the ones before each word are counted once.
+    """
 
     def __init__(self, packed: bytes, before: bytes, n: int):
-        self.packed, self.n = np.frombuffer(packed, np.uint8), n
-        self.before = np.frombuffer(before, "<i8")
+        self.words, self.n = np.frombuffer(packed + b"\0" * (8 - len(packed) % 8), ">u8"), n
+        self.before, self.table = np.frombuffer(before, "<i8"), None
 
     def rank1(self, i: np.ndarray) -> np.ndarray:
         """Ones in [0, i)."""
         i = np.asarray(i, np.int64)
-        if not len(self.packed):
+        if not self.n:
             return np.zeros_like(i)
-        block = np.minimum(i // _BLOCK, len(self.before) - 1)
-        out, byte, last = self.before[block].copy(), block * (_BLOCK // 8), len(self.packed) - 1
-        for k in range(_BLOCK // 8):
-            left = i - 8 * (byte + k)  # bits of this byte that count: 8 or more is all of them
-            if not (left > 0).any():
-                break
-            value = self.packed[np.minimum(byte + k, last)] >> (8 - np.clip(left, 1, 8)).astype(np.uint8)
-            out += np.where(left > 0, np.bitwise_count(value), 0)
-        return out
+        word, rest = i >> 6, i & 63
+        if self.table is None and 64 * i.size > len(self.words):
+            ones = np.bitwise_count(self.words).astype(np.int64)
+            self.table = np.cumsum(ones) - ones
+        if self.table is not None:
+            out = self.table[word]
+        else:
+            block = np.minimum(word >> 3, len(self.before) - 1)
+            out = self.before[block].copy()
+            for k in range(_BLOCK // 64):
+                at = np.minimum(8 * block + k, len(self.words) - 1)
+                out += np.where(8 * block + k < word, np.bitwise_count(self.words[at]), 0)
+        part = self.words[word].astype(np.uint64) >> ((64 - rest) & 63).astype(np.uint64)
+        return out + np.where(rest > 0, np.bitwise_count(part), 0)
 
     def bit(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
-        return (self.packed[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1
+        return (self.words[i >> 6].astype(np.uint64) >> (63 - (i & 63)).astype(np.uint64)) & np.uint64(1)
 
     def select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """Position of the k-th (from 0) one or zero, by binary search over ranks."""
@@ -108,7 +116,7 @@ class WaveletMatrix:
         for level in range(self.width):
             plane = self.plane(level)
             bit, ones = plane.bit(i).astype(bool), plane.rank1(i)
-            out = out << 1 | bit
+            out = out << 1 | bit.astype(np.int64)
             i = np.where(bit, self.zeros[level] + ones, i - ones)
         return out
 

@@ -95,6 +95,10 @@ def test_wavelet_matrix():
         w = WaveletMatrix.build(values, 9)
         assert (w.decode() == values).all() and (w.access(np.arange(n)) == values).all()
         i = np.unique(rng.integers(0, n + 1, 50))
+        few = WaveletMatrix(w.n, w.width, w.zeros, w.raw, w.ranks)
+        for k in i[:20].tolist():  # one at a time, from the stored directories
+            few._planes = [None] * few.width
+            assert few.rank(values[0], np.array([k])).tolist() == [int((values[:k] == values[0]).sum())]
         assert w.rank(values[0], i).tolist() == [int((values[:k] == values[0]).sum()) for k in i]
         assert (w.occurrences(int(values[0])) == np.flatnonzero(values == values[0])).all()
     values = rng.integers(0, 50, 3000).astype(np.uint16)
