@@ -26,9 +26,8 @@ def _numbered(batches: Iterator[pa.RecordBatch], count: str | None) -> Iterator[
 
 def dealt(rows: DataFrame, order: list[str], tag: str, count: str | None = None) -> DataFrame:
     """The rows sorted over all partitions, with `before`: the number of rows (or sum of counts) that come before each."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes)
-    table = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(lambda it: _numbered(it, count), f"{kinds}, part int, before long"), tag)
+    table = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda it: _numbered(it, count), f"{kinds}, part int, before long"), tag)
     totals = table.groupBy("part").agg(F.sum(F.lit(1) if count is None else F.col(count)).alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))  # one row a partition

@@ -222,8 +222,7 @@ def _ordered(edges: DataFrame, text: str, width: int, floor: int) -> tuple[DataF
     Rows of one text are dealt out by their keys. Of each partition one row comes to the driver, which has two texts and two
     step functions of at most `width` steps.
     """
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = edges.select("core", "key", "place", "alone", text).repartitionByRange(parts, "core", text, "key", "place").sortWithinPartitions("core", text, "key", "place")
+    dealt = edges.select("core", "key", "place", "alone", text).repartitionByRange("core", text, "key", "place").sortWithinPartitions("core", text, "key", "place")
     table = written(dealt.mapInArrow(_in_order(text, width, floor), _ORDER_SQL), f"order-{text}")
     about = sorted(table.where("n IS NOT NULL").drop("key", "place", "alone", "found").collect(), key=lambda r: r.part)
     joint = [-1] + [int(_common([bytes(x["last"]), bytes(y["first"])], width)[0]) if x.last_core == y.first_core else -1 for x, y in zip(about, about[1:])] + [-1]
