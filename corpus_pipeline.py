@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marquee.llm import decontamination, language_id, line_dedup, lsh_forest, sentencepiece_codec
 from marquee.llm.queries import tokenizer_file
-from marquee.llm.store import clear, made, settled, written
+from marquee.llm.store import Scope, fresh_path, settled, written
 
 #: Documents with a lower mean marginal of their language have none that is clear, and are rejected.
 LEAST_SCORE = 0.35
@@ -51,7 +51,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.col("text").isNull().alias("_no_text")).alias("others")
     cut = line_dedup.line_dedup(docs.select("doc_id", "text", others), keep=["others"]).where("n_removed = 0 OR n_removed < n_lines")
     text = F.when(~F.col("others")["_no_text"], F.col("kept_text"))
-    own = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.when(F.col("n_removed") == 0, F.col("others.n_chars")).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType))}
+    own = {"doc_id": F.col("doc_id"), "text": text}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(F.col("n_removed") == 0, F.col("others.n_chars")).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType))
     return cut.select(*[own[c].alias(c) if c in own else F.col("others")[c].alias(c) for c in docs.columns])
 
 
@@ -86,13 +88,15 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents. What a stage wrote for itself is deleted once its rows are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = None
-    for name, stage in STAGES[:-1]:
-        since = made()
-        docs = written(stage(spark, docs, sf_dir), "stage")
-        own = made()
-        clear(spark, since, own - 1)
-        if before is not None:
-            clear(spark, before, before + 1)
-        before = made() - 1
+    before = Scope()
+    for _, stage in STAGES[:-1]:
+        with Scope() as result:
+            path = fresh_path(spark, "stage")
+        with Scope() as own:
+            rows = stage(spark, docs, sf_dir)
+            rows.write.parquet(path)
+        docs = spark.read.schema(rows.schema).parquet(path)
+        own.clear(spark)
+        before.clear(spark)
+        before = result
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .text import flat_index, hash_spans, mix
+from .text import HELD, flat_index, hash_spans, mix
 
 Encode = Callable[[list[str], np.ndarray], list]
 #: Bytes whose characters may be white space beyond ASCII (C2: 85 and A0; E1, E2, E3: others).
@@ -48,19 +48,11 @@ class Flat:
     lengths: np.ndarray
 
 
-_HELD: dict[tuple[str, str], object] = {}
-
-
 def worker_cache(version: str, name: str, make: Callable[[], object]) -> object:
-    """This worker's object of a name for one version of a file or model.
-
-    Only objects of the last version are held, as a worker serves one operator after another.
-    """
-    if (version, name) not in _HELD:
-        for key in [k for k in _HELD if k[0] != version]:
-            del _HELD[key]
-        _HELD[version, name] = make()
-    return _HELD[version, name]
+    """This worker's object of a name for one version of a file or model, kept while tasks of one stage come."""
+    if (version, name) not in HELD:
+        HELD[version, name] = make()
+    return HELD[version, name]
 
 
 class ChunkCoder:

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
+from .text import tidy
 
 
 def _numbered(batches: Iterator[pa.RecordBatch], count: str | None) -> Iterator[pa.RecordBatch]:
     """Adds the partition and the rows (or the sum of `count`) before each row in it."""
     from pyspark import TaskContext
 
+    tidy()
     part, before = TaskContext.get().partitionId(), 0
     for batch in batches:
         n = batch.column(count).to_numpy(zero_copy_only=False) if count else np.ones(batch.num_rows, np.int64)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar, Token
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,26 +23,41 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_MADE: list[str] = []
+class Scope:
+    """The tables that one run makes: `with Scope() as own: ...`, and own.clear(spark) once its results are saved.
 
+    Scopes nest, and a table belongs to the innermost one. Each thread and each query has its own,
+    so that no run deletes what another one made; tables made outside any scope are left alone.
+    """
 
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    _MADE.append(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
-    return _MADE[-1]
+    def __init__(self) -> None:
+        self.tables: list[str] = []
+        self._before: Token | None = None
+
+    def __enter__(self) -> Scope:
+        self._before = _SCOPE.set(self)
+        return self
 
+    def __exit__(self, *_) -> None:
+        _SCOPE.reset(self._before)
 
-def made() -> int:
-    """The number of tables made so far that haven't been deleted, by which clear() tells them apart."""
-    return len(_MADE)
+    def clear(self, spark: SparkSession) -> None:
+        """Delete the scope's tables; results that still read them must have been saved."""
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        gone, self.tables = self.tables, []
+        for table in gone:
+            path = jvm.org.apache.hadoop.fs.Path(table)
+            path.getFileSystem(conf).delete(path, True)
 
 
-def clear(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
-    """Delete the tables numbered from `since` to `until`; results that still read them must have been saved."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    gone, _MADE[since:until] = _MADE[since:until], []
-    for table in gone:
-        path = jvm.org.apache.hadoop.fs.Path(table)
-        path.getFileSystem(conf).delete(path, True)
+_SCOPE: ContextVar[Scope | None] = ContextVar("marquee_tables", default=None)
+
+
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if (scope := _SCOPE.get()) is not None:
+        scope.tables.append(path)
+    return path
 
 
 def settled(df: DataFrame, tag: str) -> DataFrame:

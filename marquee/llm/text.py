@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +12,25 @@ import pyarrow.compute as pc
 import xxhash
 
 PIECE_BYTES = 1 << 20
+#: What this worker holds for the tasks of a stage: caches by version and name, and the stage's number.
+HELD: dict[tuple[str, str], object] = {}
+_STAGE: list[int] = []
+
+
+def tidy() -> None:
+    """Give back what an earlier stage left in this worker, which Spark reuses for other operators."""
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    if context is None or _STAGE == [context.stageId()]:
+        return
+    HELD.clear()
+    if _STAGE:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+    _STAGE[:] = [context.stageId()]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -25,6 +46,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `limit` bytes of text, or of one longer row."""
+    tidy()
     for batch in batches:
         if not batch.num_rows:
             continue

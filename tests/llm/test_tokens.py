@@ -115,7 +115,7 @@ def test_wavelet_matrix():
 def test_sentencepiece(spark, docs):
     s = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     plain = docs.where("doc_id is not null").where("doc_id != 3")
-    encoded = sentencepiece_codec.encode(plain, P.path("piece_bpe_32k.model")).cache()
+    encoded = sentencepiece_codec.encode(plain, P.path("piece_bpe_32k.model"))
     for r in encoded.collect():
         assert r.ids == s.encode(TEXTS[r.doc_id] or ""), TEXTS[r.doc_id]
         assert r.parity
