@@ -15,24 +15,26 @@ def target_folder() -> F.Column:
     return F.concat_ws("/", *parts, F.when(music, safe_name(artist(F.col("album_artist"), F.col("artists")))), safe_name(F.col("name")))
 
 
-def link_manifest(top: DataFrame, files: DataFrame, path: F.Column | None = None) -> DataFrame:
+def link_manifest(top: DataFrame, files: DataFrame, path: F.Column | None = None, by: list[str] | None = None) -> DataFrame:
     """Rows (user_id, category, target, source, action, n_sources): one for each file to be made.
 
     `top` has user_id, user_name, category, item columns and is_folder; `files` has item_id,
     rel_path, file_name and ext, where rel_path is the folder below the item. Of several sources
     for one target the last wins, or for copies the first, by source; n_sources reports it.
-    `path` resolves an item's path.
+    `path` resolves an item's path. Columns `by` of the list are kept apart, so that one list's
+    rows stay in its order.
     """
+    by = by or []
     item_path = F.col("path") if path is None else path
     rows = top.withColumn("root", target_folder()).withColumn("real_path", item_path)
     inside = rows.where("is_folder").join(files, "item_id").withColumn("action", file_action(F.col("ext"), F.col("category") == "Music")).where("action IS NOT NULL")
     stem = F.regexp_replace("file_name", r"(?<=.)\.[^.]*$", "")
     made = F.when(F.col("action") == "strm", F.concat(stem, F.lit(".strm"))).otherwise(F.col("file_name"))
     below = F.nullif("rel_path", F.lit(""))
-    inside = inside.select("user_id", "category", F.concat_ws("/", "root", below, made).alias("target"), F.concat_ws("/", "real_path", below, F.col("file_name")).alias("source"), "action")
-    single = rows.where("NOT is_folder").select("user_id", "category", F.concat_ws("/", "root", F.concat(F.element_at(F.split("real_path", r"[/\\]"), -1), F.lit(".strm"))).alias("target"), F.col("real_path").alias("source"), F.lit("strm").alias("action"))
+    inside = inside.select("user_id", "category", *by, F.concat_ws("/", "root", below, made).alias("target"), F.concat_ws("/", "real_path", below, F.col("file_name")).alias("source"), "action")
+    single = rows.where("NOT is_folder").select("user_id", "category", *by, F.concat_ws("/", "root", F.concat(F.element_at(F.split("real_path", r"[/\\]"), -1), F.lit(".strm"))).alias("target"), F.col("real_path").alias("source"), F.lit("strm").alias("action"))
     first = F.min(F.when(F.col("action") == "copy", F.col("source")))
-    return inside.unionByName(single).groupBy("user_id", "category", "target", "action").agg(F.coalesce(first, F.max("source")).alias("source"), F.count(F.lit(1)).alias("n_sources"))
+    return inside.unionByName(single).groupBy("user_id", "category", *by, "target", "action").agg(F.coalesce(first, F.max("source")).alias("source"), F.count(F.lit(1)).alias("n_sources"))
 
 
 def sidecar_docs(top: DataFrame) -> DataFrame:

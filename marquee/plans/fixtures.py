@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ZERO_WIDTH
@@ -93,6 +93,35 @@ class Library:
         names = ["a.mkv", "a.mp4", "cover.jpg", "notes.txt", "song.flac"]
         return self.table("part").select(F.col("p_partkey").alias("item_id"), F.lit("").alias("rel_path"), F.explode(F.array(*map(F.lit, names))).alias("file_name")).withColumn("ext", F.element_at(F.split("file_name", r"\."), -1))
 
+    def housemates(self) -> DataFrame:
+        """Users of whom several have the same safe name."""
+        return self.users().withColumn("name", F.concat(F.lit("House: "), (F.col("user_id") % 400).cast("string")))
+
+    def nested_items(self) -> DataFrame:
+        """Items, some with items of their own below their folder: a folder, and a file within that."""
+        items = self.items().select("item_id", "name", "category", "path", "album_artist", "artists", "is_folder")
+        extras = items.where("item_id % 6 = 1 AND is_folder").withColumns({"item_id": F.col("item_id") + 1_000_000, "name": F.concat("name", F.lit(" Extras")), "path": F.concat("path", F.lit("/Extras"))})
+        bonus = items.where("item_id % 12 = 1 AND is_folder").withColumns({"item_id": F.col("item_id") + 2_000_000, "name": F.concat("name", F.lit(" Bonus")), "path": F.concat("path", F.lit("/Extras/bonus.mkv")), "is_folder": F.lit(False)})
+        return items.unionByName(extras).unionByName(bonus)
+
+    def paths(self) -> DataFrame:
+        """An inventory of files: below items, items that are files, and files below no item."""
+        names = ["a.mkv", "a.mp4", "cover.jpg", "notes.txt", "song.flac", "Extras/b.mkv", "Extras/bonus.mkv", "Extras/deep/c.flac"]
+        items = self.items()
+        below = items.where("is_folder AND path IS NOT NULL").select("path", F.explode(F.array(*map(F.lit, names))).alias("name")).select(F.concat_ws("/", "path", "name").alias("path"))
+        loose = items.where("item_id % 11 = 0").select(F.concat(F.lit("/media/Loose/"), F.col("item_id").cast("string"), F.lit(".mkv")).alias("path"))
+        every = below.unionByName(items.where("NOT is_folder AND path IS NOT NULL").select("path")).unionByName(loose)
+        name = F.element_at(F.split("path", "/"), -1)
+        return every.select("path", name.alias("file_name"), F.element_at(F.split(name, r"\."), -1).alias("ext"))
+
+    def play_lists(self, items: DataFrame | None = None, plays: DataFrame | None = None) -> DataFrame:
+        """Lists of what each user played, nested items behind their item's: a small published table."""
+        items = self.items() if items is None else items
+        of = (self.plays() if plays is None else plays).select("user_id", F.col("item_id").alias("played"))
+        order = Window.partitionBy("user_id", "category").orderBy("item_id")
+        joined = items.where("path IS NOT NULL").join(of, F.col("played") == F.col("item_id") % 1_000_000).drop("played")
+        return joined.withColumn("position", F.row_number().over(order))
+
     def library_items(self) -> DataFrame:
         """Items with the library they lie in and their type."""
         key = F.col("item_id")

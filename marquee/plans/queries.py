@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import audit, logs, manifest, profile, scoring
+from ..operators import audit, folders, logs, manifest, profile, scoring
 from ..sources import readers
 from ..streaming import logs as stream_logs
 from .fixtures import AS_OF, EVENTS_AS_OF, ROOT, Library, shared_path
@@ -412,6 +412,118 @@ SELECT root || '/album.nfo' AS target, '<album><title>' || {_XML(_SAFE('name'))}
 UNION ALL SELECT regexp_replace(root, '/[^/]*$', '') || '/artist.nfo', '<artist><name>' || {_XML(_SAFE('artist'))} || '</name></artist>', user_id, position FROM folders WHERE category = 'Music')) WHERE r = 1""",
     CANDIDATES, HITS, PARTS, TOPS, _FOLDER,
 )
+_NESTED = """nested AS (SELECT item_id, name, category, path, artist, item_id % 5 <> 0 AS is_folder FROM items
+    UNION ALL SELECT item_id + 1000000, name || ' Extras', category, path || '/Extras', artist, true FROM items WHERE item_id % 6 = 1 AND item_id % 5 <> 0
+    UNION ALL SELECT item_id + 2000000, name || ' Bonus', category, path || '/Extras/bonus.mkv', artist, false FROM items WHERE item_id % 12 = 1 AND item_id % 5 <> 0),
+paths AS (SELECT path || '/' || unnest(['a.mkv', 'a.mp4', 'cover.jpg', 'notes.txt', 'song.flac', 'Extras/b.mkv', 'Extras/bonus.mkv', 'Extras/deep/c.flac']) AS path FROM items WHERE item_id % 5 <> 0 AND path IS NOT NULL
+    UNION ALL SELECT path FROM items WHERE item_id % 5 = 0 AND path IS NOT NULL UNION ALL SELECT '/media/Loose/' || item_id || '.mkv' FROM items WHERE item_id % 11 = 0),
+above AS (SELECT f.path, n.item_id, n.path AS root, max(length(n.path)) OVER (PARTITION BY f.path) AS deepest FROM paths f JOIN nested n ON f.path = n.path OR starts_with(f.path, n.path || '/')),
+under AS (SELECT item_id, CASE WHEN path = root THEN '' ELSE substr(regexp_replace(path, '/[^/]*$', ''), length(root) + 2) END AS rel_path, split_part(path, '/', -1) AS file_name, split_part(path, '.', -1) AS ext, length(root) = deepest AS is_deepest FROM above)"""
+
+
+@_query
+def files_under_items(lib: Library) -> DataFrame:
+    """Each file of the inventory with the deepest item that holds it."""
+    return folders.files_under_items(lib.paths(), lib.nested_items())
+
+
+_sql("files_under_items", "SELECT item_id, rel_path, file_name, ext FROM under WHERE is_deepest", _NESTED)
+
+
+@_query
+def files_walked(lib: Library) -> DataFrame:
+    """Each file with every item above it."""
+    return folders.files_under_items(lib.paths(), lib.nested_items(), deepest=False)
+
+
+_sql("files_walked", "SELECT item_id, rel_path, file_name, ext FROM under", _NESTED)
+
+
+@_query
+def manifest_from_paths(lib: Library) -> DataFrame:
+    """From raw paths to the link manifest, nested items included."""
+    lists = lib.play_lists(lib.nested_items()).join(lib.users().select("user_id", F.col("name").alias("user_name")), "user_id")
+    return manifest.link_manifest(lists, folders.files_under_items(lib.paths(), lib.nested_items()))
+
+
+_KIND = "CASE WHEN ext IN ('jpg') THEN 'copy' WHEN ext = 'txt' THEN NULL WHEN category = 'Music' THEN 'link' ELSE 'strm' END"
+_ROOT = lambda folder, t: f"{folder} || '/' || {t}.category || '/' || CASE WHEN {t}.category = 'Music' THEN {_SAFE(f'{t}.artist')} || '/' ELSE '' END || {_SAFE(f'{t}.name')}"
+_sql(
+    "manifest_from_paths",
+    f"""SELECT user_id, category, target, action, CASE WHEN action = 'copy' THEN min(source) ELSE max(source) END AS source, count(*) AS n_sources FROM (
+SELECT user_id, category, concat_ws('/', root, nullif(rel_path, ''), CASE WHEN {_KIND} = 'strm' THEN regexp_replace(file_name, '\\.[^.]*$', '') || '.strm' ELSE file_name END) AS target, concat_ws('/', path, nullif(rel_path, ''), file_name) AS source, {_KIND} AS action
+FROM listed JOIN under USING (item_id) WHERE is_folder AND is_deepest AND {_KIND} IS NOT NULL
+UNION ALL SELECT user_id, category, root || '/' || split_part(path, '/', -1) || '.strm', path, 'strm' FROM listed WHERE NOT is_folder) GROUP BY user_id, category, target, action""",
+    _NESTED, f"listed AS (SELECT p.user_id, n.*, {_ROOT(_SAFE('u.name'), 'n')} AS root FROM plays p JOIN nested n ON n.item_id % 1000000 = p.item_id JOIN users u ON u.user_id = p.user_id WHERE n.path IS NOT NULL)",
+)
+SINCE = "2000-01-01"
+
+
+def _folder_runs(lib: Library) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The targets of an earlier run over older plays, the owners of a later run that serves two thirds of the users, and its targets."""
+    older = lib.plays().where(F.col("last_played") < F.lit(SINCE).cast("timestamp_ntz"))
+    before, now = lib.play_lists(plays=older), lib.play_lists().where("user_id % 3 <> 0")
+    empty_handed = lib.users().where("user_id % 7 = 0").select("user_id", F.lit("Music").alias("category"))  # served, with an empty list or not
+    served = now.select("user_id", "category").unionByName(empty_handed.where("user_id % 3 <> 0"))
+    owners = folders.folder_owners(lib.housemates(), served)
+    old = folders.owned_targets(before, folders.folder_owners(lib.housemates(), before), lib.files())
+    return old, owners, folders.owned_targets(now, owners, lib.files())
+
+
+@_query
+def owned_targets(lib: Library) -> DataFrame:
+    """One row a target over all users, where users with one safe name share a folder."""
+    return _folder_runs(lib)[2]
+
+
+def _targets_sql(lists: str, served: str, name: str) -> str:
+    """CTEs that end with `name`: the owned targets of lists."""
+    return f"""{name}_owners AS (SELECT folder, category, user_id FROM (SELECT *, row_number() OVER (PARTITION BY folder, category ORDER BY ordinal DESC, user_id DESC) AS r FROM (SELECT s.user_id, s.category, h.ordinal, {_SAFE('h.name')} AS folder FROM {served} s JOIN house h ON s.user_id = h.user_id)) WHERE r = 1),
+{name}_listed AS (SELECT l.*, o.folder, {_ROOT('o.folder', 'l')} AS root FROM {lists} l JOIN {name}_owners o ON l.user_id = o.user_id AND l.category = o.category),
+{name}_docs AS (SELECT folder, category, target, arg_min(doc, position) AS doc FROM (
+    SELECT folder, category, root || '/album.nfo' AS target, '<album><title>' || {_XML(_SAFE('name'))} || '</title><artist>' || {_XML(_SAFE('artist'))} || '</artist></album>' AS doc, position FROM {name}_listed WHERE category = 'Music'
+    UNION ALL SELECT folder, category, regexp_replace(root, '/[^/]*$', '') || '/artist.nfo', '<artist><name>' || {_XML(_SAFE('artist'))} || '</name></artist>', position FROM {name}_listed WHERE category = 'Music') GROUP BY ALL),
+{name}_files AS (SELECT folder, category, position, target, action, CASE WHEN action = 'copy' THEN min(source) ELSE max(source) END AS source FROM (
+    SELECT folder, category, position, root || '/' || CASE WHEN {_ACTION} = 'strm' THEN regexp_replace(file_name, '\\.[^.]*$', '') || '.strm' ELSE file_name END AS target, path || '/' || file_name AS source, {_ACTION} AS action FROM {name}_listed JOIN files USING (item_id) WHERE is_folder
+    UNION ALL SELECT folder, category, position, root || '/' || split_part(path, '/', -1) || '.strm', path, 'strm' FROM {name}_listed WHERE NOT is_folder) GROUP BY folder, category, position, target, action),
+{name} AS (SELECT folder, category, target, action, CASE WHEN action = 'copy' THEN arg_min(source, position) ELSE arg_max(source, position) END AS source, CAST(NULL AS VARCHAR) AS doc FROM {name}_files GROUP BY folder, category, target, action
+    UNION ALL SELECT folder, category, target, 'write', NULL, doc FROM {name}_docs)"""
+
+
+_LISTS = lambda name, where: f"{name} AS (SELECT p.user_id, i.category, i.item_id, i.name, i.path, i.artist, i.item_id % 5 <> 0 AS is_folder, row_number() OVER (PARTITION BY p.user_id, i.category ORDER BY i.item_id) AS position FROM plays p JOIN items i ON p.item_id = i.item_id WHERE i.path IS NOT NULL AND {where})"
+_RUNS = (
+    _FILES, "house AS (SELECT user_id, 'House: ' || (user_id % 400) AS name, ordinal FROM users)", _LISTS("before", f"p.last_played < TIMESTAMP '{SINCE}'"), _LISTS("now", "p.user_id % 3 <> 0"),
+    "served_before AS (SELECT DISTINCT user_id, category FROM before)", "served_now AS (SELECT user_id, category FROM now UNION SELECT user_id, 'Music' FROM users WHERE user_id % 7 = 0 AND user_id % 3 <> 0)",
+    _targets_sql("before", "served_before", "old"), _targets_sql("now", "served_now", "new"),
+)
+_sql("owned_targets", "SELECT * FROM new", *_RUNS)
+
+
+@_query
+def target_changes(lib: Library) -> DataFrame:
+    """What the later run creates, replaces and deletes."""
+    old, owners, new = _folder_runs(lib)
+    return folders.target_changes(new, old, owners)
+
+
+_sql(
+    "target_changes",
+    """SELECT change, folder, category, target, action, source, doc FROM (
+SELECT CASE WHEN o.target IS NULL THEN 'create' WHEN n.target IS NULL THEN 'delete' WHEN (n.action, n.source, n.doc) IS DISTINCT FROM (o.action, o.source, o.doc) THEN 'replace' END AS change,
+    coalesce(n.folder, o.folder) AS folder, coalesce(n.category, o.category) AS category, coalesce(n.target, o.target) AS target, CASE WHEN n.target IS NULL THEN o.action ELSE n.action END AS action, CASE WHEN n.target IS NULL THEN o.source ELSE n.source END AS source, CASE WHEN n.target IS NULL THEN o.doc ELSE n.doc END AS doc
+FROM new n FULL JOIN (SELECT old.* FROM old JOIN new_owners w ON old.folder = w.folder AND old.category = w.category) o ON n.target = o.target) WHERE change IS NOT NULL""",
+    *_RUNS,
+)
+
+
+@_query
+def target_state(lib: Library) -> DataFrame:
+    """All targets after the later run: folders that it didn't write keep theirs."""
+    old, owners, new = _folder_runs(lib)
+    return folders.with_changes(old, folders.target_changes(new, old, owners))
+
+
+_sql("target_state", "SELECT * FROM new UNION ALL SELECT old.* FROM old WHERE NOT EXISTS (SELECT 1 FROM new_owners w WHERE old.folder = w.folder AND old.category = w.category)", *_RUNS)
 _LOG = "log AS (SELECT 'log' || (user_id % 10) AS file, event_id AS line_no, 'run [' || CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END || '] ' || event_type || ' ' || CAST(floor(value) AS BIGINT) AS line FROM events)"
 _ERRORS = "(contains(line, 'ERROR') OR contains(line, 'CRITICAL') OR contains(line, 'Traceback'))"
 
