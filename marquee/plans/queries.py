@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import audit, folders, logs, manifest, profile, scoring
+from ..operators import audit, exact, folders, logs, manifest, profile, scoring, sinks
 from ..sources import readers
 from ..streaming import logs as stream_logs
 from .fixtures import AS_OF, EVENTS_AS_OF, ROOT, Library, shared_path
@@ -229,6 +229,16 @@ def score_parts(lib: Library) -> DataFrame:
 _sql("score_parts", "SELECT user_id, category, CAST(position AS INTEGER) AS position, item_id, genre_part, director_part, actor_part, collection_part, score FROM tops", CANDIDATES, HITS, PARTS, TOPS)
 
 
+@_query
+def top_n_exact(lib: Library) -> DataFrame:
+    """The best of all unplayed items, not of the first 600."""
+    found = exact.recommend(lib.users(), lib.items(), _facets(lib), lib.plays(), _prefs(lib), _weights(lib), SEED)
+    return found.select("user_id", "category", "position", "item_id", "score")
+
+
+_sql("top_n_exact", "SELECT user_id, category, CAST(position AS INTEGER) AS position, item_id, score FROM tops", CANDIDATES.replace("WHERE n <= 600", ""), HITS, PARTS, TOPS)
+
+
 @_query
 def library_mapping(lib: Library) -> DataFrame:
     return scoring.library_mapping(lib.categories(), lib.libraries()).select("category", "discovery_name", "min_score", F.array_join("source_ids", ",").alias("source_ids"))
@@ -499,6 +509,33 @@ _RUNS = (
 _sql("owned_targets", "SELECT * FROM new", *_RUNS)
 
 
+@_query
+def published_lists(lib: Library) -> DataFrame:
+    """What readers see after two runs, of which the later served two thirds of the users, some with an empty list."""
+    older = lib.plays().where(F.col("last_played") < F.lit(SINCE).cast("timestamp_ntz"))
+    columns = ["user_id", "category", "position", "item_id"]
+    before, now = lib.play_lists(plays=older).select(columns), lib.play_lists().where("user_id % 3 <> 0").select(columns)
+    empty_handed = lib.users().where("user_id % 7 = 0 AND user_id % 3 <> 0").select("user_id", F.lit("Music").alias("category"))
+    path = shared_path(lib.spark, "lists")
+    sinks.publish_buckets(before, before, path, "1")
+    sinks.publish_buckets(now, now.select("user_id", "category").unionByName(empty_handed), path, "2")
+    return sinks.read_buckets(lib.spark, path, "user_id long, category string, position int, item_id long")
+
+
+_sql("published_lists", "SELECT user_id, category, CAST(position AS INTEGER) AS position, item_id FROM now UNION ALL SELECT user_id, category, CAST(position AS INTEGER), item_id FROM before b WHERE NOT EXISTS (SELECT 1 FROM served_now s WHERE s.user_id = b.user_id AND s.category = b.category)", *_RUNS)
+
+
+@_query
+def saved_preferences(lib: Library) -> DataFrame:
+    """The preference snapshot of a day, as read back."""
+    path = shared_path(lib.spark, "preferences")
+    sinks.save_preferences(_prefs(lib), path, AS_OF[:10])
+    return sinks.read_preferences(lib.spark, path)
+
+
+_sql("saved_preferences", f"SELECT user_id, facet, value, num, '{AS_OF[:10]}' AS run_date FROM prefs")
+
+
 @_query
 def target_changes(lib: Library) -> DataFrame:
     """What the later run creates, replaces and deletes."""
