@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import audit, exact, folders, logs, manifest, profile, scoring, sinks
-from ..sources import readers
+from ..sources import log_files, readers
 from ..streaming import logs as stream_logs
 from .fixtures import AS_OF, EVENTS_AS_OF, ROOT, Library, shared_path
 
@@ -598,6 +598,33 @@ def log_tail_latest(lib: Library) -> DataFrame:
 _sql("log_tail_latest", "SELECT file, line_no, line FROM (SELECT *, row_number() OVER (ORDER BY line_no DESC) AS r FROM log WHERE file = (SELECT 'log' || (user_id % 10) FROM events ORDER BY ts DESC, 'log' || (user_id % 10) DESC LIMIT 1)) WHERE r <= 100", _LOG)
 
 
+def _written_logs(lib: Library) -> str:
+    """The events' lines as text files, a folder for each log."""
+    path = shared_path(lib.spark, "logs")
+    lines = lib.log_lines().select("file", "line_no", "line")
+    ordered = lines.repartition("file").sortWithinPartitions("file", "line_no")
+    ordered.select("file", F.col("line").alias("value")).write.partitionBy("file").text(path)
+    return path
+
+
+@_query
+def log_lines_split(lib: Library) -> DataFrame:
+    """The lines of written log files, numbered in each file by splits of 8 KB."""
+    path, setting = _written_logs(lib), "spark.sql.files.maxPartitionBytes"
+    whole = lib.spark.conf.get(setting)
+    lib.spark.conf.set(setting, "8k")
+    try:  # splits are planned here
+        found = log_files.split_lines(lib.spark, path, "*.txt", F.col("file")).select("file", "line_no", "line")
+        kept = shared_path(lib.spark, "log-lines")
+        found.write.parquet(kept)
+    finally:
+        lib.spark.conf.set(setting, whole)
+    return lib.spark.read.schema(found.schema).parquet(kept)
+
+
+_sql("log_lines_split", "SELECT file, row_number() OVER (PARTITION BY file ORDER BY line_no) - 1 AS line_no, line FROM log", _LOG)
+
+
 @_query
 def log_errors_streamed(lib: Library) -> DataFrame:
     """Error lines of the event files, taken as a stream over what is there, as the stream wrote them."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .log_files import split_lines
+
 PLAYS = "user_id string, item_id string, last_played string"
 USERS = "user_id string, name string, ordinal int, enabled_folders array<string>, enable_all boolean"
 LIBRARIES = "item_id string, name string, collection_type string, locations array<string>"
@@ -80,15 +82,9 @@ def read_categories(spark: SparkSession, path: str) -> DataFrame:
     return given.join(types, "category").select("category", F.coalesce("c.enabled", F.lit(False)).alias("enabled"), "c.discovery_name", F.col("c.min_community_score").alias("min_score"), "api_type", "item_type")
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Lines (file, modified, line_no, line) of all *.log files, numbered from 0 in each file.
-
-    Files are read whole, as line numbers need; logs rotate at a few MB.
-    """
-    text = spark.read.option("pathGlobFilter", "*.log").text(path, wholetext=True)
-    text = text.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), "value")
-    body = F.regexp_replace("value", r"\r?\n\z", "")
-    return text.where("value <> ''").select("file", "modified", F.posexplode(F.split(body, r"\r?\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+def read_logs(spark: SparkSession, path: str, glob: str = "*.log") -> DataFrame:
+    """Lines (file, modified, line_no, line) of all *.log files, numbered from 0 in each file; large files are split."""
+    return split_lines(spark, path, glob)
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
