@@ -80,6 +80,65 @@ def resolve_by_table(items: DataFrame, rules: DataFrame, path: str = "path") ->
     return joined.withColumn("resolved", F.when(F.col("rule").isNull(), F.col(path)).otherwise(changed)).drop("rule")
 
 
+#: Rules that resolve_by_rules takes; more of them meet paths in a join (resolve_by_table).
+MOST_RULES = 100_000
+
+
+def _flat_rules(rules: list[tuple[int, str, str]]) -> tuple[list[bytes], list[int]]:
+    """The prefixes' trie laid out flat: the places where the first matching rule changes, and its index from there on (-1: none).
+
+    Strings with a prefix are a range of all strings, and ranges of prefixes nest or lie apart.
+    """
+    best: dict[bytes, int] = {}
+    for k in sorted(range(len(rules)), key=lambda k: rules[k][0]):
+        best.setdefault(rules[k][1].encode(), k)
+    events: list[tuple[bytes, int]] = [(b"", -1)]
+    open_ranges: list[tuple[bytes | None, int]] = [(None, -1)]  # ends and winners, innermost last
+
+    def close(until: bytes | None) -> None:
+        while len(open_ranges) > 1 and (until is None or (open_ranges[-1][0] is not None and open_ranges[-1][0] <= until)):
+            end, _ = open_ranges.pop()
+            if end is not None:
+                events.append((end, open_ranges[-1][1]))
+
+    for prefix in sorted(best):
+        close(prefix)
+        around, own = open_ranges[-1][1], best[prefix]
+        winner = own if around < 0 or rules[own][0] < rules[around][0] else around
+        head = prefix.rstrip(b"\xff")
+        open_ranges.append((head[:-1] + bytes([head[-1] + 1]) if head else None, winner))
+        events.append((prefix, winner))
+    close(None)
+    flat = dict(events)  # the last event of a place counts
+    return list(flat), list(flat.values())
+
+
+def resolve_by_rules(path: Column, rules: list[tuple[int, str, str]]) -> Column:
+    """resolve_path for thousands of rules (ordinal, prefix, replacement): each path is looked up once, by halving.
+
+    The first rule by ordinal whose prefix matches replaces it; other paths stay, a null one too.
+    """
+    if not rules:
+        return path
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"{len(rules)} rules are more than {MOST_RULES}; use resolve_by_table")
+    starts, winners = _flat_rules(rules)
+    places, which = F.lit(starts), F.lit(winners)
+    raw = path.cast("binary")
+    low, high = F.lit(1).alias("low"), F.lit(len(starts) + 1).alias("high")  # the greatest place that isn't above the path
+    middle = lambda x: F.floor((x["low"] + x["high"]) / 2).cast("int")
+
+    def halve(x: Column, _: Column) -> Column:
+        above = F.element_at(places, middle(x)) > raw
+        wide = x["high"] - x["low"] > 1
+        return F.struct(F.when(wide & ~above, middle(x)).otherwise(x["low"]).alias("low"), F.when(wide & above, middle(x)).otherwise(x["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.lit(max(1, len(starts).bit_length())))
+    rule = F.element_at(which, F.aggregate(steps, F.struct(low, high), halve)["low"])
+    texts, sizes = F.lit([r[2] for r in rules]), F.lit([len(r[1]) for r in rules])
+    return F.when(path.isNull() | (rule < 0), path).otherwise(F.concat(F.element_at(texts, rule + 1), F.substring(path, F.element_at(sizes, rule + 1) + 1, F.length(path))))
+
+
 def display_name(base: Column, ordinal: Column) -> Column:
     """The base name and ordinal + 1 zero-width spaces, which make it a user's own."""
     return F.concat(base, F.repeat(F.lit(ZERO_WIDTH), (ordinal + 1).cast("int")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import audit, exact, folders, logs, manifest, profile, scoring, sinks
+from ..operators import audit, exact, folders, logs, manifest, policies, profile, scoring, sinks
 from ..sources import log_files, readers
 from ..streaming import logs as stream_logs
 from ..streaming import profiles as stream_profiles
@@ -328,6 +328,46 @@ def visibility_summary(lib: Library) -> DataFrame:
 _sql("visibility_summary", "SELECT u.user_id, r.n AS n_real, coalesce(o.n, 0) AS n_own FROM users u CROSS JOIN reals r LEFT JOIN (SELECT user_id, count(*) AS n FROM own GROUP BY user_id) o ON u.user_id = o.user_id", _OWN, _REAL)
 
 
+def _policy_log(lib: Library) -> tuple[DataFrame, str]:
+    """Policies before, and a written log: lists without deleted libraries, without ghosts, and rebuilt ones for every other user."""
+    path, users = shared_path(lib.spark, "policy-log"), lib.users()
+    gone = lib.libraries().where("ordinal % 5 = 2").select("item_id")
+    state = policies.initial_state(users)
+    first = policies.as_changes(audit.prune_deleted(users, gone), "deleted", 1)
+    policies.append_changes(first, path)
+    now = policies.apply_changes(state, policies.read_changes(lib.spark, path)).select("user_id", F.col("folders").alias("enabled_folders"))
+    policies.append_changes(policies.as_changes(audit.prune_ghosts(now, lib.libraries()), "ghosts", 2), path)
+    rebuilt = audit.rebuild_policies(users.where("user_id % 2 = 0"), lib.libraries(), ROOT)
+    policies.append_changes(policies.as_changes(rebuilt, "rebuilt", 3, "enabled_folders"), path)
+    return state, path
+
+
+_shown = lambda state: state.select("user_id", F.array_join("folders", ",").alias("folders"), "seq")
+
+
+@_query
+def policy_state(lib: Library) -> DataFrame:
+    """All changes, applied in pieces of which some come twice."""
+    state, path = _policy_log(lib)
+    read = lambda after, until=None: policies.read_changes(lib.spark, path, after, until)
+    for piece in (read(0, 1), read(0, 2), read(1), read(0, 2), read(2)):
+        state = policies.apply_changes(state, piece)
+    return _shown(state)
+
+
+@_query
+def policy_replayed(lib: Library) -> DataFrame:
+    """The state after the second change, from the log alone."""
+    state, path = _policy_log(lib)
+    return _shown(policies.apply_changes(state, policies.read_changes(lib.spark, path), until=2))
+
+
+_POLICY_LOG = """each AS (SELECT user_id, f, pos, f IN (SELECT item_id FROM libraries WHERE ordinal % 5 = 2) AS gone, f IN (SELECT item_id FROM libraries) AS known FROM (SELECT user_id, unnest(enabled_folders) AS f, unnest([0, 1, 2]) AS pos FROM users)),
+pruned AS (SELECT user_id, coalesce(string_agg(f, ',' ORDER BY pos) FILTER (WHERE NOT gone AND known), '') AS folders, CASE WHEN bool_or(NOT known) THEN 2 WHEN bool_or(gone) THEN 1 ELSE 0 END AS seq FROM each GROUP BY user_id)"""
+_sql("policy_replayed", "SELECT user_id, folders, CAST(seq AS BIGINT) AS seq FROM pruned", _POLICY_LOG)
+_sql("policy_state", "SELECT p.user_id, CASE WHEN p.user_id % 2 = 0 THEN concat_ws(',', r.ids, o.ids) ELSE folders END AS folders, CAST(CASE WHEN p.user_id % 2 = 0 THEN 3 ELSE seq END AS BIGINT) AS seq FROM pruned p CROSS JOIN reals r LEFT JOIN (SELECT user_id, string_agg(item_id, ',' ORDER BY ordinal) AS ids FROM own GROUP BY user_id) o ON p.user_id = o.user_id", _POLICY_LOG, _OWN, _REAL)
+
+
 @_query
 def garbage_libraries(lib: Library) -> DataFrame:
     return audit.garbage(lib.libraries())
@@ -382,6 +422,46 @@ def path_substitution(lib: Library) -> DataFrame:
 _sql("path_substitution", "SELECT item_id, r AS resolved, CASE WHEN r <> path THEN r WHEN starts_with(upper(path), '/M') THEN '//nas/media' || substr(path, 3) ELSE path END AS on_share FROM (SELECT item_id, path, CASE WHEN starts_with(path, '/media/Movies') THEN '/mnt/films' || substr(path, 14) WHEN starts_with(path, '/media/M') THEN '/mnt/m' || substr(path, 9) ELSE path END AS r FROM items WHERE path IS NOT NULL)")
 
 
+_NESTED = """nested AS (SELECT item_id, name, category, path, artist, item_id % 5 <> 0 AS is_folder FROM items
+    UNION ALL SELECT item_id + 1000000, name || ' Extras', category, path || '/Extras', artist, true FROM items WHERE item_id % 6 = 1 AND item_id % 5 <> 0
+    UNION ALL SELECT item_id + 2000000, name || ' Bonus', category, path || '/Extras/bonus.mkv', artist, false FROM items WHERE item_id % 12 = 1 AND item_id % 5 <> 0),
+paths AS (SELECT path || '/' || unnest(['a.mkv', 'a.mp4', 'cover.jpg', 'notes.txt', 'song.flac', 'Extras/b.mkv', 'Extras/bonus.mkv', 'Extras/deep/c.flac']) AS path FROM items WHERE item_id % 5 <> 0 AND path IS NOT NULL
+    UNION ALL SELECT path FROM items WHERE item_id % 5 = 0 AND path IS NOT NULL UNION ALL SELECT '/media/Loose/' || item_id || '.mkv' FROM items WHERE item_id % 11 = 0),
+above AS (SELECT f.path, n.item_id, n.path AS root, max(length(n.path)) OVER (PARTITION BY f.path) AS deepest FROM paths f JOIN nested n ON f.path = n.path OR starts_with(f.path, n.path || '/')),
+under AS (SELECT item_id, CASE WHEN path = root THEN '' ELSE substr(regexp_replace(path, '/[^/]*$', ''), length(root) + 2) END AS rel_path, split_part(path, '/', -1) AS file_name, split_part(path, '.', -1) AS ext, length(root) = deepest AS is_deepest FROM above)"""
+
+
+def _many_rules(lib: Library) -> DataFrame:
+    """A rule for each item with a path, of prefixes that nest, repeat and differ in length, in no order."""
+    key = F.col("item_id")
+    return lib.items().where("path IS NOT NULL").select((key * 7919 % 100_003).alias("ordinal"), F.substring("path", F.lit(1), (12 + key % 25).cast("int")).alias("prefix"), F.concat(F.lit("/r"), key.cast("string"), F.lit(":")).alias("replacement"))
+
+
+@_query
+def paths_by_rules(lib: Library) -> DataFrame:
+    """Thousands of rules; each path is looked up once."""
+    rules = [tuple(r) for r in _many_rules(lib).collect()]  # settings, at most MOST_RULES
+    return lib.paths().select("path", S.resolve_by_rules(F.col("path"), rules).alias("resolved"))
+
+
+_sql(
+    "paths_by_rules",
+    """SELECT path, coalesce(arg_min(replacement || substr(path, length(prefix) + 1), ordinal), path) AS resolved
+FROM paths LEFT JOIN (SELECT item_id * 7919 % 100003 AS ordinal, substr(path, 1, CAST(12 + item_id % 25 AS INTEGER)) AS prefix, '/r' || item_id || ':' AS replacement FROM items WHERE path IS NOT NULL) r ON starts_with(paths.path, r.prefix) GROUP BY path""",
+    _NESTED,
+)
+
+
+@_query
+def paths_by_rule_table(lib: Library) -> DataFrame:
+    """The same by a join, for any number of rules."""
+    paths = lib.paths().withColumn("item_id", F.col("path"))
+    return S.resolve_by_table(paths, _many_rules(lib)).select("path", "resolved")
+
+
+SQL["paths_by_rule_table"] = SQL["paths_by_rules"]
+
+
 @_query
 def file_classes(lib: Library) -> DataFrame:
     rows = lib.files().join(lib.items().select("item_id", "category"), "item_id").withColumn("action", S.file_action(F.col("ext"), F.col("category") == "Music"))
@@ -444,15 +524,6 @@ SELECT root || '/album.nfo' AS target, '<album><title>' || {_XML(_SAFE('name'))}
 UNION ALL SELECT regexp_replace(root, '/[^/]*$', '') || '/artist.nfo', '<artist><name>' || {_XML(_SAFE('artist'))} || '</name></artist>', user_id, position FROM folders WHERE category = 'Music')) WHERE r = 1""",
     CANDIDATES, HITS, PARTS, TOPS, _FOLDER,
 )
-_NESTED = """nested AS (SELECT item_id, name, category, path, artist, item_id % 5 <> 0 AS is_folder FROM items
-    UNION ALL SELECT item_id + 1000000, name || ' Extras', category, path || '/Extras', artist, true FROM items WHERE item_id % 6 = 1 AND item_id % 5 <> 0
-    UNION ALL SELECT item_id + 2000000, name || ' Bonus', category, path || '/Extras/bonus.mkv', artist, false FROM items WHERE item_id % 12 = 1 AND item_id % 5 <> 0),
-paths AS (SELECT path || '/' || unnest(['a.mkv', 'a.mp4', 'cover.jpg', 'notes.txt', 'song.flac', 'Extras/b.mkv', 'Extras/bonus.mkv', 'Extras/deep/c.flac']) AS path FROM items WHERE item_id % 5 <> 0 AND path IS NOT NULL
-    UNION ALL SELECT path FROM items WHERE item_id % 5 = 0 AND path IS NOT NULL UNION ALL SELECT '/media/Loose/' || item_id || '.mkv' FROM items WHERE item_id % 11 = 0),
-above AS (SELECT f.path, n.item_id, n.path AS root, max(length(n.path)) OVER (PARTITION BY f.path) AS deepest FROM paths f JOIN nested n ON f.path = n.path OR starts_with(f.path, n.path || '/')),
-under AS (SELECT item_id, CASE WHEN path = root THEN '' ELSE substr(regexp_replace(path, '/[^/]*$', ''), length(root) + 2) END AS rel_path, split_part(path, '/', -1) AS file_name, split_part(path, '.', -1) AS ext, length(root) = deepest AS is_deepest FROM above)"""
-
-
 @_query
 def files_under_items(lib: Library) -> DataFrame:
     """Each file of the inventory with the deepest item that holds it."""
