@@ -7,6 +7,9 @@ unique, repeated or null.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,10 @@ from marquee.llm.store import Scope, fresh_path, settled, written
 
 #: Documents with a lower mean marginal of their language have none that is clear, and are rejected.
 LEAST_SCORE = 0.35
+#: Most bytes of an Arrow batch between Spark and Python: executors go through five operators,
+#: and batches of up to 64 MB of whole texts would be held several times by each task.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 #: What tells rows apart for decisions on the text alone: equal rows have the same.
@@ -27,6 +34,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.expr(x).alias(k) for k, x in KEY.items()]).alias("doc_id"), "text")
 
 
+def _bounded_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with the session's Arrow batches bounded. The setting stays, as the rows are made after the call."""
+
+    @functools.wraps(stage)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = spark.conf.get(BATCH_SETTING).removesuffix("b")
+        if not own.isdigit() or int(own) > BATCH_BYTES:
+            spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return bounded
+
+
 def _row(docs: DataFrame) -> Column:
     """A whole row as one column, so that no column of documents can clash with those of a stage."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
@@ -40,12 +60,14 @@ def _with(docs: DataFrame, found: DataFrame, decided: str) -> DataFrame:
     return keyed.alias("d").join(gone.alias("g"), on, "left_anti").select("row.*")
 
 
+@_bounded_batches
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, or with no clear language."""
     found = language_id.predict(_keyed(docs), language_id.learn(docs))
     return _with(docs, found, f"lang_pred != '{language_id.UNDETERMINED}' AND score >= {LEAST_SCORE}")
 
 
+@_bounded_batches
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts later copies of repeated line runs; a document goes if nothing but blank lines is left."""
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.col("text").isNull().alias("_no_text")).alias("others")
@@ -57,6 +79,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.select(*[own[c].alias(c) if c in own else F.col("others")[c].alias(c) for c in docs.columns])
 
 
+@_bounded_batches
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each near-duplicate group, that with the smallest doc_id; a null one comes last.
 
@@ -69,12 +92,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(settled(kept, "kept"), "row_no", "left_semi").select("row.*")
 
 
+@_bounded_batches
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark passages, by the share of their words."""
     found = decontamination.contamination(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), unnamed=True)
     return _with(docs, found, "NOT contaminated")
 
 
+@_bounded_batches
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes and decodes what is left."""
     return sentencepiece_codec.round_trip(docs, tokenizer_file("piece_bpe_32k.model"))

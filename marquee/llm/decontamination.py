@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
+from .passes import in_passes
 from .text import flat_index, hash_spans, mix, pieces, spans_of, utf8
 
 WINDOW = 13
@@ -86,7 +87,7 @@ class Phrases:
         return words[index.locate(rows)], np.repeat(hit, high[hit] - low[hit])
 
 
-def _scan(shared, window: int, later: bool):
+def _scan(shared, window: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Phrases = shared.value
         for batch in pieces(batches, limit=SHARD_BYTES):
@@ -106,10 +107,7 @@ def _scan(shared, window: int, later: bool):
                 items[d].append(block.names[i])
             first, last, of = spans_of(hit, before)
             spans = [[{"word": a, "end_word": b, "from": c, "to": d} for a, b, c, d in zip(*(x.tolist() for x in (first[p:q] - w, last[p:q] - w, starts[first[p:q]] - o, ends[last[p:q] - 1] - o)))] for p, q, w, o in zip(of[:-1].tolist(), of[1:].tolist(), before[:-1].tolist(), offsets[:-1].tolist())]
-            if later:
-                spans = [_union(x, y) for x, y in zip(batch.column("spans").to_pylist(), spans)]
-                items = [sorted({*x, *y}, key=_by_name) for x, y in zip(batch.column("item_ids").to_pylist(), items)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(np.diff(before)), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "spans", "item_ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(before)), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "item_ids"])
 
     return scan
 
@@ -118,20 +116,22 @@ _SPANS = pa.list_(pa.struct([(c, pa.int64()) for c in ("word", "end_word", "from
 _SPANS_SQL = "array<struct<word: long, end_word: long, from: long, to: long>>"
 
 
-def _union(x: list[dict], y: list[dict]) -> list[dict]:
-    out: list[dict] = []
-    for s in sorted([*x, *y], key=lambda s: (s["word"], s["end_word"])):
-        if out and s["word"] <= out[-1]["end_word"]:
-            if s["end_word"] > out[-1]["end_word"]:
-                out[-1] |= {"end_word": s["end_word"], "to": s["to"]}
-        else:
-            out.append(dict(s))
-    return out
+def _merged(spans: Column) -> Column:
+    """Spans in order, with those that overlap or touch as one."""
+    empty = F.array().cast(_SPANS_SQL)
+
+    def add(known: Column, s: Column) -> Column:
+        last = F.try_element_at(known, F.lit(-1))
+        longer = F.struct(last["word"].alias("word"), s["end_word"].alias("end_word"), last["from"].alias("from"), s["to"].alias("to"))
+        joined = F.when(s["end_word"] > last["end_word"], F.concat(F.slice(known, F.lit(1), F.size(known) - 1), F.array(longer))).otherwise(known)
+        return F.when((F.size(known) > 0) & (s["word"] <= last["end_word"]), joined).otherwise(F.concat(known, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), empty, add)
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int, unnamed: bool) -> Iterator[list[tuple[str | None, str]]]:
     """The test items in blocks of bounded size; a partition at a time comes to the driver."""
-    held, size = [], 0
+    held, size, any_block = [], 0, False
     rows = benchmark.select(F.col("item_id").cast("string"), "text").where("text IS NOT NULL")
     rows = rows if unnamed else rows.where("item_id IS NOT NULL")
     for item, text in rows.toLocalIterator():
@@ -139,8 +139,9 @@ def _blocks(benchmark: DataFrame, block_bytes: int, unnamed: bool) -> Iterator[l
         size += len(text.encode())
         if size >= block_bytes:
             yield held
-            held, size = [], 0
-    yield held
+            held, size, any_block = [], 0, True
+    if held or not any_block:
+        yield held
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, unnamed: bool = False) -> DataFrame:
@@ -148,17 +149,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     The test phrases are all runs of `window` words of an item, or the whole of a shorter one.
     spans are the merged runs of hit words, as words and as bytes of the text. Items come to the
-    tasks in blocks of bounded size, each in one pass over the texts; nothing is shuffled. Null
+    tasks in blocks of bounded size, each in one pass over the texts. With one block nothing is
+    shuffled; with more, only what they find is. Null
     texts have no words. Items without text or words are left out; repeated ids are one item.
     With `unnamed`, items without id hit as others do, and all of them are one null in item_ids,
     which n_items counts; otherwise they are left out. Other columns are ignored. Empty tables give no rows, or no hits.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text")
-    for k, items in enumerate(_blocks(benchmark, block_bytes, unnamed)):
-        shared = spark.sparkContext.broadcast(Phrases(items, window))
-        rows = rows.mapInArrow(_scan(shared, window, k > 0), f"doc_id {kind}, text string, n_words long, spans {_SPANS_SQL}, item_ids array<string>")
+    out = f"n_words long, spans {_SPANS_SQL}, item_ids array<string>"
+    made = (Phrases(items, window) for items in _blocks(benchmark, block_bytes, unnamed))
+    merged = [F.max("n_words").alias("n_words"), _merged(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids")]
+    rows = in_passes(docs, made, lambda shared: _scan(shared, window), out, "size(spans) > 0", merged)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end_word"] - s["word"])
     rows = rows.select("doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "spans")
     return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

@@ -13,7 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .passes import in_passes
 from .text import hash_spans, mix, pieces, spans_of, utf8
 
 #: Words in a gram, grams in a window, words off the diagonal unless told, and the least coverage reported.
@@ -218,14 +220,14 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     coverage is the share of the template's words that are matched in order. Matches of one
     template that overlap are one, the best; they are in order of their place and name. Null
     and empty texts have none. Other columns are ignored; repeated rows and null ids stay;
-    nothing is shuffled. The templates are a parameter; each block of block_words of their words
+    with one block nothing is shuffled. The templates are a parameter; each block of block_words of their words
     is an index of its own, in a pass of its own over the texts.
     """
-    kind, rows = docs.schema["doc_id"].dataType.simpleString(), docs.select("doc_id", "text")
-    for k, block in enumerate(_blocks(sorted((TEMPLATES if templates is None else templates).items()), block_words)):
-        shared = docs.sparkSession.sparkContext.broadcast(Templates(block, coverage=coverage))
-        rows = rows.mapInArrow(_scan(shared, k > 0), f"doc_id {kind}, text string, matches array<struct<license: string, coverage: double, words: long, from: long, to: long>>")
-    return rows.select("doc_id", "matches")
+    blocks = _blocks(sorted((TEMPLATES if templates is None else templates).items()), block_words)
+    out = "matches array<struct<license: string, coverage: double, words: long, from: long, to: long>>"
+    by_place = lambda x, y: F.when(x["from"] < y["from"], -1).when(x["from"] > y["from"], 1).when(x["license"] < y["license"], -1).when(x["license"] > y["license"], 1).otherwise(0)
+    merged = [F.array_sort(F.flatten(F.collect_list("matches")), by_place).alias("matches")]
+    return in_passes(docs, (Templates(block, coverage=coverage) for block in blocks), _scan, out, "size(matches) > 0", merged)
 
 
 def _blocks(templates: list[tuple[str, str]], words: int) -> Iterator[list[tuple[str, str]]]:
@@ -241,7 +243,7 @@ def _blocks(templates: list[tuple[str, str]], words: int) -> Iterator[list[tuple
     yield held
 
 
-def _scan(shared, later: bool):
+def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Templates = shared.value
         for batch in pieces(batches):
@@ -267,9 +269,7 @@ def _scan(shared, later: bool):
                         kept.append(m)
                 base, origin = before[d], x[1][d]
                 out.append([{"license": n, "coverage": c, "words": h, "from": int(starts[base + a] - origin), "to": int(ends[base + b - 1] - origin)} for n, c, h, a, b in kept])
-            if later:
-                out = [[*x, *y] for x, y in zip(batch.column("matches").to_pylist(), out)]
             out = [sorted(x, key=lambda m: (m["from"], m["license"])) for x in out]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(out, _MATCHES)], ["doc_id", "text", "matches"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, _MATCHES)], ["doc_id", "matches"])
 
     return run

@@ -131,6 +131,10 @@ def build(model: Model, prefix: bool = True):
     return out
 
 
+#: Chunks that a worker keeps: a table of some 24 bytes each and their ids.
+CACHED_CHUNKS = 1_000_000
+
+
 class Codec:
     """A worker's encoder and decoder for one model."""
 
@@ -144,7 +148,7 @@ class Codec:
         self.by_chunk = chunkable(self.model)
         self.tokenizer = build(self.model, prefix=not self.by_chunk)
         self.dtype = np.uint16 if len(self.model.pieces) < 1 << 16 else np.uint32
-        self.coder = ChunkCoder(self._encode, self.dtype) if self.by_chunk else None
+        self.coder = ChunkCoder(self._encode, self.dtype, CACHED_CHUNKS) if self.by_chunk else None
         shown = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else (" ⁇ " if kind == UNKNOWN else p.replace(MARK, " ")).encode() for p, _, kind in self.model.pieces]
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
         self.sizes = np.array([len(x) for x in shown], np.int64)

@@ -17,6 +17,8 @@ from . import tokenizer_files
 from .store import written
 from .text import pieces, utf8
 
+#: Missing digests (64 bytes each) are sent to all tasks up to this number, else they meet the texts in a shuffled join.
+MOST_BROADCAST_DIGESTS = 500_000
 CACHE_SCHEMA = "digest string, n_tokens long, tokenizer string"
 
 
@@ -55,7 +57,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     counts as empty. Columns beside doc_id and text are ignored. Equal texts (also a large
     group of them) are encoded once: they meet as one row per task. Repeated rows and null ids
     stay; an empty table gives no rows. Of the cache only the tokenizer's folder is read, and only
-    the digests asked for are kept; where it has them all, no text is shuffled. Appending twice
+    the digests asked for are kept; up to 500,000 missing ones, no other text is shuffled. Appending twice
     after a failure is harmless, as the cache is read with one row per digest. An unknown
     tokenizer file is a new version.
     """
@@ -66,10 +68,13 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     asked = narrow.select("digest").distinct()
     known = stored(spark, cache_path, version, asked)
     known = None if known is None else written(known, "known-counts")
-    if known is None or asked.join(known, "digest", "left_anti").head(1):
-        misses = keyed.select("digest", "text").dropDuplicates(["digest"])
-        if known is not None:
-            misses = misses.join(known, "digest", "left_anti")
+    missing = None if known is None else written(asked.join(known, "digest", "left_anti"), "missing")
+    n = 0 if missing is None else missing.count()
+    if known is None or n:
+        texts = keyed.select("digest", "text")
+        if n:  # the digests are found first, so that only texts to be encoded shuffle
+            texts = texts.join(F.broadcast(missing) if n <= MOST_BROADCAST_DIGESTS else missing, "digest", "left_semi")
+        misses = texts.dropDuplicates(["digest"])
         counted = written(misses.mapInArrow(_counter(raw, kind, version), "digest string, n_tokens long"), "counted")
         counted.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
         known = counted if known is None else known.unionByName(counted)

@@ -14,8 +14,8 @@ from . import tokenizer_files
 from .text import pieces, utf8
 from .wavelet import WaveletMatrix
 
-#: Text bytes a file; it bounds what a task holds, with the longest document.
-SHARD_BYTES = 16 << 20
+#: Text bytes a file, with some for each row; it bounds what a task holds, with the longest document.
+SHARD_BYTES, ROW_BYTES = 16 << 20, 8
 #: Shard starts are sent to all tasks up to this many shards (16 bytes each), else joined.
 MOST_BROADCAST_SHARDS = 500_000
 SHARD_SCHEMA = "part int, seq int, n_docs long, n_tokens long, width int, zeros array<long>, planes array<binary>, ranks array<binary>, doc_ids binary, null_ids binary, sizes binary"
@@ -48,7 +48,7 @@ def _writer(raw: bytes, kind: str, version: str, end_id: int, shard_bytes: int):
             key = batch.column("doc_id")
             docs.append(key.fill_null(0).to_numpy(zero_copy_only=False))
             nulls.append(key.is_null().to_numpy(zero_copy_only=False))
-            held += len(data)
+            held += len(data) + ROW_BYTES * batch.num_rows
             if held >= 2 * shard_bytes:
                 yield shard()
                 seq, held, ids, sizes, docs, nulls = seq + 1, 0, [], [], [], []
@@ -64,11 +64,11 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id:
     Texts are dealt out by ranges of doc_id before they are encoded, so that each is encoded
     once and a file holds neighbours. A null text is empty and still gets its end id; null ids
     come first; rows with equal ids (or none) are ordered by a hash of their texts, so that any
-    number of them can be dealt out. Other columns are ignored.
+    number of them can be dealt out. Rows count too, so that empty texts fill files. Other columns are ignored.
     """
     raw, kind, version = tokenizer_files.load(tokenizer_path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
-    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES)).first()[0] or 0
     parts = max(1, -(-total // shard_bytes))
     ordered = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     ordered.drop("tie").mapInArrow(_writer(raw, kind, version, end_id, shard_bytes), SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)

@@ -102,3 +102,24 @@ def test_empty(spark):
     assert D.contamination(none, items).count() == 0
     one = D.contamination(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), items).first()
     assert (one.n_words, one.n_hit, one.n_items, one.contaminated) == (2, 0, 0, False)
+
+
+def test_fifty_blocks_take_one_worker_a_task(spark):
+    """Each pass is written and its broadcast destroyed, so that neither plans nor workers pile up."""
+    items = spark.createDataFrame([(i, f"needle{i} thread{i} pin{i}") for i in range(50)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"so needle{i % 60} thread{i % 60} pin{i % 60} needle{(i + 1) % 60} thread{(i + 1) % 60} pin{(i + 1) % 60} end") for i in range(120)], "doc_id long, text string")
+    found = D.contamination(docs, items, block_bytes=1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") <= 2
+    one = D.contamination(docs, items)
+    assert one._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, one.collect()))
+
+
+def test_texts_beyond_a_piece(spark):
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    filler = "word " * 150_000
+    docs = spark.createDataFrame([(1, filler + passage + " " + filler + passage), (2, filler)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, passage), (6, "nowhere to be found")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids, [s["word"] for s in r.spans]) for r in D.contamination(docs, items).collect()}
+    assert got == {1: (300_026, 26, ["5"], [150_000, 300_013]), 2: (150_000, 0, [], [])}

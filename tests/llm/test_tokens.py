@@ -241,12 +241,47 @@ def test_empty_tables(spark):
 def test_written_tables_can_be_cleared(spark):
     from marquee.llm import store
 
-    kept = store._MADE[:]
-    store._MADE.clear()
-    table = store.written(spark.range(3).toDF("x"), "t")
+    with store.Scope() as own:
+        table = store.written(spark.range(3).toDF("x"), "t")
     assert table.count() == 3
-    path = store._MADE[0]
-    store.clear(spark)
-    store._MADE.extend(kept)
+    path = own.tables[0]
+    own.clear(spark)
     with pytest.raises(Exception):
         spark.read.parquet(path).count()
+
+
+def test_many_empty_texts_fill_several_shards(spark):
+    docs = spark.range(0, 6000, numPartitions=3).selectExpr("id AS doc_id", "if(id % 2 = 0, '', null) AS text")
+    path = fresh_path(spark, "empty")
+    token_shards.write_token_shards(docs, P.path("byte_bpe_50k.json"), path, end_id=2, shard_bytes=8000)
+    per = [r.n_docs for r in spark.read.schema(token_shards.SHARD_SCHEMA).parquet(path).collect()]
+    assert sum(per) == 6000 and len(per) >= 5 and max(per) <= 2500
+    rows = token_shards.read_token_shards(spark, path).collect()
+    assert {(r.doc_id, r.start, r.n_tokens) for r in rows} == {(i, i, 1) for i in range(6000)}
+
+
+def test_only_texts_without_a_count_shuffle(spark, monkeypatch):
+    """One new text, and nothing that Spark may broadcast by itself: the other texts stay where they are."""
+    cache, name = fresh_path(spark, "c"), P.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    token_counts.token_counts(docs, name, cache).count()
+    plans, written = [], token_counts.written
+
+    def seen(df, tag, **more):
+        if tag == "counted":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            assert df.count() == 1  # encoded
+        return written(df, tag, **more)
+
+    monkeypatch.setattr(token_counts, "written", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        more = docs.unionByName(spark.createDataFrame([(999, "a new text")], docs.schema))
+        got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(more, name, cache).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {**{i: len(want_ids(f"text {i}")) for i in range(200)}, 999: len(want_ids("a new text"))}
+    assert len(plans) == 1 and "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+    below = plans[0][plans[0].index("BroadcastHashJoin"):]
+    assert "hashpartitioning" not in below  # no exchange of texts before the join
