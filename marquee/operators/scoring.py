@@ -14,15 +14,26 @@ from ..sources.readers import DEFAULT_WEIGHTS, FACTORS
 from .profile import facet_maxima, user_collections, warmth
 
 CANDIDATES, TOP = 600, 25
+#: Bits of a word of a bit map.
+WORD = 64
 #: A side is broadcast up to this many bytes; beyond it Spark joins by shuffle.
 MOST_BROADCAST = 256 << 20
 
 
-def bounded(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """A broadcast hint if the table's values take at most `most` bytes (16 and its text for each value)."""
+def _bytes(df: DataFrame) -> Column:
+    """The bytes of a table's values: 16 and its text for each."""
     texts = [F.coalesce(F.octet_length(F.to_json(F.array(c)) if kind.startswith(("array", "map", "struct")) else F.col(c)), F.lit(0)) for c, kind in df.dtypes if kind == "string" or kind.startswith(("array", "map", "struct"))]
-    size = df.agg(F.sum(sum(texts, F.lit(16 * len(df.columns))).cast("long"))).first()[0] or 0
-    return F.broadcast(df) if size <= most else df
+    return F.sum(sum(texts, F.lit(16 * len(df.columns))).cast("long"))
+
+
+def bounded(*tables: DataFrame, most: int = MOST_BROADCAST) -> list[DataFrame]:
+    """The tables, with a broadcast hint for those whose values take at most `most` bytes; one job sums them all."""
+    sizes = None
+    for k, df in enumerate(tables):
+        size = df.agg(_bytes(df).alias("bytes")).select(F.lit(k).alias("k"), "bytes")
+        sizes = size if sizes is None else sizes.unionByName(size)
+    known = {r.k: r.bytes or 0 for r in sizes.collect()}
+    return [F.broadcast(df) if known[k] <= most else df for k, df in enumerate(tables)]
 
 
 def weights_for(categories: DataFrame, weights: DataFrame) -> DataFrame:
@@ -62,35 +73,61 @@ def catalogue(items: DataFrame, plays: DataFrame, limit: int = CANDIDATES) -> Da
     return items.withColumn("rank", rank).where(F.col("rank") <= limit + most)
 
 
-def user_cuts(users: DataFrame, plays: DataFrame, cat: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-    """Rows (user_id, cuts): by category the rank of the last candidate and the ranks played."""
-    ranks = plays.join(cat.select("item_id", "category", "rank"), "item_id").groupBy("user_id", "category").agg(F.sort_array(F.collect_set("rank")).alias("ranks"))
-    cut = F.aggregate("ranks", F.lit(limit), lambda at, r: F.when(r <= at, at + 1).otherwise(at))
-    by_user = ranks.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("category", F.struct(cut.alias("cut"), "ranks")))).alias("cuts"))
-    return users.select("user_id").join(by_user, "user_id", "left")
+def _placed(cat: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The catalogue with `pos`, a place among all its items, and a row (category, base, size) for each category.
+
+    Places are by category and rank; each category begins at a multiple of WORD, so that a word of
+    bits belongs to one.
+    """
+    sizes = cat.groupBy("category").agg(F.max("rank").alias("size"))
+    room = F.ceil(F.col("size") / WORD).cast("int") * WORD
+    before = Window.orderBy("category").rowsBetween(Window.unboundedPreceding, -1)  # a row a category
+    bases = sizes.select("category", "size", F.coalesce(F.sum(room).over(before), F.lit(0)).cast("int").alias("base"))
+    return cat.join(F.broadcast(bases.select("category", "base")), "category").withColumn("pos", F.col("base") + F.col("rank") - 1).drop("base"), bases
+
+
+def _first_bits(n: Column) -> Column:
+    """A word whose first n bits are set."""
+    some = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), F.least(n, F.lit(WORD - 1)))) - 1
+    return F.when(n >= WORD, F.lit(-1).cast("long")).otherwise(some)
+
+
+def _is_set(words: str, pos: Column) -> Column:
+    return F.call_function("shiftright", F.get(words, F.floor(pos / WORD).cast("int")), (pos % WORD).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
 
+def user_bits(users: DataFrame, plays: DataFrame, cat: DataFrame, bases: DataFrame, limit: int = CANDIDATES, include_played: bool = False) -> DataFrame:
+    """Rows (user_id, wanted, played): bit maps over the places of the catalogue, in words of 64 bits.
 
-def _own(limit: int) -> tuple[Column, Column]:
-    """The user's cut and played ranks in the row's category."""
-    own = F.try_element_at("cuts", F.col("category"))
-    return F.coalesce(own["cut"], F.lit(limit)), F.coalesce(own["ranks"], F.array().cast("array<int>"))
+    `wanted` has each category's first `limit` items that the user hasn't played (or all items),
+    `played` those played. The last rank wanted is where the limit is reached beyond the ranks played.
+    """
+    ranks = plays.join(cat.select("item_id", "category", "rank"), "item_id").groupBy("user_id", "category").agg(F.sort_array(F.collect_set("rank")).alias("ranks"))
+    per = users.select("user_id").crossJoin(F.broadcast(bases)).join(ranks, ["user_id", "category"], "left")  # a row a category
+    per = per.withColumn("ranks", F.coalesce("ranks", F.array().cast("array<int>")))
+    cut = F.aggregate("ranks", F.lit(limit), lambda at, r: F.when(r <= at, at + 1).otherwise(at))
+    per = per.withColumn("cut", F.least(F.col("size"), F.col("size") if include_played else cut))
+    words = F.sequence(F.lit(0), F.ceil(F.col("size") / WORD).cast("int") - 1)
+    one = lambda r: F.call_function("shiftleft", F.lit(1).cast("long"), (r - 1) % WORD)
+    played = F.transform(words, lambda w: F.aggregate(F.filter("ranks", lambda r: F.floor((r - 1) / WORD) == w), F.lit(0).cast("long"), lambda b, r: b.bitwiseOR(one(r))))
+    per = per.withColumn("played", played)
+    wanted = F.transform(words, lambda w: _first_bits(F.col("cut") - w * WORD).bitwiseAND(F.lit(-1).cast("long") if include_played else F.bitwise_not(F.get("played", w))))
+    per = per.withColumn("wanted", wanted)
+    whole = lambda c: F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("base", c))), lambda x: x[c])).alias(c)
+    return per.groupBy("user_id").agg(whole("wanted"), whole("played"))
 
 
-def _ranks(cuts: DataFrame, cat: DataFrame, limit: int, include_played: bool = False) -> DataFrame:
-    """Rows (user_id, category, rank) of each user's candidates, made from ranks: nothing is compared with the catalogue."""
-    sizes = F.broadcast(cat.groupBy("category").agg(F.max("rank").alias("size")))  # one row a category
-    cut, ranks = _own(limit)
-    every = F.sequence(F.lit(1), F.least(cut, F.col("size")))
-    if include_played:
-        return cuts.crossJoin(sizes).select("user_id", "category", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("rank"))
-    return cuts.crossJoin(sizes).select("user_id", "category", F.explode(F.array_except(every, ranks)).alias("rank"))
+def _places(bits: DataFrame) -> DataFrame:
+    """Rows (user_id, pos) of each user's candidates, made from the bits: nothing is compared with the catalogue."""
+    every = F.sequence(F.lit(0), F.size("wanted") * WORD - 1)
+    return bits.select("user_id", F.explode(F.filter(every, lambda p: _is_set("wanted", p))).alias("pos"))
 
 
 def candidates(users: DataFrame, items: DataFrame, plays: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """Rows (user_id, category, item_id): each user's first unplayed items of each category."""
-    cat = catalogue(items, plays, limit)
-    ranks = _ranks(user_cuts(users, plays, cat, limit), cat, limit)
-    return ranks.join(bounded(cat.select("item_id", "category", "rank")), ["category", "rank"]).select("user_id", "category", "item_id")
+    cat, bases = _placed(catalogue(items, plays, limit))
+    places = _places(user_bits(users, plays, cat, bases, limit))
+    return places.join(bounded(cat.select("item_id", "category", "pos"))[0], "pos").select("user_id", "category", "item_id")
 
 
 def score_parts(users: DataFrame, items: DataFrame, item_facets: DataFrame, plays: DataFrame, prefs: DataFrame, limit: int = CANDIDATES, include_played: bool = False) -> DataFrame:
@@ -100,32 +137,30 @@ def score_parts(users: DataFrame, items: DataFrame, item_facets: DataFrame, play
     numerators, of warm users), genre_max, actor_max, director_max, liked and seen. With
     include_played, all items of the catalogue stay (they carry `seen`).
 
-    Candidates are made from ranks. Hits of facets are kept only where they are candidates, before
+    Candidates are bits of a map by user. Hits of facets are kept only where a candidate's bit is set, before
     they are summed; both lie in the user's partition, so that one sum joins them without a shuffle.
     """
-    parts = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cat = catalogue(items, plays, limit)
-    known = item_facets.join(cat.select("item_id", "category", "rank"), "item_id").groupBy("category", "rank", "facet", "value").agg(F.count(F.lit(1)).alias("times"))
-    cuts = user_cuts(users, plays, cat, limit).join(warmth(users, plays), "user_id").repartition(parts, "user_id")
-    cut, ranks = _own(limit)
-    is_candidate = F.lit(True) if include_played else (F.col("rank") <= cut) & ~F.array_contains(ranks, F.col("rank"))
-    own = prefs.select("user_id", "facet", "value", "num").repartition(parts, "user_id").join(cuts.where("warm").select("user_id", "cuts").hint("shuffle_hash"), "user_id")
-    hits = own.join(bounded(known), ["facet", "value"]).where(is_candidate)
+    cat, bases = _placed(catalogue(items, plays, limit))
+    known = item_facets.join(cat.select("item_id", "pos"), "item_id").groupBy("pos", "facet", "value").agg(F.count(F.lit(1)).alias("times"))
+    known, cat = bounded(known, cat)
+    bits = user_bits(users, plays, cat, bases, limit, include_played).join(warmth(users, plays), "user_id").repartition("user_id")
+    own = prefs.select("user_id", "facet", "value", "num").repartition("user_id").join(bits.where("warm").select("user_id", "wanted").hint("shuffle_hash"), "user_id")
+    hits = own.join(known, ["facet", "value"]).where(_is_set("wanted", F.col("pos")))
     of = lambda facet: F.when(F.col("facet") == facet, F.col("num") * F.col("times")).otherwise(F.lit(0)).cast("long").alias(f"{facet}_num")
-    hits = hits.select("user_id", "category", "rank", of("genre"), of("actor"), of("director"))
+    hits = hits.select("user_id", "pos", of("genre"), of("actor"), of("director"))
     none = [F.lit(0).cast("long").alias(f"{facet}_num") for facet in ("genre", "actor", "director")]
-    every = hits.unionByName(_ranks(cuts, cat, limit, include_played).select("user_id", "category", "rank", *none))
-    sums = every.groupBy("user_id", "category", "rank").agg(*[F.sum(f"{facet}_num").alias(f"{facet}_num") for facet in ("genre", "actor", "director")])
+    every = hits.unionByName(_places(bits).select("user_id", "pos", *none))
+    sums = every.groupBy("user_id", "pos").agg(*[F.sum(f"{facet}_num").alias(f"{facet}_num") for facet in ("genre", "actor", "director")])
 
     top = lambda facet: F.max(F.when(F.col("facet") == facet, F.col("max_num"))).alias(f"{facet}_max")
     maxima = facet_maxima(prefs).groupBy("user_id").agg(top("genre"), top("actor"), top("director"))
     liked = user_collections(plays, items).groupBy("user_id").agg(F.collect_set("collection").alias("collections"))
-    about = cuts.join(maxima, "user_id", "left").join(liked, "user_id", "left")
+    about = bits.drop("wanted").join(maxima, "user_id", "left").join(liked, "user_id", "left")
     # a row a user is hashed, so that the many rows aren't sorted again
-    rows = sums.join(about.hint("shuffle_hash"), "user_id").join(bounded(cat), ["category", "rank"])
+    rows = sums.join(about.hint("shuffle_hash"), "user_id").join(cat, "pos")
     rows = rows.withColumn("liked", F.coalesce(F.array_contains("collections", F.col("collection")), F.lit(False)))
-    seen = F.array_contains(ranks, F.col("rank")) if include_played else F.lit(False)
-    return rows.withColumn("seen", seen).drop("cuts", "collections", "n_plays")
+    seen = _is_set("played", F.col("pos")) if include_played else F.lit(False)
+    return rows.withColumn("seen", seen).drop("played", "collections", "n_plays", "pos")
 
 
 def _music() -> Column:
@@ -157,18 +192,28 @@ def with_terms(parts: DataFrame, category_weights: DataFrame) -> DataFrame:
     )
 
 
+def _total(cold_draw: Column, draw: Column) -> Column:
+    """The terms in a fixed order."""
+    total = base_score(cold_draw)
+    for term in ("genre_part", "director_part", "actor_part", "collection_part"):
+        total = total + F.col(term)
+    return total - F.col("penalty") + draw * F.col("diversity")
+
+
 def score(seed: int, draw: int) -> Column:
     """The score in a fixed order of terms; draw 0 and 1 are independent (for the filter and the order)."""
     keys = F.col("user_id"), F.col("item_id")
-    total = base_score(uniform(seed, 2 * draw + 1, *keys))
-    for term in ("genre_part", "director_part", "actor_part", "collection_part"):
-        total = total + F.col(term)
-    return total - F.col("penalty") + uniform(seed, 2 * draw, *keys) * F.col("diversity")
+    return _total(uniform(seed, 2 * draw + 1, *keys), uniform(seed, 2 * draw, *keys))
+
+
+def reaches(seed: int, draw: int, least: Column) -> Column:
+    """Whether the score reaches a least one. Rows for which no draw matters aren't drawn: sums keep their order when rounded."""
+    return F.when(_total(F.lit(0.0), F.lit(0.0)) >= least, True).when(_total(F.lit(1.0), F.lit(1.0)) < least, False).otherwise(score(seed, draw) >= least)
 
 
 def qualify(rows: DataFrame, seed: int, single_draw: bool = False) -> DataFrame:
     """Rows with a path whose first draw reaches the category's least score, with the score to order by."""
-    kept = rows.where("path IS NOT NULL AND path <> ''").where(score(seed, 0) >= F.col("min_score"))
+    kept = rows.where("path IS NOT NULL AND path <> ''").where(reaches(seed, 0, F.col("min_score")))
     return kept.withColumn("score", score(seed, 0 if single_draw else 1))
 
 

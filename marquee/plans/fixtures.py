@@ -32,6 +32,12 @@ class Library:
     def __init__(self, spark: SparkSession, sf_dir: str, stream: bool = False):
         self.spark, self.sf_dir, self.stream = spark, sf_dir, stream
 
+    def snapshot(self, df: DataFrame, tag: str) -> DataFrame:
+        """The rows as a written table, which a run reads several times instead of deriving them anew."""
+        path = shared_path(self.spark, tag)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def table(self, name: str) -> DataFrame:
         path = f"{self.sf_dir}/{name}.parquet"
         found = self.spark.read.parquet(path)

@@ -84,8 +84,14 @@ def _weights(lib: Library) -> DataFrame:
     return scoring.weights_for(lib.categories(), lib.weights())
 
 
+def _inputs(lib: Library) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Facets, plays and preferences as a run finds them: tables, as of its start."""
+    facets, plays = lib.snapshot(_facets(lib), "facets"), lib.snapshot(lib.plays(), "plays")
+    return facets, plays, lib.snapshot(profile.accumulate(plays, facets, AS_OF), "preferences")
+
+
 def _parts(lib: Library) -> DataFrame:
-    return scoring.with_terms(scoring.score_parts(lib.users(), lib.items(), _facets(lib), lib.plays(), _prefs(lib)), _weights(lib))
+    return scoring.with_terms(scoring.score_parts(lib.users(), lib.items(), *_inputs(lib)), _weights(lib))
 
 
 def _top(lib: Library) -> DataFrame:
@@ -254,7 +260,7 @@ _sql("score_parts", "SELECT user_id, category, CAST(position AS INTEGER) AS posi
 @_query
 def top_n_exact(lib: Library) -> DataFrame:
     """The best of all unplayed items, not of the first 600."""
-    found = exact.recommend(lib.users(), lib.items(), _facets(lib), lib.plays(), _prefs(lib), _weights(lib), SEED)
+    found = exact.recommend(lib.users(), lib.items(), *_inputs(lib), _weights(lib), SEED)
     return found.select("user_id", "category", "position", "item_id", "score")
 
 
