@@ -27,24 +27,30 @@ def link_manifest(top: DataFrame, files: DataFrame, path: F.Column | None = None
     by = by or []
     item_path = F.col("path") if path is None else path
     rows = top.withColumn("root", target_folder()).withColumn("real_path", item_path)
-    inside = rows.where("is_folder").join(files, "item_id").withColumn("action", file_action(F.col("ext"), F.col("category") == "Music")).where("action IS NOT NULL")
+    # one pass over the list: items that are files match none of `files`
+    found = files.select(F.col("item_id").alias("of_item"), "rel_path", "file_name", "ext")
+    every = rows.where("is_folder IS NOT NULL").join(found, (F.col("item_id") == F.col("of_item")) & F.col("is_folder"), "left")
+    each = every.withColumn("action", F.when(F.col("is_folder"), file_action(F.col("ext"), F.col("category") == "Music")).otherwise("strm")).where("action IS NOT NULL")
     stem = F.regexp_replace("file_name", r"(?<=.)\.[^.]*$", "")
     made = F.when(F.col("action") == "strm", F.concat(stem, F.lit(".strm"))).otherwise(F.col("file_name"))
     below = F.nullif("rel_path", F.lit(""))
-    inside = inside.select("user_id", "category", *by, F.concat_ws("/", "root", below, made).alias("target"), F.concat_ws("/", "real_path", below, F.col("file_name")).alias("source"), "action")
-    single = rows.where("NOT is_folder").select("user_id", "category", *by, F.concat_ws("/", "root", F.concat(F.element_at(F.split("real_path", r"[/\\]"), -1), F.lit(".strm"))).alias("target"), F.col("real_path").alias("source"), F.lit("strm").alias("action"))
+    alone = F.concat_ws("/", "root", F.concat(F.element_at(F.split("real_path", r"[/\\]"), -1), F.lit(".strm")))
+    target = F.when(F.col("is_folder"), F.concat_ws("/", "root", below, made)).otherwise(alone)
+    source = F.when(F.col("is_folder"), F.concat_ws("/", "real_path", below, F.col("file_name"))).otherwise(F.col("real_path"))
+    each = each.select("user_id", "category", *by, target.alias("target"), source.alias("source"), "action")
     first = F.min(F.when(F.col("action") == "copy", F.col("source")))
-    return inside.unionByName(single).groupBy("user_id", "category", *by, "target", "action").agg(F.coalesce(first, F.max("source")).alias("source"), F.count(F.lit(1)).alias("n_sources"))
+    return each.groupBy("user_id", "category", *by, "target", "action").agg(F.coalesce(first, F.max("source")).alias("source"), F.count(F.lit(1)).alias("n_sources"))
 
 
 def sidecar_docs(top: DataFrame) -> DataFrame:
     """Rows (target, doc): album and artist documents of music; the first in rank writes, others don't."""
     music = top.where("category = 'Music'").withColumn("folder", target_folder())
     who, what = escape_xml(safe_name(artist(F.col("album_artist"), F.col("artists")))), escape_xml(safe_name(F.col("name")))
-    album = music.select(F.concat("folder", F.lit("/album.nfo")).alias("target"), F.concat(F.lit("<album><title>"), what, F.lit("</title><artist>"), who, F.lit("</artist></album>")).alias("doc"), "user_id", "position")
     parent = F.regexp_replace("folder", r"/[^/]*$", "")
-    person = music.select(F.concat(parent, F.lit("/artist.nfo")).alias("target"), F.concat(F.lit("<artist><name>"), who, F.lit("</name></artist>")).alias("doc"), "user_id", "position")
-    return album.unionByName(person).groupBy("target").agg(F.min_by("doc", F.struct("user_id", "position")).alias("doc"))
+    album = F.struct(F.concat("folder", F.lit("/album.nfo")).alias("target"), F.concat(F.lit("<album><title>"), what, F.lit("</title><artist>"), who, F.lit("</artist></album>")).alias("doc"))
+    person = F.struct(F.concat(parent, F.lit("/artist.nfo")).alias("target"), F.concat(F.lit("<artist><name>"), who, F.lit("</name></artist>")).alias("doc"))
+    each = music.select("user_id", "position", F.explode(F.array(album, person)).alias("made")).select("user_id", "position", "made.*")
+    return each.groupBy("target").agg(F.min_by("doc", F.struct("user_id", "position")).alias("doc"))
 
 
 def outputs(top: DataFrame, files: DataFrame, path: F.Column | None = None) -> tuple[DataFrame, DataFrame]:

@@ -143,8 +143,10 @@ def score_parts(users: DataFrame, items: DataFrame, item_facets: DataFrame, play
     cat, bases = _placed(catalogue(items, plays, limit))
     known = item_facets.join(cat.select("item_id", "pos"), "item_id").groupBy("pos", "facet", "value").agg(F.count(F.lit(1)).alias("times"))
     known, cat = bounded(known, cat)
-    bits = user_bits(users, plays, cat, bases, limit, include_played).join(warmth(users, plays), "user_id").repartition("user_id")
-    own = prefs.select("user_id", "facet", "value", "num").repartition("user_id").join(bits.where("warm").select("user_id", "wanted").hint("shuffle_hash"), "user_id")
+    # one number for both sides: where Spark sizes each at run time, later joins of the rows may find that they differ
+    parts = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = user_bits(users, plays, cat, bases, limit, include_played).join(warmth(users, plays), "user_id").repartition(parts, "user_id")
+    own = prefs.select("user_id", "facet", "value", "num").repartition(parts, "user_id").join(bits.where("warm").select("user_id", "wanted").hint("shuffle_hash"), "user_id")
     hits = own.join(known, ["facet", "value"]).where(_is_set("wanted", F.col("pos")))
     of = lambda facet: F.when(F.col("facet") == facet, F.col("num") * F.col("times")).otherwise(F.lit(0)).cast("long").alias(f"{facet}_num")
     hits = hits.select("user_id", "pos", of("genre"), of("actor"), of("director"))
