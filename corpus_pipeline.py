@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,15 +35,28 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.expr(x).alias(k) for k, x in KEY.items()]).alias("doc_id"), "text")
 
 
-def _bounded_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage, with the session's Arrow batches bounded. The setting stays, as the rows are made after the call."""
+#: The tables that this thread's last stage made on its way.
+_LAST: ContextVar[Scope | None] = ContextVar("last_stage", default=None)
 
-    @functools.wraps(stage)
+
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with the session's Arrow batches bounded, and without the tables of the stage before.
+
+    A stage's rows are made after the call, so its tables stay until the next stage is called in
+    this thread: by then its rows have been written, as the next one's docs.
+    """
+
+    @functools.wraps(work)
     def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         own = spark.conf.get(BATCH_SETTING).removesuffix("b")
         if not own.isdigit() or int(own) > BATCH_BYTES:
             spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
-        return stage(spark, docs, sf_dir)
+        if (before := _LAST.get()) is not None:
+            before.clear(spark)
+        with Scope() as made:
+            rows = work(spark, docs, sf_dir)
+        _LAST.set(made)
+        return rows
 
     return bounded
 
@@ -60,14 +74,14 @@ def _with(docs: DataFrame, found: DataFrame, decided: str) -> DataFrame:
     return keyed.alias("d").join(gone.alias("g"), on, "left_anti").select("row.*")
 
 
-@_bounded_batches
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, or with no clear language."""
     found = language_id.predict(_keyed(docs), language_id.learn(docs))
     return _with(docs, found, f"lang_pred != '{language_id.UNDETERMINED}' AND score >= {LEAST_SCORE}")
 
 
-@_bounded_batches
+@_stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts later copies of repeated line runs; a document goes if nothing but blank lines is left."""
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.col("text").isNull().alias("_no_text")).alias("others")
@@ -79,7 +93,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.select(*[own[c].alias(c) if c in own else F.col("others")[c].alias(c) for c in docs.columns])
 
 
-@_bounded_batches
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each near-duplicate group, that with the smallest doc_id; a null one comes last.
 
@@ -89,17 +103,18 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = lsh_forest.near_dedup(rows.select(F.col("row_no").alias("doc_id"), "row.text")).select(F.col("doc_id").alias("row_no"), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie", "row_no")
     kept = found.join(rows.select("row_no", "doc_id", "tie"), "row_no").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row_no")
-    return rows.join(settled(kept, "kept"), "row_no", "left_semi").select("row.*")
+    gone = found.select("row_no").join(settled(kept, "kept"), "row_no", "left_anti")  # far fewer than stay
+    return rows.join(settled(gone, "gone"), "row_no", "left_anti").select("row.*")
 
 
-@_bounded_batches
+@_stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark passages, by the share of their words."""
     found = decontamination.contamination(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), unnamed=True)
     return _with(docs, found, "NOT contaminated")
 
 
-@_bounded_batches
+@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes and decodes what is left."""
     return sentencepiece_codec.round_trip(docs, tokenizer_file("piece_bpe_32k.model"))
@@ -115,13 +130,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = Scope()
     for _, stage in STAGES[:-1]:
+        rows = stage(spark, docs, sf_dir)
         with Scope() as result:
             path = fresh_path(spark, "stage")
-        with Scope() as own:
-            rows = stage(spark, docs, sf_dir)
-            rows.write.parquet(path)
+        rows.write.parquet(path)
         docs = spark.read.schema(rows.schema).parquet(path)
-        own.clear(spark)
         before.clear(spark)
         before = result
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import dealt
-from .store import settled, written
+from .store import finished, settled, written
 from .text import pieces, spans_of, utf8
 
 #: A repeated run counts with this many lines, or if one line alone has this many words.
@@ -69,6 +69,21 @@ def _places(lines: DataFrame) -> DataFrame:
     return written(places.withColumns({"rank": F.col("line"), "open": F.lit(True), "fresh": F.lit(True)}), "places")
 
 
+def _doubled(every: DataFrame, depth: int) -> DataFrame:
+    """The places with ranks by twice as many lines; those that are unique or have ended stay as they are."""
+    last, about = (1 << 63) - 1, ["doc_id", "key", "at", "size", "words", "line", "left"]
+    ahead = every.select("key", (F.col("at") - depth).alias("at"), F.col("rank").alias("next"))
+    lone = F.col("next").isNull() & (F.col("at") + depth < F.col("size"))  # the line there is the only one of its kind, and sorts last
+    second = F.when(lone, F.lit(last)).otherwise(F.coalesce("next", F.lit(-1)))
+    pairs = every.where("open").join(ahead, ["key", "at"], "left").select(*about, "rank", second.alias("s1"), F.when(lone, F.col("key")).otherwise(F.lit(0)).alias("s2"), F.when(lone, F.col("at")).otherwise(F.lit(0)).alias("s3"))
+    pairs = written(pairs, "suffix-pairs")
+    order = ["rank", "s1", "s2", "s3"]
+    classes = dealt(pairs.groupBy(*order).agg(F.count(F.lit(1)).alias("n")), order, "run-classes", "n")
+    named = classes.join(classes.groupBy("rank").agg(F.min("before").alias("base")), "rank").select(*order, "n", (F.col("rank") + F.col("before") - F.col("base")).alias("new"))
+    now = pairs.join(named, order).select(*about, F.col("new").alias("rank"), ((F.col("n") > 1) & (F.col("s1") >= 0)).alias("open"), F.lit(True).alias("fresh"))
+    return now.unionByName(every.where("NOT open").withColumn("fresh", F.lit(False)))
+
+
 def suffix_array(lines: DataFrame) -> DataFrame:
     """Rows (doc_id, key, at, words, line, pos, lcp, maximal) of all places whose line occurs elsewhere.
 
@@ -78,19 +93,8 @@ def suffix_array(lines: DataFrame) -> DataFrame:
     """
     every, depth = _places(lines), 1
     levels = [(1, every.select("key", "at", "rank"))]
-    last = (1 << 63) - 1
-    about = ["doc_id", "key", "at", "size", "words", "line", "left"]
     while every.where("open").head(1):
-        ahead = every.select("key", (F.col("at") - depth).alias("at"), F.col("rank").alias("next"))
-        lone = F.col("next").isNull() & (F.col("at") + depth < F.col("size"))  # the line there is the only one of its kind, and sorts last
-        second = F.when(lone, F.lit(last)).otherwise(F.coalesce("next", F.lit(-1)))
-        pairs = every.where("open").join(ahead, ["key", "at"], "left").select(*about, "rank", second.alias("s1"), F.when(lone, F.col("key")).otherwise(F.lit(0)).alias("s2"), F.when(lone, F.col("at")).otherwise(F.lit(0)).alias("s3"))
-        pairs = written(pairs, "suffix-pairs")
-        order = ["rank", "s1", "s2", "s3"]
-        classes = dealt(pairs.groupBy(*order).agg(F.count(F.lit(1)).alias("n")), order, "run-classes", "n")
-        named = classes.join(classes.groupBy("rank").agg(F.min("before").alias("base")), "rank").select(*order, "n", (F.col("rank") + F.col("before") - F.col("base")).alias("new"))
-        now = pairs.join(named, order).select(*about, F.col("new").alias("rank"), ((F.col("n") > 1) & (F.col("s1") >= 0)).alias("open"), F.lit(True).alias("fresh"))
-        every = written(now.unionByName(every.where("NOT open").withColumn("fresh", F.lit(False))), "suffixes")
+        every = finished(lambda now=every, at=depth: _doubled(now, at), "suffixes", shuffles=False)
         depth *= 2
         levels.append((depth, every.where("fresh").select("key", "at", "rank")))
     array = written(dealt(every.drop("open", "fresh"), ["rank", "key", "at"], "suffix-order").withColumnRenamed("before", "pos"), "suffix-array")
@@ -177,10 +181,15 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LO
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep).withColumn("key", F.xxhash64("doc_id", "text"))
     lines = keyed.select("doc_id", "text", "key").mapInArrow(_lines, f"doc_id {kind}, key long, at long, size long, n1 long, n2 long, words long")
+    gone = finished(lambda: _gone(lines, min_lines, long_words), "lines-gone")
+    cut = keyed.join(gone.hint("merge"), "key", "left").select("doc_id", "text", *keep, "gone")
+    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return cut.mapInArrow(_cut, f"doc_id {kind}, text string, {kinds}kept_text string, n_lines long, n_removed long, n_runs long").drop("text")
+
+
+def _gone(lines: DataFrame, min_lines: int, long_words: int) -> DataFrame:
+    """Rows (key, gone): the places of the lines that go."""
     array = suffix_array(lines)
     gone = _later(array.where(F.col("words") >= long_words), "line")  # the intervals of depth 1 are those of equal lines
     gone = gone.unionByName(later_copies(array, min_lines).select("key", F.explode(F.sequence("at", F.col("at") + min_lines - 1)).alias("at")))
-    gone = gone.groupBy("key").agg(F.collect_set("at").alias("gone"))
-    cut = keyed.join(gone, "key", "left").select("doc_id", "text", *keep, "gone")
-    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return cut.mapInArrow(_cut, f"doc_id {kind}, text string, {kinds}kept_text string, n_lines long, n_removed long, n_runs long").drop("text")
+    return gone.groupBy("key").agg(F.collect_set("at").alias("gone"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .ordering import dealt
-from .store import settled, written
+from .store import finished, settled, written
 from .text import hash_spans, mix, pieces, spans_of, utf8
 
 #: Trees, the depth that makes a region, and the deeper signature bytes that order it.
@@ -215,19 +215,8 @@ def _across(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     return few.unionByName(many).distinct()
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept), one for each row of `docs`.
-
-    Sets of equal shingles are one class from the start, so copies cost one row. A null or
-    empty text has no shingles and links with nothing. Rows that repeat a doc_id are one
-    document with the links of all its texts; a row with a null doc_id is never linked and is
-    kept. Other columns are ignored; an empty table gives no rows. Texts of any length are
-    read whole. Within a region the work is linear in its rows, but for texts that share
-    large regions without being linked: where the bound can't exclude them, their pairs are compared.
-    """
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(given.mapInArrow(_signatures, "doc_id long, n_shingles long, set_hash binary, signature binary"), "signatures")
-    known = rows.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
+def _named(given: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (set_hash, component_id): the component of each distinct set."""
     # classes are numbered by their smallest doc_id: the least number of a component is that of its smallest document
     classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = written(dealt(classes, ["doc_id", "set_hash"], "sorted-classes").withColumnRenamed("before", "id"), "classes")
@@ -237,7 +226,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     shared = settled(shared, "shared-regions")
     members = written(trees.join(shared, "region"), "regions")
     linked = settled(classes.select("id", "doc_id", "set_hash").join(members.select("id").distinct(), "id", "left_semi"), "linked-classes")
-    found = given.join(linked.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set_hash binary, shingles array<long>")
+    found = given.join(linked.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set_hash binary, shingles array<long>")
     sets = found.join(linked, ["doc_id", "set_hash"]).groupBy("id").agg(F.first("shingles").alias("shingles"))
     sets = written(sets, "sets")
     central = settled(members.groupBy("id").agg(F.sum("size").alias("central")), "central")
@@ -257,7 +246,23 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         merged = written(components(more), "merged").select(F.col("id").alias("component"), F.col("component").alias("merged"))
         named = named.join(merged, "component", "left").select("set_hash", F.coalesce("merged", "component").alias("component"))
     least = classes.select(F.col("id").alias("component"), F.col("doc_id").alias("component_id"))
-    named = settled(named.join(least, "component").select("set_hash", "component_id"), "classes-named")
+    return named.join(least, "component").select("set_hash", "component_id")
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id, kept), one for each row of `docs`.
+
+    Sets of equal shingles are one class from the start, so copies cost one row. A null or
+    empty text has no shingles and links with nothing. Rows that repeat a doc_id are one
+    document with the links of all its texts; a row with a null doc_id is never linked and is
+    kept. Other columns are ignored; an empty table gives no rows. Texts of any length are
+    read whole. Within a region the work is linear in its rows, but for texts that share
+    large regions without being linked: where the bound can't exclude them, their pairs are compared.
+    """
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = written(given.mapInArrow(_signatures, "doc_id long, n_shingles long, set_hash binary, signature binary"), "signatures")
+    known = rows.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
+    named = finished(lambda: _named(given, known), "classes-named")
     linked = known.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash").select("doc_id", "n_shingles", "component_id")
     alone = rows.where("set_hash IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextvars import ContextVar, Token
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,13 +43,30 @@ class Scope:
     def __exit__(self, *_) -> None:
         _SCOPE.reset(self._before)
 
-    def clear(self, spark: SparkSession) -> None:
-        """Delete the scope's tables; results that still read them must have been saved."""
+    def clear(self, spark: SparkSession, shuffles: bool = True) -> None:
+        """Delete the scope's tables, and the shuffle files of what is no longer used; results that still read them must have been saved."""
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         gone, self.tables = self.tables, []
         for table in gone:
             path = jvm.org.apache.hadoop.fs.Path(table)
             path.getFileSystem(conf).delete(path, True)
+        if gone and shuffles:
+            gc.collect()
+            jvm.System.gc()  # shuffle files go when what made them is collected
+
+
+def finished(df_of: Callable[[], DataFrame], tag: str, shuffles: bool = True) -> DataFrame:
+    """What df_of() gives as a written table; the tables that it made on the way are deleted."""
+    with Scope() as own:
+        df = df_of()
+        path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+    if (scope := _SCOPE.get()) is not None:
+        scope.tables.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    own.clear(out.sparkSession, shuffles)
+    return out
 
 
 _SCOPE: ContextVar[Scope | None] = ContextVar("marquee_tables", default=None)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import settled, written
+from .store import finished, settled, written
 from .text import flat_index, mix, pieces, utf8
 
 #: Bytes of a string, of the core at a trigger, and of the rolling hash.
@@ -325,17 +325,8 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept_bytes"])
 
 
-def substring_dedup(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_bytes, spans, kept_bytes), one for each row of `docs`.
-
-    spans are the maximal runs of bytes that some 400-byte string covers which also starts
-    elsewhere in the table, in the same text or another; kept_bytes are the others in a row
-    (a run may cut a character of several bytes). Null is an empty text, and texts of fewer
-    than 400 bytes are kept whole. Rows with an equal doc_id are told apart by their texts, and
-    equal rows remove each other. Other columns are ignored; an empty table gives no rows.
-    """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+def _ranges(keyed: DataFrame) -> DataFrame:
+    """Rows (key, ranges): the ranges of repeated strings of each text, not yet merged."""
     parsed = keyed.select("key", "text").mapInArrow(_parse, "core long, s1 long, s2 long, key long, place long")
     shared = parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
     shared = settled(shared, "shared-cores")
@@ -364,5 +355,19 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     found = pairs.where("alone").join(again, pair).select("key", (trigger - F.col("high")).alias("from"), (trigger - F.col("low") + LENGTH).alias("to"))
     first = F.shiftright("place", 20)
     whole = known.where("NOT alone").select("key", first.alias("from"), (first + F.col("place").bitwiseAND(1023) + LENGTH).alias("to"))
-    ranges = whole.unionByName(found).groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
+    return whole.unionByName(found).groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
+
+
+def substring_dedup(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, n_bytes, spans, kept_bytes), one for each row of `docs`.
+
+    spans are the maximal runs of bytes that some 400-byte string covers which also starts
+    elsewhere in the table, in the same text or another; kept_bytes are the others in a row
+    (a run may cut a character of several bytes). Null is an empty text, and texts of fewer
+    than 400 bytes are kept whole. Rows with an equal doc_id are told apart by their texts, and
+    equal rows remove each other. Other columns are ignored; an empty table gives no rows.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    ranges = finished(lambda: _ranges(keyed), "ranges")
     return keyed.join(ranges, "key", "left").select("key", "doc_id", "text", "ranges").mapInArrow(_removed, f"doc_id {kind}, n_bytes long, spans array<struct<from: long, to: long>>, kept_bytes binary")

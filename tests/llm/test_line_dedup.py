@@ -80,3 +80,15 @@ def test_blocks_of_the_suffix_array_join(spark, monkeypatch):
     table = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: (r.kept_text, r.n_lines, r.n_removed, r.n_runs) for r in L.line_dedup(table, 2).collect()}
     assert got == brute(docs, 2, 50)
+
+
+def test_texts_beyond_a_piece(spark):
+    """Runs of lines in texts of more than a megabyte: later copies go, also within one text."""
+    rnd = random.Random(2)
+    line = lambda k: f"line {k} " + " ".join(f"w{rnd.randrange(9999)}" for _ in range(18))
+    own = [[line(f"{d}.{k}") for k in range(12_000)] for d in range(2)]
+    shared = [line(f"s.{k}") for k in range(40)]
+    texts = ["\n".join(own[0][:6000] + shared + own[0][6000:] + shared), "\n".join(shared + own[1])]
+    assert all(len(t) > 1 << 20 for t in texts)
+    got = {r.doc_id: (r.kept_text, r.n_removed, r.n_runs) for r in L.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ("\n".join(own[0][:6000] + shared + own[0][6000:]), 40, 1), 1: ("\n".join(own[1]), 40, 1)}

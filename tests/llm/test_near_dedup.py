@@ -119,3 +119,15 @@ def test_texts_of_one_document_are_linked(spark):
 
 def test_empty(spark):
     assert lsh_forest.near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_beyond_a_piece(spark):
+    rnd = random.Random(1)
+    words = [f"w{rnd.randrange(60_000)}" for _ in range(220_000)]
+    near = list(words)
+    for i in range(0, len(near), 400):
+        near[i] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[::-1])), (4, " ".join(words).upper())]
+    assert all(len(t) > 1 << 20 for _, t in rows)
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in lsh_forest.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (3 if i == 3 else 1, len(shingles(t))) for i, t in rows}

@@ -81,7 +81,7 @@ def test_repeated_and_null_ids_have_decisions_of_their_own(spark, tmp_path):
 
 def test_empty_tables_clashing_columns_and_long_texts(spark, tmp_path):
     rows, text = made()
-    long = text("xx", 150_000)
+    long = text("xx", 230_000)
     clash = {c: "kept" for c in ("others", "row", "key1", "id", "tie", "row_no", "n_removed", "kept_text", "n_lines", "component_id", "lang_pred", "score", "contaminated", "letters", "part")}
     kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clash)
     table = [(i, t, g, "s", len(t), *clash.values()) for i, t, g in [*rows[:60], (900, long, "xx"), (901, long, "xx")]]
@@ -91,6 +91,7 @@ def test_empty_tables_clashing_columns_and_long_texts(spark, tmp_path):
         spark.createDataFrame(own, kind).write.parquet(f"{folder}/documents.parquet")
         spark.read.parquet(f"{tmp_path}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
         docs = spark.read.parquet(f"{folder}/documents.parquet")
+        assert len(long.encode()) > 1 << 20  # more than the pieces that tasks work on
         for _, stage in P.STAGES[:-1]:
             docs = written(stage(spark, docs, str(folder)), "stage")
             assert docs.dtypes == spark.read.parquet(f"{folder}/documents.parquet").dtypes
