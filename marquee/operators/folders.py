@@ -1,7 +1,9 @@
 """Files under items, owners of output folders, and what a run changes in them.
 
 Paths meet by their ancestors: a folder's prefixes are exploded once for each folder, not for
-each file, and meet item paths in an equi-join. Users whose safe names are equal share a folder;
+each file, and meet item paths in an equi-join. Both sides grow with the library and are
+hinted to meet by a shuffle: by the size of their files Spark would take them as small enough
+to broadcast, and the driver would build a table of all paths. Users whose safe names are equal share a folder;
 the last one served owns it whole, and a run emits only the targets that differ from the state
 before.
 """
@@ -42,6 +44,7 @@ def files_under_items(files: DataFrame, items: DataFrame, deepest: bool = True)
     placed = files.where("path IS NOT NULL").select(plain_path(F.col("path")).alias("path"), "file_name", "ext")
     placed = placed.withColumn("folder", F.regexp_replace("path", r"/[^/]*$", ""))
     roots = items.where("path IS NOT NULL AND path <> ''").select("item_id", plain_path(F.col("path")).alias("root"))
+    roots = roots.hint("merge")
     own = placed.join(roots, F.col("path") == F.col("root")).select("item_id", F.lit("").alias("rel_path"), "file_name", "ext")
     rest = placed.join(roots, F.col("path") == F.col("root"), "left_anti") if deepest else placed
     above = rest.select("folder").distinct().select("folder", F.explode(_prefixes(F.col("folder"))).alias("root")).join(roots, "root")
@@ -49,7 +52,7 @@ def files_under_items(files: DataFrame, items: DataFrame, deepest: bool = True)
         depth = F.max(F.length("root")).over(Window.partitionBy("folder"))  # a folder's few ancestors
         above = above.withColumn("depth", depth).where(F.length("root") == F.col("depth"))
     rel = F.substring(F.col("folder"), F.length("root") + 2, F.length("folder"))
-    below = rest.join(above.select("folder", "item_id", rel.alias("rel_path")), "folder").select("item_id", "rel_path", "file_name", "ext")
+    below = rest.join(above.select("folder", "item_id", rel.alias("rel_path")).hint("merge"), "folder").select("item_id", "rel_path", "file_name", "ext")
     return below.unionByName(own)
 
 
@@ -65,7 +68,7 @@ def folder_owners(users: DataFrame, served: DataFrame) -> DataFrame:
     `served` has the pairs (user_id, category) with candidates. Of several users of one folder
     the last by ordinal (then by id) owns it, also if nothing qualified for them: they empty it.
     """
-    pairs = served.select("user_id", "category").distinct().join(user_folder(users), "user_id")
+    pairs = served.select("user_id", "category").distinct().join(user_folder(users).hint("merge"), "user_id")
     last = F.max(F.struct("ordinal", "user_id", "user_name")).alias("last")
     return pairs.groupBy("folder", "category").agg(last).select("folder", "category", "last.user_id", "last.user_name")
 
@@ -78,13 +81,13 @@ def owned_targets(top: DataFrame, owners: DataFrame, files: DataFrame, path: Col
     target the later in the list wins, for copies and documents the first; of several files of an item that
     last by path, or for copies the first. A document wins over a copied file.
     """
-    lists = top.drop("user_name").join(owners, ["user_id", "category"])
+    lists = top.drop("user_name").join(owners.hint("merge"), ["user_id", "category"])
     docs = sidecar_docs(lists).select("target", F.lit("write").alias("action"), F.lit(None).cast("string").alias("source"), "doc")
     rows = link_manifest(lists, files, path, by=["position"])
     first = F.col("action") == "copy"
     order = F.when(first, -F.col("position")).otherwise(F.col("position"))
     links = rows.groupBy("target").agg(F.max_by(F.struct("action", "source"), order).alias("won")).select("target", "won.action", "won.source", F.lit(None).cast("string").alias("doc"))
-    links = links.join(docs.select("target"), "target", "left_anti")
+    links = links.join(docs.select("target").hint("merge"), "target", "left_anti")
     parts = F.split("target", "/")
     return links.unionByName(docs).select(parts[0].alias("folder"), parts[1].alias("category"), "target", "action", "source", "doc")
 
@@ -95,7 +98,7 @@ def target_changes(new: DataFrame, old: DataFrame, owners: DataFrame) -> DataFra
     Only folders that the run writes (`owners`) lose targets; others stay as they are. The same
     run again changes nothing.
     """
-    mine = old.join(owners.select("folder", "category"), ["folder", "category"], "left_semi")
+    mine = old.join(owners.select("folder", "category").hint("merge"), ["folder", "category"], "left_semi")
     a, b = new.select(F.struct(*new.columns).alias("n"), F.col("target")), mine.select(F.struct(*new.columns).alias("o"), F.col("target"))
     both = a.join(b, "target", "full")
     what = lambda side: F.struct(f"{side}.action", f"{side}.source", f"{side}.doc")
@@ -105,5 +108,5 @@ def target_changes(new: DataFrame, old: DataFrame, owners: DataFrame) -> DataFra
 
 def with_changes(old: DataFrame, changes: DataFrame) -> DataFrame:
     """The state after the changes; applying them again gives the same state."""
-    kept = old.join(changes.select("target"), "target", "left_anti")
+    kept = old.join(changes.select("target").hint("merge"), "target", "left_anti")
     return kept.unionByName(changes.where("change <> 'delete'").drop("change"))

@@ -22,6 +22,19 @@ def test_files_belong_to_the_deepest_item(spark):
     assert under(spark, paths, []) == set() == under(spark, [], items)
 
 
+@pytest.mark.parametrize("deepest", [True, False])
+def test_files_and_items_are_never_broadcast(spark, deepest):
+    files = spark.createDataFrame([("/m/show/a.mkv", "a.mkv", "mkv")], "path string, file_name string, ext string")
+    found = folders.files_under_items(files, spark.createDataFrame([(1, "/m/show")], "item_id long, path string"), deepest)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_manifest_broadcasts_no_files(spark):
+    files = spark.createDataFrame([(1, "", "a.mkv", "mkv")], "item_id long, rel_path string, file_name string, ext string")
+    lists = spark.createDataFrame([(1, "Ann", "Movies", 1, "One", "/m/one", "", ["Z"], True)], "user_id long, user_name string, category string, item_id long, name string, path string, album_artist string, artists array<string>, is_folder boolean")
+    assert "Broadcast" not in manifest.link_manifest(lists, files)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_inventory_of_a_folder_to_manifest(spark, tmp_path):
     for name in ("films/One/One.mkv", "films/One/extras/e.mp4", "films/One/poster.JPG", "films/Two/Two.avi", "stray.mkv"):
         os.makedirs(os.path.dirname(tmp_path / name), exist_ok=True)
