@@ -1,9 +1,11 @@
+import datetime
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from marquee.operators import folders, manifest
+from marquee.plans.fixtures import Library
 from marquee.sources import readers
 
 
@@ -111,3 +113,14 @@ def test_plan_joins_folders_not_files(spark):
     found = folders.files_under_items(files, items)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and found.count() == 1000
+
+
+def test_lists_of_items_with_ids_above_a_million(spark, tmp_path):
+    tables = {
+        "part": ([(1, "a b", "SMALL X", 5, "B1"), (1_000_001, "c d", "SMALL X", 5, "B1")], "p_partkey long, p_name string, p_type string, p_size int, p_brand string"),
+        "orders": ([(1, 7, "O", datetime.datetime(2000, 1, 1)), (2, 8, "O", datetime.datetime(2000, 1, 1))], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp"),
+        "lineitem": ([(1, 1, 1, 1), (2, 1_000_001, 1, 1)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"),
+    }
+    for name, (rows, kind) in tables.items():
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert {(r.user_id, r.item_id, r.position) for r in Library(spark, str(tmp_path)).play_lists().collect()} == {(7, 1, 1), (8, 1_000_001, 1)}
