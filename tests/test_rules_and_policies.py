@@ -35,6 +35,17 @@ def test_rules_like_the_first_match(spark):
         S.resolve_by_rules(F.col("path"), [(k, f"p{k}", "") for k in range(S.MOST_RULES + 1)])
 
 
+@pytest.mark.parametrize("most", [0, 3, 1000])
+def test_rules_of_one_prefix_count_once(spark, monkeypatch, most):
+    monkeypatch.setattr(S, "MOST_SHARED", most)
+    rules = [(k, p, f"<{k}>") for k in range(40) for p in ("/a", "/a/b", "/c")] + [(50, "/a/b/long", "<long>"), (-1, "/a/b/c", "<c>")]
+    table = spark.createDataFrame([(i, p) for i, p in enumerate(["/a/b/c", "/a", "/a/b/long/x", "/d"])], "item_id long, path string")
+    kept = S.first_rules(spark.createDataFrame(rules, "ordinal long, prefix string, replacement string"))
+    assert {tuple(r) for r in kept.collect()} == {(0, "/a", "<0>"), (0, "/a/b", "<0>"), (0, "/c", "<0>"), (50, "/a/b/long", "<long>"), (-1, "/a/b/c", "<c>")}
+    found = {r.path: r.resolved for r in S.resolve_by_table(table, spark.createDataFrame(rules, "ordinal long, prefix string, replacement string")).collect()}
+    assert found == {"/a/b/c": "<c>", "/a": "<0>", "/a/b/long/x": "<0>/b/long/x", "/d": "/d"}
+
+
 def rows(state):
     return {r.user_id: (r.folders, r.seq) for r in state.collect()}
 
