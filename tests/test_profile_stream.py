@@ -49,3 +49,25 @@ def test_tenths():
     day = P.DAY
     assert [P.tenths_at(0, a * day - b) for a, b in ((30, 1), (30, 0), (90, 1), (90, 0), (365, 1), (365, 0))] == [15, 10, 10, 6, 6, 3]
     assert P.tenths_at(None, 5) == 7 and P.tenths_at(9 * day, 0) == 15
+
+
+def test_a_user_waits_for_one_fall_at_a_time():
+    from types import SimpleNamespace as N
+
+    from marquee.streaming.profiles import DAY, Profiles
+
+    class State:
+        kept = None
+        exists = lambda self: self.kept is not None
+        get = lambda self: self.kept
+
+        def update(self, kept):
+            self.kept = kept
+
+    timers, times = [], N(getCurrentWatermarkInMs=lambda: 100 * DAY)
+    user = Profiles()
+    user.handle, user.state = N(registerTimer=timers.append), State()
+    plays = [N(item_id=i, last=(90 + i) * DAY, facets=[{"facet": "genre", "value": "x", "weight": 1}]) for i in range(5)]
+    assert [r.num for r in user.handleInputRows((1,), iter(plays), times)] == [75] and timers == [120 * DAY]
+    late = N(getCurrentWatermarkInMs=lambda: 122 * DAY)
+    assert [r.num for r in user.handleExpiredTimer((1,), late, N(getExpiryTimeInMs=lambda: 120 * DAY))] == [60] and timers == [120 * DAY, 123 * DAY]
