@@ -27,8 +27,8 @@ TREES, DEPTH, DEEPER = 32, 3, 8
 NEIGHBOURS = 2
 #: Leaves of the forest: regions up to this size give all their pairs, a bounded number for each text.
 LEAF = 16
-#: Words of 64 bits in a bit map of a difference.
-BIT_WORDS = 8
+#: Words of 64 bits in a bit map of a difference, and in one of all that a pivot's texts outside its component add.
+BIT_WORDS, ADDED_WORDS = 8, 1024
 WORDS, PERCENT = 5, 75
 _ROWS = TREES * DEPTH
 _A = mix(np.arange(1, _ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
@@ -158,11 +158,15 @@ def _hubs(members: DataFrame) -> DataFrame:
     return best.select("id", (-F.col("hub.id")).alias("partner")).select(_ordered("id", "partner"))
 
 
+def _one(s: F.Column) -> F.Column:
+    """A hash's bit in its word."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), s.bitwiseAND(63).cast("int"))
+
+
 def _bits(column: str) -> list[F.Column]:
     """Bit maps of an array of hashes, in words of 64 bits."""
     word = lambda s: F.shiftright(s, 6).bitwiseAND(BIT_WORDS - 1)
-    one = lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), s.bitwiseAND(63).cast("int"))
-    put = lambda k: lambda bits, s: F.when(word(s) == k, bits.bitwiseOR(one(s))).otherwise(bits)
+    put = lambda k: lambda bits, s: F.when(word(s) == k, bits.bitwiseOR(_one(s))).otherwise(bits)
     return [F.aggregate(column, F.lit(0).cast("long"), put(k)).alias(f"{column}_{k}") for k in range(BIT_WORDS)]
 
 
@@ -172,12 +176,30 @@ def _common(column: str, size: str) -> list[F.Column]:
     return [F.col(f"x_{size}") - own("x", "y"), F.col(f"y_{size}") - own("y", "x")]
 
 
+def _met(relation: DataFrame) -> DataFrame:
+    """Rows (id, main, met): the added shingles that a text outside the pivot's component may add too.
+
+    Every pair has such a text, so no other shingle is shared in any. Those of texts outside are
+    kept whole; those of the main component, however many it has, only where their bit is set.
+    """
+    outside = relation.where("outside").select("main", F.explode("added").alias("s"))
+    part = lambda s: F.shiftright(s, 11).bitwiseAND(ADDED_WORDS // 32 - 1).cast("int")
+    word = lambda s: F.shiftright(s, 6).bitwiseAND(31).cast("int")
+    words = outside.groupBy("main", part(F.col("s")).alias("part"), word(F.col("s")).alias("word")).agg(F.bit_or(_one(F.col("s"))).alias("bits"))
+    parts = words.groupBy("main", "part").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bits"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda w: F.coalesce(F.try_element_at("bits", w), F.lit(0)))
+    maps = parts.groupBy("main").agg(F.map_from_entries(F.collect_list(F.struct("part", dense.alias("bits")))).alias("bits"))  # ADDED_WORDS at most
+    maps = settled(maps, "added-outside")
+    is_set = lambda s: F.get(F.try_element_at("bits", part(s)), word(s)).bitwiseAND(_one(s)) != 0
+    return relation.join(maps, "main").select("id", "main", F.filter("added", is_set).alias("met"))
+
+
 def _across(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) that share regions, lie in different components and may be linked.
 
     In a leaf every such pair counts. A larger region has a pivot, the most central text of its
     main component, and each text is known by its difference from the pivot: shingles that it
-    lacks, that it adds, and that no other text of the pivot's regions adds, as numbers and as
+    lacks, that it adds, and that no text it may be compared with adds, as numbers and as
     bit maps of their hashes. The size of the difference between two texts is at least what
     these counts leave, and pairs whose bound excludes a link aren't formed.
     """
@@ -197,13 +219,15 @@ def _across(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
 
     large = rows.where(F.col("size") > LEAF)
     pivots = large.where("component = main").groupBy("main").agg(F.max(F.struct("central", (-F.col("id")).alias("id"))).alias("p")).select("main", (-F.col("p.id")).alias("pivot"))
-    relation = written(large.select("id", "main").distinct().join(settled(pivots, "pivots"), "main"), "texts-and-pivots")
+    relation = written(large.select("id", "main", (F.col("component") != F.col("main")).alias("outside")).distinct().join(settled(pivots, "pivots"), "main"), "texts-and-pivots")
     relation = relation.join(sets.withColumnRenamed("shingles", "x"), "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("p")), "pivot")
-    relation = relation.select("id", "main", F.array_except("p", "x").alias("lacked"), F.array_except("x", "p").alias("added"))
-    relation = written(relation.select("id", "main", "added", F.size("lacked").alias("lacks"), *_bits("lacked"), *_bits("added")), "differences")
-    alone = relation.select("id", "main", F.explode("added").alias("shingle")).groupBy("main", "shingle").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id")).where("n = 1").groupBy("main", "id").agg(F.count(F.lit(1)).alias("alone"))
+    relation = relation.select("id", "main", "outside", F.array_except("p", "x").alias("lacked"), F.array_except("x", "p").alias("added"))
+    relation = written(relation.select("id", "main", "outside", "added", F.size("lacked").alias("lacks"), *_bits("lacked"), *_bits("added")), "differences")
+    met = written(_met(relation), "met")
+    alone = met.select("id", "main", F.explode("met").alias("shingle")).groupBy("main", "shingle").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id")).where("n = 1").groupBy("main", "id").agg(F.count(F.lit(1)).alias("alone"))
     bits = [f"{c}_{k}" for c in ("lacked", "added") for k in range(BIT_WORDS)]
-    counts = relation.select("id", "main", "lacks", F.size("added").alias("adds"), *bits).join(alone, ["main", "id"], "left").withColumn("shared", F.col("adds") - F.coalesce("alone", F.lit(0)))
+    met = met.select("id", "main", F.size("met").alias("met"))
+    counts = relation.select("id", "main", "lacks", F.size("added").alias("adds"), *bits).join(met, ["main", "id"]).join(alone, ["main", "id"], "left").withColumn("shared", F.col("met") - F.coalesce("alone", F.lit(0)))
     # by pivot instead of by region, so that a pair which shares many regions is formed once
     each = written(large.select(F.col("main").alias("region"), "main", "id", "n_shingles", "component").distinct(), "pivot-members")
     counts = settled(counts, "difference-counts")

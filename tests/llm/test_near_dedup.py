@@ -131,3 +131,15 @@ def test_texts_beyond_a_piece(spark):
     assert all(len(t) > 1 << 20 for _, t in rows)
     got = {r.doc_id: (r.component_id, r.n_shingles) for r in lsh_forest.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: (3 if i == 3 else 1, len(shingles(t))) for i, t in rows}
+
+
+def test_only_shingles_that_texts_outside_add_meet(spark):
+    """A row for each shingle that any of many copies adds was made, though pairs need a text outside the pivot's component."""
+    rnd = random.Random(3)
+    hashes = lambda n: [rnd.getrandbits(64) - 2**63 for _ in range(n)]
+    common, own = hashes(2), hashes(20)
+    rows = [(i, 1, False, common + own[:1] * (i == 5) + hashes(30)) for i in range(500)] + [(900, 1, True, common + own), (901, 1, True, [])]
+    got = {r.id: r.met for r in lsh_forest._met(spark.createDataFrame(rows, "id long, main long, outside boolean, added array<long>")).collect()}
+    assert len(got) == len(rows) and got[900] == common + own and got[901] == []
+    assert all(set(common) <= set(got[i]) for i in range(500)) and own[0] in got[5]
+    assert sum(map(len, got.values())) < 1500  # of 16,021
