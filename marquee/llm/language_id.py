@@ -8,6 +8,7 @@ mean marginal over all of its words.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,12 +61,23 @@ def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS, longest: int = SAMPLE_BYTE
     order = Window.partitionBy("lang").orderBy("long", "draw")
     drawn = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= texts).withColumn("sum", F.sum("size").over(order)).where((F.col("sum") <= most) | (F.col("k") == 1)).select("lang", "draw", "long")
     whole = fit.join(F.broadcast(drawn), ["lang", "draw", "long"]).select("lang", "draw", F.when(F.col("size") <= most, F.col("text")).otherwise(F.substring("text", 1, most // 4)).alias("text"))
-    sample = whole.distinct().orderBy("lang", "draw", "text").select("lang", "text").collect()
+    one = whole.distinct().repartition(1).sortWithinPartitions("lang", "draw", "text").select("lang", "text")  # the bounded sample
+    fitted = one.mapInArrow(_fitted, "model binary").first()
+    return pickle.loads(fitted.model) if fitted else CRF.blank([])
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of a whole sample, fitted in a task: its words and gradients take no memory of the driver."""
 
     def spans(data: np.ndarray):
         return spans_of(_LETTER[data], np.array([0, len(data)]))[:2]
 
-    return train([bytes(_LOWER[np.frombuffer(r.text.encode(), np.uint8)]) for r in sample], [r.lang for r in sample], spans)
+    texts, langs = [], []
+    for batch in batches:
+        texts += [bytes(_LOWER[np.frombuffer(t.encode(), np.uint8)]) for t in batch.column("text").to_pylist()]
+        langs += batch.column("lang").to_pylist()
+    if texts:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, langs, spans))], pa.binary())], ["model"])
 
 
 def _scorer(model: CRF, version: str) -> ChunkCoder:
