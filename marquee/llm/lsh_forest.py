@@ -29,6 +29,8 @@ NEIGHBOURS = 2
 LEAF = 16
 #: Words of 64 bits in a bit map of a difference, and in one of all that a pivot's texts outside its component add.
 BIT_WORDS, ADDED_WORDS = 8, 1024
+#: Up to so many added shingles their bit map tells texts apart; beyond, those that no other text adds are counted too.
+CROWDED = BIT_WORDS * 64 // 4
 WORDS, PERCENT = 5, 75
 _ROWS = TREES * DEPTH
 _A = mix(np.arange(1, _ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
@@ -194,14 +196,25 @@ def _met(relation: DataFrame) -> DataFrame:
     return relation.join(maps, "main").select("id", "main", F.filter("added", is_set).alias("met"))
 
 
+def _shared(relation: DataFrame) -> DataFrame:
+    """Rows (main, id, shared) of texts that add more than CROWDED shingles: how many of them another such text may add too.
+
+    Only these have a row for each added shingle. It bounds pairs of two such texts only.
+    """
+    met = written(_met(relation.where(F.size("added") > CROWDED)), "met")
+    alone = met.select("id", "main", F.explode("met").alias("shingle")).groupBy("main", "shingle").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id")).where("n = 1").groupBy("main", "id").agg(F.count(F.lit(1)).alias("alone"))
+    return met.join(alone, ["main", "id"], "left").select("main", "id", (F.size("met") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
 def _across(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) that share regions, lie in different components and may be linked.
 
     In a leaf every such pair counts. A larger region has a pivot, the most central text of its
     main component, and each text is known by its difference from the pivot: shingles that it
-    lacks, that it adds, and that no text it may be compared with adds, as numbers and as
-    bit maps of their hashes. The size of the difference between two texts is at least what
-    these counts leave, and pairs whose bound excludes a link aren't formed.
+    lacks and that it adds, as numbers and as bit maps of their hashes, and where these fill
+    their bit map also those that no text it may be compared with adds. The size of the
+    difference between two texts is at least what these counts leave, and pairs whose bound
+    excludes a link aren't formed.
     """
     known = members.select("region", "size", "id", "n_shingles", "central").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     by_region = known.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -223,16 +236,14 @@ def _across(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     relation = relation.join(sets.withColumnRenamed("shingles", "x"), "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("p")), "pivot")
     relation = relation.select("id", "main", "outside", F.array_except("p", "x").alias("lacked"), F.array_except("x", "p").alias("added"))
     relation = written(relation.select("id", "main", "outside", "added", F.size("lacked").alias("lacks"), *_bits("lacked"), *_bits("added")), "differences")
-    met = written(_met(relation), "met")
-    alone = met.select("id", "main", F.explode("met").alias("shingle")).groupBy("main", "shingle").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id")).where("n = 1").groupBy("main", "id").agg(F.count(F.lit(1)).alias("alone"))
     bits = [f"{c}_{k}" for c in ("lacked", "added") for k in range(BIT_WORDS)]
-    met = met.select("id", "main", F.size("met").alias("met"))
-    counts = relation.select("id", "main", "lacks", F.size("added").alias("adds"), *bits).join(met, ["main", "id"]).join(alone, ["main", "id"], "left").withColumn("shared", F.col("met") - F.coalesce("alone", F.lit(0)))
+    counts = relation.select("id", "main", "lacks", F.size("added").alias("adds"), *bits).join(_shared(relation), ["main", "id"], "left")
     # by pivot instead of by region, so that a pair which shares many regions is formed once
     each = written(large.select(F.col("main").alias("region"), "main", "id", "n_shingles", "component").distinct(), "pivot-members")
     counts = settled(counts, "difference-counts")
     described = written(each.join(counts.select("id", "main", "lacks", "adds", "shared", *bits), ["id", "main"], "left"), "described")
-    both = F.least(*_common("lacked", "lacks")) + F.least("x_shared", "y_shared", *_common("added", "adds"))
+    shared = F.when(F.col("x_shared").isNotNull() & F.col("y_shared").isNotNull(), F.least("x_shared", "y_shared"))
+    both = F.least(*_common("lacked", "lacks")) + F.least(shared, *_common("added", "adds"))
     apart = F.col("x_lacks") + F.col("x_adds") + F.col("y_lacks") + F.col("y_adds") - 2 * both
     may = (100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("x_n_shingles") + F.col("y_n_shingles"))
     many = pairs(described, ["lacks", "adds", "shared", *bits], F.coalesce(may, F.lit(True)))

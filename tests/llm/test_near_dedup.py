@@ -143,3 +143,23 @@ def test_only_shingles_that_texts_outside_add_meet(spark):
     assert len(got) == len(rows) and got[900] == common + own and got[901] == []
     assert all(set(common) <= set(got[i]) for i in range(500)) and own[0] in got[5]
     assert sum(map(len, got.values())) < 1500  # of 16,021
+
+
+def test_shingles_are_counted_of_texts_that_add_many_only(spark):
+    """Each text had a row for each shingle it adds, though a bit map tells those apart that add few."""
+    rnd = random.Random(4)
+    hashes = lambda n: [rnd.getrandbits(64) - 2**63 for _ in range(n)]
+    common, many = hashes(3), lsh_forest.CROWDED
+    few = [(i, 1, True, common + hashes(many - 3)) for i in range(200)]
+    rows = few + [(900, 1, True, common + hashes(many)), (901, 1, False, common[:2] + hashes(many)), (902, 1, False, few[0][3] + hashes(1))]
+    got = {r.id: r.shared for r in lsh_forest._shared(spark.createDataFrame(rows, "id long, main long, outside boolean, added array<long>")).collect()}
+    assert set(got) == {900, 901, 902}  # no text of `few`
+    assert got[900] == 3 and 2 <= got[901] <= 10 and 3 <= got[902] <= 10
+
+
+def test_texts_that_add_few_and_many_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(lsh_forest, "LEAF", 2)
+    monkeypatch.setattr(lsh_forest, "CROWDED", 3)
+    rows = [r for r in made(11) if r[0] is not None]
+    want = brute(rows)
+    assert all(r.component_id == want[r.doc_id] for r in lsh_forest.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
