@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import tokenizer_files
-from .chunks import ChunkCoder, worker_cache
-from .text import flat_index, pieces, utf8
+from .chunks import ChunkCoder, Flat, worker_cache
+from .text import flat_index, pieces, trim, utf8
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Threads of a task that encode a batch, and characters of the rows of chunks that SentencePiece reads.
-THREADS, _ROW_CHARS = 2, 4096
+#: Threads of a task that encode a batch, chunks encoded at once (each has some 600 bytes meanwhile), and characters of
+#: the rows of chunks that SentencePiece reads.
+THREADS, _AT_ONCE, _ROW_CHARS = 2, 8192, 4096
 
 
 @dataclass
@@ -131,7 +132,9 @@ def build(model: Model, prefix: bool = True):
     return out
 
 
-#: Chunks that a worker keeps: a table of some 24 bytes each and their ids.
+#: Bytes of texts that a worker encodes and decodes at once.
+_PIECE = 1 << 18
+#: Chunks that a worker keeps: a table of some 40 bytes each and their ids.
 CACHED_CHUNKS = 1_000_000
 
 
@@ -148,7 +151,7 @@ class Codec:
         self.by_chunk = chunkable(self.model)
         self.tokenizer = build(self.model, prefix=not self.by_chunk)
         self.dtype = np.uint16 if len(self.model.pieces) < 1 << 16 else np.uint32
-        self.coder = ChunkCoder(self._encode, self.dtype, CACHED_CHUNKS) if self.by_chunk else None
+        self.coder = ChunkCoder(self._encode_chunks, self.dtype, CACHED_CHUNKS) if self.by_chunk else None
         shown = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else (" ⁇ " if kind == UNKNOWN else p.replace(MARK, " ")).encode() for p, _, kind in self.model.pieces]
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
         self.sizes = np.array([len(x) for x in shown], np.int64)
@@ -186,6 +189,16 @@ class Codec:
                 differs[row] = apart if any(apart) else 1
         return ours, differs
 
+    def _encode_chunks(self, texts: list[str], first: np.ndarray) -> tuple[Flat, np.ndarray]:
+        """The same of many chunks, some at a time."""
+        values, lengths, flags = [], [], []
+        for a in range(0, len(texts), _AT_ONCE):
+            ours, differs = self._encode(texts[a : a + _AT_ONCE], first[a : a + _AT_ONCE])
+            lengths.append(np.fromiter(map(len, ours), np.int64, len(ours)))
+            values.append(np.fromiter((i for x in ours for i in x), self.dtype, int(lengths[-1].sum())))
+            flags.append(differs)
+        return Flat(np.concatenate(values), np.concatenate(lengths)), np.concatenate(flags)
+
     def encode(self, texts, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids in a row, n + 1 offsets by text, and which texts have parity with SentencePiece."""
         if self.coder is not None:
@@ -223,7 +236,7 @@ def encode(docs: DataFrame, model_path: str, threads: int = THREADS) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(raw, version, threads)
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=_PIECE):
             column = batch.column("text")
             ids, at, parity = own.encode(lambda c=column: [x or "" for x in c.to_pylist()], *utf8(column))
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
@@ -263,7 +276,7 @@ def round_trip(docs: DataFrame, model_path: str, threads: int = THREADS) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(raw, version, threads)
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=_PIECE):
             column = batch.column("text")
             data, offsets = utf8(column)
             ids, at, parity = own.encode(lambda c=column: [x or "" for x in c.to_pylist()], data, offsets)
@@ -275,5 +288,6 @@ def round_trip(docs: DataFrame, model_path: str, threads: int = THREADS) -> Data
                 [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(np.diff(at)), pa.array([zlib.crc32(little[4 * a : 4 * b]) for a, b in spans], pa.int64()), pa.array(same), pa.array(parity)],
                 ["doc_id", "n_bytes", "n_tokens", "ids_crc32", "round_trip", "parity"],
             )
+            trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, _schema(docs, "n_bytes long, n_tokens long, ids_crc32 long, round_trip boolean, parity boolean"))

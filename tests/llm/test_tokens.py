@@ -285,3 +285,17 @@ def test_only_texts_without_a_count_shuffle(spark, monkeypatch):
     assert len(plans) == 1 and "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
     below = plans[0][plans[0].index("BroadcastHashJoin"):]
     assert "hashpartitioning" not in below  # no exchange of texts before the join
+
+
+def test_chunks_are_encoded_some_at_a_time(monkeypatch):
+    """All new chunks of a batch were encoded at once, with some 600 bytes of encodings each."""
+    raw, _, _ = tokenizer_files.load(P.path("piece_bpe_32k.model"))
+    column = pa.array([" ".join(f"word{i} Straße" for i in range(k, k + 40)) for k in range(0, 90, 30)] + ["", None])
+    want = sentencepiece_codec.Codec(raw, 1).encode(None, *utf8(column))
+    own, seen = sentencepiece_codec.Codec(raw, 1), []
+    monkeypatch.setattr(sentencepiece_codec, "_AT_ONCE", 7)
+    encode = own._encode
+    monkeypatch.setattr(own, "_encode", lambda texts, first: seen.append(len(texts)) or encode(texts, first))
+    got = own.encode(None, *utf8(column))
+    assert max(seen) <= 7 and all((a == b).all() for a, b in zip(got, want)) and got[2].all()
+    assert got[0][: got[1][1]].tolist() == own.judge.encode(column[0].as_py())
